@@ -66,9 +66,9 @@ def lexicon_scorer(
 
     def sentiment(text: Column) -> Column:
         good, bad = _mentions(text, positive), _mentions(text, negative)
+        # Nested so that each term is searched for at most once per row.
         return (
-            F.when(good & bad, "mixed")
-            .when(good, "positive")
+            F.when(good, F.when(bad, "mixed").otherwise("positive"))
             .when(bad, "negative")
             .when(text.isNotNull(), "neutral")
         )

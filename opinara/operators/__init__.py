@@ -1 +1 @@
-"""DataFrame-to-DataFrame operators. Nothing in here triggers a job."""
+"""DataFrame-to-DataFrame operators. They write nothing but small staged tables."""

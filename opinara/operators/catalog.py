@@ -19,7 +19,7 @@ def games_from_json(df: DataFrame, json_map: Column) -> DataFrame:
 def games_param(spark: SparkSession, games: str | Mapping[str, str]) -> DataFrame:
     """The ``games`` job parameter as a DataFrame."""
     text = games if isinstance(games, str) else json.dumps(dict(games))
-    return games_from_json(spark.createDataFrame([(text,)], "j string"), F.col("j"))
+    return games_from_json(spark.range(1), F.lit(text))
 
 
 def merge_games(base: DataFrame, config: DataFrame) -> DataFrame:

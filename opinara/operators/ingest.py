@@ -1,7 +1,8 @@
 """Incremental ingest: decode, high-watermark cut, page cap, deduplication, anti-join.
 
 No operator puts one game's or one language's reviews into a single task: cuts and caps are
-aggregates joined back, and duplicate copies collapse on the map side first.
+small staged tables joined back by broadcast, so texts are not shuffled by game, and duplicate
+copies collapse on the map side first. Texts are shuffled once, by review id.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import PAGE_FIELDS, PAGE_PAYLOAD, REVIEW_ROW
+from ..session import staged
 
 TARGET = ("game", "language")
 
@@ -62,13 +64,15 @@ def source_cut(
     """Rows read before the first one older than the watermark, per game and language.
 
     A reader that pages newest-first stops at that row, so anything behind it is not seen even
-    if it is newer. The stop position is one aggregate row per target joined back to the rows;
-    a row exactly at the watermark is kept. Targets without a watermark are not cut.
+    if it is newer. A row exactly at the watermark is kept; targets without one are not cut. The
+    stop positions, one row per target, are found on narrow columns and staged.
     """
     marked = rows.join(marks, list(by), "left")
     older = marked.filter(F.col("at") < F.col("last_at"))
     first_per_page = older.groupBy(*TARGET, "page").agg(F.min("pos").alias("pos"))
-    stops = first_per_page.groupBy(*TARGET).agg(F.min(_read_order()).alias("_stop"))
+    stops = staged(
+        first_per_page.groupBy(*TARGET).agg(F.min(_read_order()).alias("_stop")), "stops"
+    )
     before_stop = F.col("_stop").isNull() | (_read_order() < F.col("_stop"))
     return rows.join(stops, list(TARGET), "left").filter(before_stop).select(*rows.columns)
 
@@ -138,7 +142,7 @@ def select_new(
 ) -> DataFrame:
     """The reviews one ingest run adds. In backfill mode the watermark is ignored."""
     rows = decode_pages(pages, targets)
-    marks = watermarks(stored, by)
+    marks = staged(watermarks(stored, by), "watermarks")
     if not backfill:
         rows = source_cut(rows, marks, by)
     capped = page_cap(rows, marks, pages_allowed, backfill, first_load, by)

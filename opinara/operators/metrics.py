@@ -86,14 +86,14 @@ def sentiment_share(enriched: DataFrame) -> DataFrame:
 def filter_options(enriched: DataFrame, column: str) -> DataFrame:
     """The sentinel and every distinct value of ``column``, ordered."""
     values = enriched.select(column).distinct()
-    sentinel = enriched.sparkSession.createDataFrame([(ALL,)], f"{column} string")
+    sentinel = enriched.sparkSession.range(1).select(F.lit(ALL).alias(column))
     return sentinel.union(values).distinct().orderBy(column)
 
 
 def theme_options(spark, labels: Mapping[str, str] = THEME_LABELS) -> DataFrame:
     """The sentinel and the theme labels, ordered."""
-    rows = [(label,) for label in sorted({ALL, *labels.values()})]
-    return spark.createDataFrame(rows, "theme string").orderBy("theme")
+    listed = F.array_distinct(F.array(*[F.lit(label) for label in (ALL, *labels.values())]))
+    return spark.range(1).select(F.explode(listed).alias("theme")).orderBy("theme")
 
 
 def facet_counts(enriched: DataFrame, column: str, predicate: Column) -> DataFrame:

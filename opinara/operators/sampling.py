@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def sample_key(id_col: str, seed: str) -> Column:
     """A repeatable random order: the digest of seed and id."""
@@ -36,8 +38,12 @@ def sampled_ids(
 def sample_per_group(
     rows: DataFrame, group: str = "game", id_col: str = "review_id", k: int = 700, seed: str = "s"
 ) -> DataFrame:
-    """Up to ``k`` random rows of every group in one job. Texts move only for sampled ids."""
-    return rows.join(sampled_ids(rows, group, id_col, k, seed), [group, id_col])
+    """Up to ``k`` random rows of every group.
+
+    The sampled ids are staged, so while they are few the texts are not shuffled to meet them.
+    """
+    ids = staged(sampled_ids(rows, group, id_col, k, seed), "sample")
+    return rows.join(ids, [group, id_col])
 
 
 def review_line() -> Column:

@@ -8,7 +8,7 @@ number of reviews.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +19,17 @@ from ..schemas import THEME_LABELS
 _SIX_DAYS_BACK = -6
 
 
-def daily_summary(rows: DataFrame, labels: Mapping[str, str] = THEME_LABELS) -> DataFrame:
-    """Per day and lower-cased sentiment: reviews, scored reviews, score sum, theme counts."""
-    return rows.groupBy(
-        F.to_date("at").alias("day"), F.lower("sentiment").alias("sentiment")
-    ).agg(
+def daily_summary(
+    rows: DataFrame, by_sentiment: bool = True, labels: Mapping[str, str] = THEME_LABELS
+) -> DataFrame:
+    """Per day: reviews, scored reviews, score sum and theme counts.
+
+    With ``by_sentiment`` (what the KPIs, the sentiment and the volume trend need) the rows are
+    split by lower-cased sentiment. The other trends add the parts up again, so one summary can
+    serve all of them; a trend used alone can leave the split out and not read the column.
+    """
+    keys = [F.lower("sentiment").alias("sentiment")] if by_sentiment else []
+    return rows.groupBy(F.to_date("at").alias("day"), *keys).agg(
         F.count("*").alias("n"),
         F.count("score").alias("n_scored"),
         F.sum("score").alias("score_sum"),
@@ -31,33 +37,53 @@ def daily_summary(rows: DataFrame, labels: Mapping[str, str] = THEME_LABELS) ->
     )
 
 
-def _moving_sum(value: str | Column, *keys: str) -> Column:
-    """Sum over seven calendar days; days without rows shrink the frame."""
-    frame = (
-        Window.partitionBy(*keys)
-        .orderBy(F.unix_date("day"))
-        .rangeBetween(_SIX_DAYS_BACK, Window.currentRow)
+def _per_day(daily: DataFrame, labels: Mapping[str, str] = THEME_LABELS) -> DataFrame:
+    return daily.groupBy("day").agg(
+        F.sum("n").alias("n"),
+        F.sum("score_sum").alias("s"),
+        *[F.sum(flag).alias(flag) for flag in labels],
     )
+
+
+def _moving_sum(value: str | Column) -> Column:
+    """Sum over seven calendar days; days without rows shrink the frame."""
+    frame = Window.orderBy(F.unix_date("day")).rangeBetween(_SIX_DAYS_BACK, Window.currentRow)
     return F.sum(value).over(frame)
 
 
-def _per_day(daily: DataFrame) -> DataFrame:
-    return daily.groupBy("day").agg(F.sum("n").alias("n"), F.sum("score_sum").alias("s"))
+def _percent(part: Column, whole: Column) -> Column:
+    return F.round(F.lit(100.0) * part / F.nullif(whole, F.lit(0)), 1)
 
 
-def theme_daily(daily: DataFrame, labels: Mapping[str, str] = THEME_LABELS) -> DataFrame:
-    """Reviews per (day, theme), themes that occur that day only.
+def _theme_rows(
+    per_day: DataFrame, value: Callable[[str], Column], name: str, labels: Mapping[str, str]
+) -> DataFrame:
+    """(day, tema, value) for the themes that occur on the day.
 
-    The six counters of the summary are turned into rows, so reviews are never exploded.
+    The windows run over the wide day rows and the six columns are turned into rows last, so
+    reviews are never exploded and totals need no join.
     """
-    per_day = daily.groupBy("day").agg(*[F.sum(flag).alias(flag) for flag in labels])
-    pairs = F.array(
+    wide = per_day.select("day", *labels, *[value(flag).alias(f"_{flag}") for flag in labels])
+    cells = F.array(
         *[
-            F.struct(F.lit(label).alias("theme"), F.col(flag).alias("c"))
+            F.struct(
+                F.lit(label).alias("tema"), F.col(flag).alias("c"), F.col(f"_{flag}").alias(name)
+            )
             for flag, label in labels.items()
         ]
     )
-    return per_day.select("day", F.inline(pairs)).filter(F.col("c") > 0)
+    return (
+        wide.select("day", F.inline(cells))
+        .filter(F.col("c") > 0)
+        .select("day", "tema", name)
+        .orderBy("day", "tema")
+    )
+
+
+def theme_daily(daily: DataFrame, labels: Mapping[str, str] = THEME_LABELS) -> DataFrame:
+    """Reviews per (day, theme), themes that occur that day only."""
+    rows = _theme_rows(_per_day(daily, labels), F.col, "n", labels)
+    return rows.select("day", F.col("tema").alias("theme"), F.col("n").alias("c"))
 
 
 def kpis(daily: DataFrame) -> DataFrame:
@@ -78,48 +104,33 @@ def trend_score(daily: DataFrame) -> DataFrame:
     return _per_day(daily).select("day", F.round(mean, 2).alias("nota_7d")).orderBy("day")
 
 
-def _percent(part: Column, whole: Column) -> Column:
-    return F.round(F.lit(100.0) * part / F.nullif(whole, F.lit(0)), 1)
-
-
-def trend_themes(daily: DataFrame) -> DataFrame:
-    """Seven-day share of reviews that carry a theme, in percent.
-
-    The denominator is rolled over days before the join, so each day counts once.
-    """
-    totals = _per_day(daily).select("day", _moving_sum("n").alias("n_7d"))
-    counts = theme_daily(daily).select("day", "theme", _moving_sum("c", "theme").alias("c_7d"))
-    return (
-        counts.join(totals, "day")
-        .select(
-            "day",
-            F.col("theme").alias("tema"),
-            _percent(F.col("c_7d"), F.col("n_7d")).alias("share_7d"),
-        )
-        .orderBy("day", "tema")
+def trend_themes(daily: DataFrame, labels: Mapping[str, str] = THEME_LABELS) -> DataFrame:
+    """Seven-day share of reviews that carry a theme, in percent; each day counts once."""
+    return _theme_rows(
+        _per_day(daily, labels),
+        lambda flag: _percent(_moving_sum(flag), _moving_sum("n")),
+        "share_7d",
+        labels,
     )
 
 
-def trend_themes_legacy(daily: DataFrame) -> DataFrame:
-    """Share with the totals rolled after the join: a day counts once per theme present.
+def trend_themes_legacy(daily: DataFrame, labels: Mapping[str, str] = THEME_LABELS) -> DataFrame:
+    """Share whose denominator counts a day once per theme present on it.
 
     Kept for users who need the older figures; ``trend_themes`` is the documented measure.
     """
-    joined = theme_daily(daily).join(_per_day(daily).select("day", "n"), "day")
-    return joined.select(
-        "day",
-        F.col("theme").alias("tema"),
-        _percent(_moving_sum("c", "theme"), _moving_sum("n")).alias("share_7d"),
-    ).orderBy("day", "tema")
+    present = sum(F.when(F.col(flag) > 0, 1).otherwise(0) for flag in labels)
+    return _theme_rows(
+        _per_day(daily, labels).withColumn("_n_by_theme", F.col("n") * present),
+        lambda flag: _percent(_moving_sum(flag), _moving_sum("_n_by_theme")),
+        "share_7d",
+        labels,
+    )
 
 
-def trend_themes_abs(daily: DataFrame) -> DataFrame:
+def trend_themes_abs(daily: DataFrame, labels: Mapping[str, str] = THEME_LABELS) -> DataFrame:
     """Seven-day count of reviews that carry a theme."""
-    return (
-        theme_daily(daily)
-        .select("day", F.col("theme").alias("tema"), _moving_sum("c", "theme").alias("cnt_7d"))
-        .orderBy("day", "tema")
-    )
+    return _theme_rows(_per_day(daily, labels), _moving_sum, "cnt_7d", labels)
 
 
 def trend_sentiment(daily: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from .. import schemas
 from ..functions.scoring import Scorer
 from ..functions.timewin import instant
 from ..operators import catalog, ingest, merge, reports
+from ..session import staged
 from ..sources.landed import decode_metadata
 from ..streaming.enrichment import run_enrichment
 from . import tables
@@ -93,7 +94,10 @@ def run_weekly_report(
     """
     table = tables.name(schema, "weekly_reports")
     enriched = spark.table(tables.name(schema, "reviews_enriched"))
-    new = reports.weekly_reports(enriched, days, sample_size, as_of, reporter)
+    # Staged because the upsert reads it twice and a reporter must be asked once per game.
+    new = staged(
+        reports.weekly_reports(enriched, days, sample_size, as_of, reporter), "new-reports"
+    )
     week = spark.table(table).filter(
         F.col("report_week") == reports.monday_of(instant(as_of))
     )

@@ -66,7 +66,7 @@ def table_or_empty(spark: SparkSession, table: str, schema: T.StructType) -> Dat
     """An optional source: the table, or no rows of its schema when it does not exist."""
     if spark.catalog.tableExists(table):
         return spark.table(table)
-    return spark.createDataFrame([], schema)
+    return evolve(spark.range(0), schema)
 
 
 def append(df: DataFrame, table: str) -> int:

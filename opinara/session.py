@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 
@@ -20,6 +20,7 @@ def local_session(app: str = "opinara", cores: str = "8", **conf: str) -> SparkS
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
@@ -45,3 +46,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             _local_dirs[app_id] = tempfile.mkdtemp(prefix="opinara-")
         root = _local_dirs[app_id]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    The copy has a measured size: a join with it is a broadcast while it is under
+    ``spark.sql.autoBroadcastJoinThreshold`` and a shuffle on the key beyond. It also survives
+    lost executors without being computed again.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -11,12 +11,13 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinara.functions.grading import grade
 from opinara.functions.scoring import lexicon_scorer
 from opinara.functions.text import has_content
 from opinara.functions.timewin import monday_of
-from opinara.operators.enrichment import score_texts
+from opinara.operators.enrichment import score_texts, spread
 from opinara.operators.reports import report_aggregates, template_report
 from opinara.schemas import DIMENSIONS, WEEKLY_REPORTS
 
@@ -44,8 +45,20 @@ ASKED_FROM = datetime(1995, 4, 1)
 ASKED_UNTIL = datetime(1995, 6, 1)
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. Its schema is read from the footer once, then reused."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, spread by id: the key they are joined on."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def as_of(spark: SparkSession, sf_dir: str) -> Column:
@@ -53,9 +66,9 @@ def as_of(spark: SparkSession, sf_dir: str) -> Column:
     return table(spark, sf_dir, "events").agg(F.max("ts")).scalar()
 
 
-def facts(events: DataFrame, documents: DataFrame) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
     """Review columns that come from the event alone, with the document it quotes."""
-    n_documents = documents.agg(F.count("*")).scalar()
+    n_documents = table(spark, sf_dir, "documents").agg(F.count("*")).scalar()
     steps = F.when(F.col("event_type") == "signup", 10).when(
         F.col("event_type").isin("click", "error"), 30
     ).otherwise(60)
@@ -77,9 +90,11 @@ def _content() -> Column:
     return F.when(k == 0, F.lit(None)).when(k == 1, "   ").otherwise(F.col("text"))
 
 
-def bind_reviews(events: DataFrame, documents: DataFrame) -> DataFrame:
+def bind_reviews(
+    spark: SparkSession, sf_dir: str, events: DataFrame, documents: DataFrame
+) -> DataFrame:
     quoted = documents.select("doc_id", F.col("lang").alias("language"), "text")
-    return facts(events, documents).join(quoted, "doc_id").select(
+    return facts(spark, sf_dir, events).join(quoted, "doc_id").select(
         "review_id",
         "game",
         "package_name",
@@ -93,7 +108,7 @@ def bind_reviews(events: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bind_reviews(table(spark, sf_dir, "events"), table(spark, sf_dir, "documents"))
+    return bind_reviews(spark, sf_dir, table(spark, sf_dir, "events"), texts(spark, sf_dir))
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +117,11 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     A text quoted by many reviews is scored once, and a query that does not show texts moves
     eight small columns per document instead of the text.
     """
-    events, documents = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")
     scored = score_texts(
-        documents.select("doc_id", F.col("lang").alias("language"), "text"), SCORER, text="text"
+        texts(spark, sf_dir).select("doc_id", F.col("lang").alias("language"), "text"), SCORER, text="text"
     )
     silent = F.col("thumbs_up_count").isin(0, 1)
-    return facts(events, documents).join(scored, "doc_id").select(
+    return facts(spark, sf_dir, table(spark, sf_dir, "events")).join(scored, "doc_id").select(
         "review_id",
         "game",
         "package_name",
@@ -165,7 +179,9 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What earlier runs stored: all games but one, up to some days ago."""
     limit = as_of(spark, sf_dir) - F.expr(f"INTERVAL {STORED_UNTIL_DAYS} DAYS")
-    rows = reviews(spark, sf_dir).filter((F.col("at") < limit) & (F.col("game") != UNREAD_GAME))
+    rows = bind_reviews(
+        spark, sf_dir, table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")
+    ).filter((F.col("at") < limit) & (F.col("game") != UNREAD_GAME))
     return rows.withColumn("at", listed_at())
 
 

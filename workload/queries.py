@@ -17,7 +17,7 @@ from opinara.operators.enrichment import enrich, score_texts
 from opinara.operators.filters import filtered_reviews
 from opinara.plans import jobs
 from opinara.schemas import ALL, DIMENSIONS, WEEKLY_REPORTS
-from opinara.session import shared_dir
+from opinara.session import shared_dir, staged
 from opinara.streaming.ingest import run_page_stream
 
 from . import binding as b
@@ -105,13 +105,14 @@ def watermark(spark, sf):
 
 @query
 def source_cut(spark, sf):
-    rows = ingest.source_cut(_decoded(spark, sf), ingest.watermarks(b.stored(spark, sf)))
+    marks = staged(ingest.watermarks(b.stored(spark, sf)), "watermarks")
+    rows = ingest.source_cut(_decoded(spark, sf), marks)
     return _show(rows, "review_id", "game", "language", "page", "pos", "at")
 
 
 @query
 def page_cap(spark, sf):
-    marks = ingest.watermarks(b.stored(spark, sf))
+    marks = staged(ingest.watermarks(b.stored(spark, sf)), "watermarks")
     rows = ingest.page_cap(_decoded(spark, sf), marks, ingest.max_pages(600, 200))
     return _show(rows, "review_id", "game", "language", "page", "pos", "at")
 
@@ -224,7 +225,7 @@ def enrich_q(spark, sf):
 
 @query
 def flatten_dims_q(spark, sf):
-    documents = b.table(spark, sf, "documents")
+    documents = b.texts(spark, sf)
     scored = documents.select(
         "doc_id", b.SCORER.dimensions(F.lower("text")).alias("_dims"), F.lit(1).alias("_tmp")
     )
@@ -234,11 +235,11 @@ def flatten_dims_q(spark, sf):
 @query
 def parse_dims_q(spark, sf):
     """Model answers as JSON; a review without text has an answer of another shape."""
-    documents = b.table(spark, sf, "documents").select("doc_id", "text")
+    documents = b.texts(spark, sf).select("doc_id", "text")
     answers = score_texts(documents, b.SCORER, text="text").select(
         "doc_id", F.to_json(F.struct(*DIMENSIONS)).alias("answer")
     )
-    asked = b.facts(b.table(spark, sf, "events"), documents).join(answers, "doc_id")
+    asked = b.facts(spark, sf, b.table(spark, sf, "events")).join(answers, "doc_id")
     silent = F.col("thumbs_up_count").isin(0, 1)
     parsed = asked.select(
         "review_id",
@@ -262,14 +263,13 @@ def explode_themes(spark, sf):
 @query
 def stream_enrich(spark, sf):
     """The enrichment stream run to its end; the result is the table it wrote."""
-    documents = b.table(spark, sf, "documents")
     events = (
         spark.readStream.schema(b.table(spark, sf, "events").schema)
         .option("pathGlobFilter", "events.parquet")
         .parquet(sf)
     )
     run = shared_dir(spark, "stream-enrich")
-    rows = enrich(b.bind_reviews(events, documents), b.SCORER)
+    rows = enrich(b.bind_reviews(spark, sf, events, b.texts(spark, sf)), b.SCORER)
     (
         _show(rows, *_SCORED)
         .writeStream.format("parquet")
@@ -433,8 +433,15 @@ def facet_counts(spark, sf):
 # --- KPIs and trends ------------------------------------------------------------------------
 
 
-def _daily(spark, sf, **filters):
-    return trends.daily_summary(filtered_reviews(b.enriched(spark, sf), **filters))
+_BY_SENTIMENT = {"kpis", "trend_sentiment", "trend_vol"}
+
+
+def _trend(name: str, **filters) -> Query:
+    def run(spark, sf):
+        rows = filtered_reviews(b.enriched(spark, sf), **filters)
+        return getattr(trends, name)(trends.daily_summary(rows, name in _BY_SENTIMENT))
+
+    return run
 
 
 _FILTER = {"game": "purchase", "language": "en", "start": "2024-01-05", "end": "2024-01-25"}
@@ -444,10 +451,9 @@ for _name in (
     "kpis", "theme_daily", "trend_score", "trend_themes", "trend_themes_legacy",
     "trend_themes_abs", "trend_sentiment", "trend_vol",
 ):
-    _fn = getattr(trends, _name)
-    QUERIES[_name] = lambda spark, sf, fn=_fn: fn(_daily(spark, sf))
-    QUERIES[f"{_name}_filtered"] = lambda spark, sf, fn=_fn: fn(_daily(spark, sf, **_FILTER))
-    QUERIES[f"{_name}_by_theme"] = lambda spark, sf, fn=_fn: fn(_daily(spark, sf, **_THEME))
+    QUERIES[_name] = _trend(_name)
+    QUERIES[f"{_name}_filtered"] = _trend(_name, **_FILTER)
+    QUERIES[f"{_name}_by_theme"] = _trend(_name, **_THEME)
 
 
 # --- weekly report --------------------------------------------------------------------------
