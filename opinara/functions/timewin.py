@@ -35,7 +35,9 @@ def date_bound(value: str | date | None) -> Column:
 
 
 def between_dates(at: Column, start: str | date | None, end: str | date | None) -> Column:
-    """Inclusive, tolerant date range on the day of ``at``."""
+    """Inclusive, tolerant date range on the day of ``at``.
+
+    Written as bounds on ``at`` itself, which reach the file scan for both timestamp types.
+    """
     lo, hi = date_bound(start), date_bound(end)
-    day = F.to_date(at)
-    return (lo.isNull() | (day >= lo)) & (hi.isNull() | (day <= hi))
+    return (lo.isNull() | (at >= lo)) & (hi.isNull() | (at < F.date_add(hi, 1)))

@@ -141,7 +141,7 @@ def select_new(
     by: Sequence[str] = ("game",),
 ) -> DataFrame:
     """The reviews one ingest run adds. In backfill mode the watermark is ignored."""
-    rows = decode_pages(pages, targets)
+    rows = decode_pages(pages, staged(targets, "targets"))
     marks = staged(watermarks(stored, by), "watermarks")
     if not backfill:
         rows = source_cut(rows, marks, by)

@@ -17,17 +17,23 @@ from pyspark.sql import types as T
 
 
 def require_unique(source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``source`` unchanged, failing the job if a key occurs twice (NULL keys never match)."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    """``source`` unchanged, failing the job if a key occurs twice (NULL keys never match).
+
+    Two rows of a key are enough to fail, so the rank filter keeps two per key and task before
+    the shuffle; a row with a NULL key is a group of its own.
+    """
     known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    own_group = F.when(~known, F.monotonically_increasing_id())
+    nth = F.row_number().over(Window.partitionBy(*keys, "_own").orderBy(*keys))
     message = F.concat(
         F.lit(f"duplicate merge key {tuple(keys)}: "),
         F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]),
     )
-    check = F.when(known & (F.col("_nth") > 1), F.raise_error(message).cast("boolean"))
+    check = F.when(F.col("_nth") > 1, F.raise_error(message).cast("boolean")).otherwise(True)
     return (
-        source.withColumn("_nth", nth)
-        .filter(F.coalesce(check, F.lit(True)))
+        source.withColumn("_own", own_group)
+        .withColumn("_nth", nth)
+        .filter((F.col("_nth") <= 2) & check)
         .select(*source.columns)
     )
 

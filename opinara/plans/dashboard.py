@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 
 from ..operators import metrics, trends
 from ..operators.filters import filtered_reviews
+from ..session import staged
 
 
 def dashboard_pack(enriched: DataFrame, **filters) -> dict[str, DataFrame]:
     """The parameterised datasets by name.
 
-    Six of them read one daily summary, cached because it is a few rows per day; reviews are
-    scanned once for all six. The reader is a plain filtered scan.
+    Six of them read one staged daily summary, a few rows per day, so reviews are scanned once
+    for all six. The reader is a plain filtered scan.
     """
     rows = filtered_reviews(enriched, **filters)
-    daily = trends.daily_summary(rows).persist()
+    daily = staged(trends.daily_summary(rows), "daily-summary")
     return {
         "kpis": trends.kpis(daily),
         "trend_score": trends.trend_score(daily),

@@ -37,7 +37,9 @@ def create_tables(spark: SparkSession, schema: str, id_buckets: int | None = Non
     """Create the schema and its four tables where missing, then add missing report columns.
 
     ``id_buckets`` buckets ``reviews_raw`` by review id. The ingest anti-join then reads the
-    stored ids in place: only the run's own rows are shuffled, never the whole store.
+    stored ids in place: only the run's own rows are shuffled, never the whole store. Run the
+    ingest with ``spark.sql.shuffle.partitions`` at the same number, so that its one shuffle
+    serves deduplication, anti-join and a write of one file per bucket.
     """
     spark.sql("CREATE SCHEMA IF NOT EXISTS " + ".".join(f"`{p}`" for p in schema.split(".")))
     layout = {"weekly_reports": "PARTITIONED BY (report_week)"}
@@ -112,9 +114,8 @@ def replace_partitions(df: DataFrame, table: str) -> None:
     staged = shared_dir(spark, "staged-partitions")
     columns = spark.table(table).columns
     df.select(*columns).write.parquet(staged)
-    (
-        spark.read.parquet(staged)
-        .select(*columns)
-        .write.option("partitionOverwriteMode", "dynamic")
-        .insertInto(table, overwrite=True)
-    )
+    # insertInto takes the overwrite mode from the session only; the caller's stays as it is.
+    writer = spark.newSession()
+    writer.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    writer.read.parquet(staged).select(*columns).write.insertInto(table, overwrite=True)
+    spark.catalog.refreshTable(table)

@@ -35,6 +35,7 @@ def run_enrichment(
         .toTable(target)
     )
     query.awaitTermination()
+    spark.catalog.refreshTable(target)
     if created:
         spark.sql(f"ALTER TABLE {target} SET TBLPROPERTIES ('quality' = 'silver')")
         spark.sql(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest
 from ..plans import tables
 from ..schemas import REVIEW_ROW
+from ..session import staged
 
 
 def run_page_stream(
@@ -19,9 +20,12 @@ def run_page_stream(
     that is replayed after a failure adds nothing, because stored ids are anti-joined away.
     """
 
+    targets = staged(targets, "targets")
+
     def add(batch: DataFrame, _: int) -> None:
         rows = ingest.dedup_reviews(ingest.decode_pages(batch, targets))
-        new = ingest.new_reviews(rows, spark.table(table)).select(*REVIEW_ROW.names)
+        stored = batch.sparkSession.table(table)
+        new = ingest.new_reviews(rows, stored).select(*REVIEW_ROW.names)
         tables.append(new.withColumn("_ingested_at", F.current_timestamp()), table)
 
     (
@@ -31,3 +35,4 @@ def run_page_stream(
         .start()
         .awaitTermination()
     )
+    spark.catalog.refreshTable(table)
