@@ -8,11 +8,17 @@ from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def train_flag_model(
     labelled: DataFrame, text: str, label: str, features: int = 1 << 15, max_iter: int = 20
 ) -> PipelineModel:
-    """Fit token counts to a 0/1 label. The driver holds one weight per hashed feature."""
+    """Fit token counts to a 0/1 label. The driver holds one weight per hashed feature.
+
+    The model is saved to the shared folder and read back, which leaves its training summary
+    behind; otherwise the summary, with the frame it was fitted on, travels with every task.
+    """
     rows = labelled.filter(F.col(text).isNotNull()).select(
         F.col(text).alias("_text"), F.col(label).cast("double").alias("_label")
     )
@@ -27,7 +33,9 @@ def train_flag_model(
             regParam=0.01,
         ),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    path = shared_dir(labelled.sparkSession, "flag-model")
+    Pipeline(stages=stages).fit(rows).write().save(path)
+    return PipelineModel.load(path)
 
 
 def flag_with_model(df: DataFrame, model: PipelineModel, text: str, flag: str) -> DataFrame:
