@@ -250,3 +250,63 @@ def test_fetched_pages_feed_the_ingest_job(spark, schema):
     targets = _api_targets(spark, ("com.b", "en", None, 2))
     pages = fetch_pages(targets, _fetch, "br", page_count=4, pause_s=0)
     assert jobs.run_ingest(spark, schema, pages, GAMES, ["en"]) == 8
+
+
+# --- brute force ----------------------------------------------------------------------------
+
+
+def _read_by_loop(targets, stored, cap, backfill):
+    """The reviews a paging loop over each target would add, one row at a time."""
+    marks = {}
+    for _, game, at in stored:
+        marks[game] = max(marks.get(game, at), at)
+    known = {rid for rid, _, _ in stored}
+    seen, order = {}, []
+    for (game, _), pages in targets.items():
+        mark = None if backfill else marks.get(game)
+        for number, page in enumerate(pages):
+            if (backfill or game not in marks) and number >= cap:
+                break
+            stop = False
+            for pos, (rid, at) in enumerate(page):
+                if mark is not None and at < mark:
+                    stop = True
+                    break
+                order.append((number, pos, rid))
+            if stop:
+                break
+    for _, _, rid in sorted(order):
+        seen.setdefault(rid, True)
+    return sorted(rid for rid in seen if rid not in known)
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("backfill", [False, True])
+def test_run_equals_a_paging_loop_under_skew(spark, seed, backfill):
+    """Disordered pages, shared ids, one target with most rows and one id with a third of them."""
+    import random
+
+    rng = random.Random(seed)
+    sizes = {("hot", "en"): 12, ("hot", "pt"): 2, ("new", "en"): 4, ("cold", "en"): 1}
+    targets, data = {}, []
+    for (game, lang), n_pages in sizes.items():
+        pages = []
+        for number in range(n_pages):
+            page = []
+            for pos in range(10):
+                rid = "copy" if rng.random() < 1 / 3 else f"{game}{rng.randrange(60)}"
+                at = hours(200 - number * 10 - pos + rng.choice([0, 0, 0, -25, 15]))
+                page.append((rid, at))
+                data.append((f"com.{game}", lang, number, pos, rid, "u", "c", 5, 0, None, at,
+                             None, None, None))
+            pages.append(page)
+        targets[game, lang] = pages
+    stored = [(f"hot{i}", "hot", hours(100 + i)) for i in range(20)] + [("x", "cold", hours(150))]
+    config = spark.createDataFrame([(g, f"com.{g}") for g in ("hot", "new", "cold")],
+                                   "game string, package_name string")
+    got = ingest.select_new(
+        spark.createDataFrame(data, PAGE_PAYLOAD),
+        spark.createDataFrame(stored, "review_id string, game string, at timestamp"),
+        ingest.ingest_targets(config, ["en", "pt"]), 2, backfill=backfill,
+    )
+    assert ids(got) == _read_by_loop(targets, stored, 2, backfill)

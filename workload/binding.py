@@ -7,8 +7,6 @@ Parts are the store's games and line items the moments users ask for them.
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,13 +39,18 @@ UNREAD_GAME = "signup"
 STORED_UNTIL_DAYS = 10
 
 # Catalog calendar: configured before the first date, asked for between the two.
-ASKED_FROM = datetime(1995, 4, 1)
-ASKED_UNTIL = datetime(1995, 6, 1)
+ASKED_FROM = "1995-04-01 00:00:00"
+ASKED_UNTIL = "1995-06-01 00:00:00"
 
 
 _schemas: dict[str, T.StructType] = {}
 
 
+def moment(text: str) -> Column:
+    """A time without zone, like the times of the tables."""
+    return F.to_timestamp_ntz(F.lit(text))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table. Its schema is read from the footer once, then reused."""
     path = f"{sf_dir}/{name}.parquet"
@@ -227,7 +230,7 @@ def _first_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_partkey").alias("p_partkey"))
         .agg(F.min("l_shipdate").alias("first_asked"))
-        .filter(F.col("first_asked") < F.lit(ASKED_FROM))
+        .filter(F.col("first_asked") < moment(ASKED_FROM))
     )
     part = table(spark, sf_dir, "part")
     return first.join(part, "p_partkey").select(
@@ -257,7 +260,7 @@ def games_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages users asked to add."""
     asked = table(spark, sf_dir, "lineitem").filter(
-        (F.col("l_shipdate") >= F.lit(ASKED_FROM)) & (F.col("l_shipdate") < F.lit(ASKED_UNTIL))
+        (F.col("l_shipdate") >= moment(ASKED_FROM)) & (F.col("l_shipdate") < moment(ASKED_UNTIL))
     )
     return asked.select(
         F.concat(F.lit("com.example.p"), F.col("l_partkey").cast("string")).alias("package_name")

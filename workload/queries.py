@@ -169,21 +169,19 @@ def _accepted(spark, sf):
 
 @query
 def upsert_games_meta(spark, sf):
-    source = _accepted(spark, sf).withColumn(
-        "_updated_at", F.lit(b.ASKED_UNTIL).cast("timestamp_ntz")
-    )
+    source = _accepted(spark, sf).withColumn("_updated_at", b.moment(b.ASKED_UNTIL))
     return merge.upsert(b.games_meta(spark, sf), source, ["game"])
 
 
 @query
 def upsert_games_config(spark, sf):
-    now = F.lit(b.ASKED_UNTIL).cast("timestamp_ntz")
+    now = b.moment(b.ASKED_UNTIL)
     return jobs.add_to_config(b.games_config(spark, sf), _accepted(spark, sf), now)
 
 
 @query
 def upsert_games_meta_partial(spark, sf):
-    now = F.lit(b.ASKED_UNTIL).cast("timestamp_ntz")
+    now = b.moment(b.ASKED_UNTIL)
     return jobs.add_to_meta(b.games_meta(spark, sf), _accepted(spark, sf), now)
 
 
