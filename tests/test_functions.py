@@ -160,4 +160,5 @@ def test_json_scorer_tolerates_bad_answers(spark):
 def test_spread_leaves_well_split_inputs_alone(spark):
     many, few = spark.range(0, 100, 1, 64), spark.range(0, 100, 1, 1)
     assert spread(many, "id") is many
-    assert spread(few, "id").rdd.getNumPartitions() == 4
+    plan = spread(few, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan  # a count AQE may change
