@@ -90,8 +90,10 @@ def run_weekly_report(
 ) -> None:
     """Write this week's reports; a rerun in the same week replaces them.
 
-    Only the partitions of the written week are read and rewritten.
+    Only the partitions of the written week are read and rewritten. The clock is read once, so
+    figures, sample and week agree even if the run crosses midnight.
     """
+    as_of = datetime.now() if as_of is None else as_of
     table = tables.name(schema, "weekly_reports")
     enriched = spark.table(tables.name(schema, "reviews_enriched"))
     # Staged because the upsert reads it twice and a reporter must be asked once per game.

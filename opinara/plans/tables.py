@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping
 
@@ -97,10 +98,11 @@ def replace(df: DataFrame, table: str) -> None:
     """
     spark = df.sparkSession
     current = spark.table(table)
-    base = _location(spark, table).rstrip("/").split("@")[0]
+    base = re.sub(r"@[0-9a-f]{32}$", "", _location(spark, table).rstrip("/"))
     snapshot = f"{base}@{uuid.uuid4().hex}"
     evolve(df, current.schema).write.parquet(snapshot)
-    spark.sql(f"ALTER TABLE {table} SET LOCATION '{snapshot}'")
+    quoted = snapshot.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{quoted}'")
     spark.catalog.refreshTable(table)
 
 
