@@ -94,6 +94,17 @@ def test_theme_filter_scores_before_the_join(spark):
     assert plan.index("Join") < plan.index("Contains")
 
 
+@pytest.mark.parametrize("name", ["weekly_agg", "weekly_report", "latest_reports", "grade"])
+def test_report_figures_do_not_carry_texts(spark, name):
+    """Whether a review has content is known without its text, so only flags are joined."""
+    plan = physical(QUERIES[name](spark, SF))
+    joins = [line for line in plan.splitlines() if "Join [doc_id" in line]
+    assert joins and not any("text" in line for line in joins)
+    projects = plan[plan.index("Contains") :]
+    above = plan[: plan.index("Contains")]
+    assert "text" in projects and " text#" not in above and "[text#" not in above
+
+
 def test_texts_are_scored_whole(spark):
     """A document whose only term is at its very end is flagged."""
     from opinara.operators.enrichment import score_texts

@@ -59,9 +59,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents. An absent text counts as an empty one, so the column is never NULL and a
+    query that asks only whether a review has content does not carry texts through its join."""
+    return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, spread by id: the key they are joined on."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return spread(documents(spark, sf_dir), "doc_id")
 
 
 def as_of(spark: SparkSession, sf_dir: str) -> Column:
@@ -94,9 +100,9 @@ def _content() -> Column:
 
 
 def bind_reviews(
-    spark: SparkSession, sf_dir: str, events: DataFrame, documents: DataFrame
+    spark: SparkSession, sf_dir: str, events: DataFrame, quotable: DataFrame
 ) -> DataFrame:
-    quoted = documents.select("doc_id", F.col("lang").alias("language"), "text")
+    quoted = quotable.select("doc_id", F.col("lang").alias("language"), "text")
     return facts(spark, sf_dir, events).join(quoted, "doc_id").select(
         "review_id",
         "game",
@@ -183,7 +189,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What earlier runs stored: all games but one, up to some days ago."""
     limit = as_of(spark, sf_dir) - F.expr(f"INTERVAL {STORED_UNTIL_DAYS} DAYS")
     rows = bind_reviews(
-        spark, sf_dir, table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")
+        spark, sf_dir, table(spark, sf_dir, "events"), documents(spark, sf_dir)
     ).filter((F.col("at") < limit) & (F.col("game") != UNREAD_GAME))
     return rows.withColumn("at", listed_at())
 
