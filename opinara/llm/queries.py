@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from opinara.llm import bpe, quality_rules, url_filter
 from opinara.llm.jaccard_join import jaccard_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @registered("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+# The rules to apply, host, path and verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+_PARTS = """
+    SELECT page_id,
+        translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+    FROM pages
+"""
+
+
+@registered(
+    "op2_url_filters",
+    f"""
+    WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES
+        {", ".join(map(str, URL_RULES))}
+    ), parts AS ({_PARTS})
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+    FROM parts LEFT JOIN LATERAL (
+        SELECT rule_host || rule_path AS rule, rule_verdict AS verdict FROM rules
+        WHERE (host = rule_host OR ends_with(host, '.' || rule_host))
+            AND starts_with(path, rule_path)
+        ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC LIMIT 1
+    ) ON true
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").withColumnRenamed("page_id", "id")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.filter_urls(pages, rules).withColumnRenamed("id", "page_id")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@registered("op4_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@registered("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
