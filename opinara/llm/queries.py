@@ -7,8 +7,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import bpe, quality_rules, url_filter
+from opinara.llm import bpe, html_text, quality_rules, url_filter, warc
 from opinara.llm.jaccard_join import jaccard_components
+from opinara.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,3 +95,31 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@registered(
+    "op5_warc",
+    """
+    WITH p AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+            sha1(coalesce(html, '')) AS payload_digest
+        FROM pages
+    ), g AS (
+        SELECT payload_digest, payload_bytes, max(page_id) AS first FROM p
+        WHERE payload_bytes >= 1000 GROUP BY ALL
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM p LEFT JOIN g USING (payload_digest, payload_bytes)
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path)
+
+
+@registered("op8_html_extraction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
