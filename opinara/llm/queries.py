@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import bpe, html_text, quality_rules, url_filter, warc
+from opinara.llm import bpe, html_text, quality_knn, quality_rules, toxicity, url_filter, warc
 from opinara.llm.jaccard_join import jaccard_components
 from opinara.session import shared_dir
 
@@ -123,3 +123,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op8_html_extraction")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@registered("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

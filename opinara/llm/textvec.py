@@ -105,7 +105,11 @@ def words(column: pa.Array, cuts: np.ndarray = BLANKS, fold: bool = True, heads=
     ``heads`` and ``tails`` name byte lengths; the hash of each word's first or last so many bytes
     is returned under ``extra`` (0 where the word is not longer than that).
     """
-    data, bounds = buffers(column)
+    return words_of(*buffers(column), cuts, fold, heads, tails)
+
+
+def words_of(data, bounds, cuts=BLANKS, fold=True, heads=(), tails=()) -> Words:
+    """`words` of bytes and row bounds."""
     code = _FOLDED if fold else _CODE
     parts: list[tuple[np.ndarray, ...]] = []
     for at, to in _pieces(data, bounds, cuts):
@@ -145,6 +149,22 @@ def words(column: pa.Array, cuts: np.ndarray = BLANKS, fold: bool = True, heads=
     return Words(row, got[0] - base, got[1] - base, got[2], dict(zip(names, got[3:], strict=True)))
 
 
+def find(keys: np.ndarray, x: np.ndarray, filter_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into x, index into the sorted keys) of the values that are keys. See `sieve`."""
+    at = np.flatnonzero(filter_[(x & _U(len(filter_) - 1)).astype(np.int64)])
+    place = np.searchsorted(keys, x[at])
+    hit = np.flatnonzero(keys[np.minimum(place, len(keys) - 1)] == x[at]) if len(keys) else at[:0]
+    return at[hit], place[hit]
+
+
+def sieve(keys: np.ndarray) -> np.ndarray:
+    """A table that tells most values that are no keys at one lookup each."""
+    size = 1 << max(16, int(np.ceil(np.log2(max(len(keys), 1)))) + 5)
+    out = np.zeros(size, bool)
+    out[(keys & _U(size - 1)).astype(np.int64)] = True
+    return out
+
+
 def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first word and hash of every run of ``k`` words inside one row."""
     n = len(w) - k + 1
