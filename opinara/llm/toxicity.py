@@ -4,12 +4,14 @@ Voters: hand-written lexicons by kind of insult; lexicons of words and of word b
 labelled rows show in toxic texts, each split into several voters; patterns (shouting, marks of
 anger, insults near "you"). A voter says toxic, clean or nothing. A generative label model with
 class-conditional means (accuracies) and a shared covariance (correlations) is started on the
-labels and refined by expectation-maximisation over all sampled rows. Its posteriors, not the
-labels, train a logistic classifier on hashed words and word beginnings, which scores every text.
+labels and refined by expectation-maximisation over the votes of all sampled rows; the label of a
+row is one voter more. The model's posteriors, not the labels, train a logistic classifier on hits
+in each lexicon and on hashed words and word beginnings, which scores every text. A hashed feature
+enters with a size that grows with its evidence, so words that met toxic texts by chance stay weak.
 
 Feature counts are aggregated by Spark; the driver receives at most ``FEATURES`` of them and, per
 sampled row, the votes and the numbers of its features. The sample is bounded by ``LABELLED``
-labelled rows, copies counted once. Empty and null texts score as a text without any sign.
+labelled rows; copies and near copies in it are thinned, so that their rare words count once. Empty and null texts score as a text without any sign.
 Without labelled rows the hand-written lexicons decide.
 """
 
@@ -30,16 +32,17 @@ from opinara.session import staged
 
 LABELLED = 8192  # bound of the labelled rows that the model is fitted on
 FEATURES = 4096
-SUPPORT = 6  # texts that must hold a feature
+SUPPORT = 3  # texts that must hold a feature
 HEADS = (4, 5, 6)
 SPLITS = 3
+THIN = 3
 
 # Common insults by kind, lower case.
 LEXICONS = {
     "intelligence": "idiot idiots stupid moron morons dumb fool imbecile dimwit clown clowns",
     "worth": "worthless loser losers pathetic useless trash garbage scum vermin filth lowlife",
-    "disgust": "disgusting gross vile repulsive revolting sickening nasty hideous",
-    "hostility": "hate kill die shut hell damn bastard bitch crap shit fuck fucking asshole",
+    "disgust": "disgusting vile repulsive revolting sickening nasty hideous",
+    "hostility": "damn bastard bastards bitch crap shit fuck fucking asshole",
 }
 YOU = "you your du ihr tu vous toi usted"
 
@@ -61,6 +64,36 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, tv.Words]:
     return np.concatenate(row), np.concatenate(value), w
 
 
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least hashes of each text's 5-word runs under ``THIN`` orders; near copies share some."""
+    for whole in batches:
+        for part in tv.slices(whole, "text", 1 << 20):
+            w = tv.words(part.column(1))
+            at, h = tv.grams(w, 5)
+            out = []
+            for seed in range(THIN):
+                low = tv.mix(part_ids(part), 70 + seed)
+                own = np.full(part.num_rows, np.iinfo(np.uint64).max, np.uint64)
+                np.minimum.at(own, w.row[at], tv.mix(h, 60 + seed))
+                none = np.bincount(w.row[at], minlength=part.num_rows) == 0
+                out.append(pa.array(tv.signed(np.where(none, low, own))))
+            names = [f"m{i}" for i in range(THIN)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *out], [*part.schema.names, *names])
+
+
+def part_ids(part: pa.RecordBatch) -> np.ndarray:
+    return part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def thinned(sample: DataFrame) -> DataFrame:
+    """The sample with one text of most groups of near copies."""
+    marks = "".join(f", m{i} long" for i in range(THIN))
+    out = sample.mapInArrow(_thin, "doc_id long, text string, label int" + marks)
+    for i in range(THIN):
+        out = out.dropDuplicates([f"m{i}"])
+    return staged(out.select("doc_id", "text", "label"), "toxicity-sample")
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct features of each sampled row with its label."""
     for whole in batches:
@@ -92,16 +125,20 @@ def chosen_features(sample: DataFrame, positive: int, negative: int) -> list:
     return table.orderBy(F.abs("z").desc(), "feature").limit(FEATURES).collect()
 
 
+def lexicons(induced: list[int]) -> list[np.ndarray]:
+    """Hashes of the hand-written lexicons, then of the induced one in ``SPLITS`` parts."""
+    groups: list[list[int]] = [[] for _ in range(SPLITS)]
+    for value in induced:
+        groups[value % SPLITS].append(value)
+    hand = [_hashes(words) for words in LEXICONS.values()]
+    return hand + [np.unique(np.array(g, np.uint64)) for g in groups]
+
+
 class Voters:
     """Lexicon and pattern voters of a batch of texts."""
 
-    def __init__(self, induced: list[tuple[int, float]]):
-        """``induced``: features (as unsigned numbers) whose texts are mostly toxic."""
-        self.lists = [_hashes(words) for words in LEXICONS.values()]
-        groups: list[list[int]] = [[] for _ in range(SPLITS)]
-        for value, _ in induced:
-            groups[value % SPLITS].append(value)
-        self.lists += [np.unique(np.array(g, np.uint64)) for g in groups]
+    def __init__(self, lists: list[np.ndarray]):
+        self.lists = lists
         self.sieves = [tv.sieve(x) for x in self.lists]
         self.you = _hashes(YOU)
 
@@ -167,37 +204,51 @@ class LabelModel:
         return self.means[1] - self.means[0]
 
 
-def train_linear(rows, columns, n, m, target, decay=1e-3, rounds=300, rate=0.1):
-    """Logistic weights of binary features given as (row, column) pairs, by Adam."""
+def train_linear(rows, columns, scale, n, target, decay=2e-4, rounds=400, rate=0.1):
+    """Logistic weights of the features present, (row, column) pairs of size ``scale``, by Adam."""
+    m = len(scale)
     w, b = np.zeros(m), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     m1, m2 = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(rows, w[columns], minlength=n) + b
+        z = np.bincount(rows, (w * scale)[columns], minlength=n) + b
         off = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        grad = np.bincount(columns, off[rows], minlength=m) / n + decay * w
+        grad = scale * np.bincount(columns, off[rows], minlength=m) / n + decay * w
         grad = np.append(grad, off.mean())
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.999 * m2 + 0.001 * grad * grad
-        step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+        step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-6)
         w, b = w - step[:m], b - step[m]
-    return w, b
+    return w * scale, b
 
 
 @dataclass
 class Classifier:
+    """Weights of the features ``keys``, then of a hit in each lexicon."""
+
     keys: np.ndarray
+    lists: list[np.ndarray]
     weights: np.ndarray
     bias: float
 
     def __post_init__(self):
         self.sieve = tv.sieve(self.keys)
+        self.insults = np.unique(np.concatenate(self.lists))
+        self.insult_sieve = tv.sieve(self.insults)
+
+    @property
+    def width(self) -> int:
+        return len(self.keys) + len(self.lists)
 
     def present(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (row, column number) of the classifier's features."""
         row, value, _ = features(column)
         at, key = tv.find(self.keys, value, self.sieve)
-        pairs = np.unique(row[at] * max(len(self.keys), 1) + key)
-        return np.divmod(pairs, max(len(self.keys), 1))
+        pairs = [row[at] * self.width + key]
+        at, _ = tv.find(self.insults, value, self.insult_sieve)
+        for j, words in enumerate(self.lists):
+            hit = at[np.isin(value[at], words)]
+            pairs.append(row[hit] * self.width + len(self.keys) + j)
+        return np.divmod(np.unique(np.concatenate(pairs)), self.width)
 
     def score(self, column: pa.Array) -> np.ndarray:
         row, key = self.present(column)
@@ -223,27 +274,32 @@ def _described(batches, voters: Voters, empty: Classifier) -> Iterator[pa.Record
 
 def fit(sample: DataFrame) -> tuple[Classifier, LabelModel | None]:
     """Classifier and label model of a bounded sample (doc_id, text, label)."""
-    sample = staged(sample.dropDuplicates(["text"]), "toxicity-sample")
+    sample = thinned(sample)
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)
-    hand = np.unique(np.concatenate([_hashes(x) for x in LEXICONS.values()]))
     if not positive or not negative:
-        return Classifier(hand, np.full(len(hand), 4.0), -2.0), None
+        lists = lexicons([])
+        return Classifier(np.zeros(0, np.uint64), lists, np.full(len(lists), 4.0), -2.0), None
     found = chosen_features(sample, positive, negative)
-    keys = np.unique(np.array([r.feature for r in found], np.int64).view(np.uint64))
-    toxic = [(r.feature % (1 << 64), r.z) for r in found if r.z > 4 and r.t > 0.8 * r.n]
-    voters, empty = Voters(toxic), Classifier(keys, np.zeros(len(keys)), 0.0)
+    found.sort(key=lambda r: r.feature % (1 << 64))
+    keys = np.array([r.feature for r in found], np.int64).view(np.uint64)
+    lists = lexicons([r.feature % (1 << 64) for r in found if r.z > 3.5 and r.t >= 0.9 * r.n])
+    voters = Voters(lists)
+    empty = Classifier(keys, lists, np.zeros(len(keys) + len(lists)), 0.0)
+    size_of = np.minimum(1.0, np.abs(np.array([r.z for r in found])) / 10) ** 2
+    scale = np.concatenate([size_of, np.ones(len(lists))])
     rows = sample.mapInArrow(
         lambda it: _described(it, voters, empty),
         "label int, votes array<double>, present array<int>",
     ).collect()
-    votes = np.array([r.votes for r in rows])
-    model = LabelModel.fit(votes, np.array([r.label for r in rows]))
+    label = np.array([r.label for r in rows])
+    votes = np.column_stack([np.array([r.votes for r in rows]), 2 * label - 1])
+    model = LabelModel.fit(votes, label)
     target = model.posterior(votes)
     size = np.array([len(r.present) for r in rows])
     columns = np.fromiter((c for r in rows for c in r.present), np.int64, int(size.sum()))
-    w, b = train_linear(np.repeat(np.arange(len(rows)), size), columns, len(rows), len(keys), target)
-    return Classifier(keys, w, b), model
+    w, b = train_linear(np.repeat(np.arange(len(rows)), size), columns, scale, len(rows), target)
+    return Classifier(keys, lists, w, b), model
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
