@@ -7,7 +7,16 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import bpe, html_text, quality_knn, quality_rules, toxicity, url_filter, warc
+from opinara.llm import (
+    bpe,
+    html_text,
+    quality_knn,
+    quality_rules,
+    secrets_crf,
+    toxicity,
+    url_filter,
+    warc,
+)
 from opinara.llm.jaccard_join import jaccard_components
 from opinara.session import shared_dir
 
@@ -133,3 +142,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@registered("op6_secret_scans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets_crf.scan(docs, secrets_crf.fit(docs))
