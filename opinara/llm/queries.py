@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opinara.llm import (
     bpe,
+    decontamination,
     html_text,
     quality_knn,
     quality_rules,
@@ -148,3 +149,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets_crf.scan(docs, secrets_crf.fit(docs))
+
+
+@registered("op1_benchmark_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
