@@ -146,6 +146,19 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def _kept(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for part in tv.slices(whole, "text"):
+            text = part.column(part.schema.get_field_index("text"))
+            yield part.filter(pa.array(model.value.score(counts(text)) >= threshold))
+
+
+def kept(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The documents that reach the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda it: _kept(it, shared, threshold), docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted); the held-out fold is never learned from."""
     model = fit(labelled_sample(docs, labels, "quality", LABELLED, parts, held_out))
