@@ -14,7 +14,8 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
+from workload.oracle import ORACLE  # noqa: E402
+from workload.queries import QUERIES  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +54,10 @@ def test_query_equals_oracle(spark, duck, name):
     assert got == want
 
 
+def test_driver_serves_every_query():
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLE) <= set(driver.oracle_sql())
+
+
 def test_trained_flag_covers_every_document(spark):
     out = QUERIES["ml_toxicity"](spark, SF)
     assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
