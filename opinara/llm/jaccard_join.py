@@ -10,7 +10,7 @@ meetings expected among all rows. The choice changes the work, never the result.
 
 Records of a shared key are a bucket. Buckets are not expanded into pairs. Rounds of verification
 compare hubs with the members that are still in another component; each round retires its hubs and
-draws four times as many, until no bucket holds members of two components that were not compared.
+draws many times as many, until no bucket holds members of two components that were not compared.
 Copies of one set are collapsed before all this, so a large group of copies is one record.
 
 Nulls, empty texts: empty set, linked with nothing. Repeated doc_ids with equal texts collapse;
@@ -31,6 +31,7 @@ from opinara.llm import textvec as tv
 from opinara.session import staged
 
 _U = np.uint64
+MORE_HUBS = 16  # times as many hubs of a bucket in each further round
 
 
 def distinct_shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,8 +299,9 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         if pairs.isEmpty():
             return comp
         found = staged(linked_pairs(pairs, texts, k, percent), "jaccard-links")
-        links = found if links is None else links.union(found)
-        comp = components(links)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            comp = components(links)
         rest = active.join(
             hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti"
         )
@@ -308,7 +310,7 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
             .join(comp, "id", "left")
             .select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
         )
-        hubs_wanted *= 4
+        hubs_wanted *= MORE_HUBS
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
