@@ -3,25 +3,36 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def games_from_json(df: DataFrame, json_map: Column) -> DataFrame:
-    """A JSON object ``{game: package}`` per row -> (game, package_name) rows."""
+def games_from_json(df: DataFrame, json_map: Column, *keys: str) -> DataFrame:
+    """A JSON object ``{game: package}`` per row -> (*keys, game, package_name) rows."""
     return df.select(
+        *keys,
         F.explode(F.from_json(json_map, "map<string,string>")).alias("game", "package_name")
     )
 
 
 def games_param(spark: SparkSession, games: str | Mapping[str, str]) -> DataFrame:
-    """The ``games`` job parameter as a DataFrame."""
+    """The ``games`` job parameter as a DataFrame. Text that is not a JSON object raises."""
     text = games if isinstance(games, str) else json.dumps(dict(games))
+    if not isinstance(json.loads(text), dict):
+        raise ValueError(f"games must be a JSON object of game: package, not {text!r}")
     return games_from_json(spark.range(1), F.lit(text))
 
 
+def languages_param(languages: str | Sequence[str]) -> list[str]:
+    """The ``languages`` job parameter: a list, or its JSON text."""
+    found = json.loads(languages) if isinstance(languages, str) else list(languages)
+    if not isinstance(found, list) or not all(isinstance(x, str) and x.strip() for x in found):
+        raise ValueError(f"languages must be a list of codes, not {languages!r}")
+    return found
+
+
 def merge_games(base: DataFrame, config: DataFrame) -> DataFrame:
     """Base games united with configured games; the configured package wins on a clash."""
     return base.alias("b").join(config.alias("c"), "game", "full_outer").select(

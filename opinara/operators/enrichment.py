@@ -13,17 +13,6 @@ from ..functions.themes import flatten_dims
 from ..functions.timewin import instant
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows of a file scan over all cores, only if it has fewer splits than cores.
-
-    Scoring is bound by CPU, so a few large splits would leave cores idle. An input with enough
-    splits, which is any large one, is returned as it is and its texts are not shuffled. The
-    number of tasks is left to AQE, so a small input on a large cluster stays a few tasks.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(*keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def score_texts(df: DataFrame, scorer: Scorer, text: str = "content") -> DataFrame:
     """Add ``sentiment`` and the seven flags; all NULL where there is no text.
 

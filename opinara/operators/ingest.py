@@ -19,23 +19,26 @@ TARGET = ("game", "language")
 
 
 def decode_pages(pages: DataFrame, targets: DataFrame) -> DataFrame:
-    """Landed page payload -> review columns plus ``page`` and ``pos``.
+    """Landed page payload -> review columns plus ``run``, ``page`` and ``pos``.
+
+    Pages without a ``run`` column are one run.
 
     ``targets`` (game, package_name, language) names the game of each package. A payload column
     that is absent raises here, at plan time, rather than becoming NULL.
     """
-    missing = [c for c in PAGE_PAYLOAD.names if c not in pages.columns]
+    missing = [c for c in PAGE_PAYLOAD.names if c not in pages.columns and c != "run"]
     if missing:
         raise KeyError(f"page payload lacks {missing}")
     typed = pages.select(
         "package_name",
         "language",
+        (F.col("run") if "run" in pages.columns else F.lit("")).alias("run"),
         "page",
         "pos",
         *[F.col(src).alias(dst) for src, dst in PAGE_FIELDS.items()],
     )
     joined = typed.join(targets, ["package_name", "language"])
-    return joined.select(*REVIEW_ROW.names, "page", "pos")
+    return joined.select(*REVIEW_ROW.names, F.coalesce("run", F.lit("")).alias("run"), "page", "pos")
 
 
 def ingest_targets(games: DataFrame, languages: Sequence[str]) -> DataFrame:
@@ -54,14 +57,14 @@ def watermarks(stored: DataFrame, by: Sequence[str] = ("game",)) -> DataFrame:
 
 
 def _read_order() -> Column:
-    """Position in the source's newest-first order within one target."""
+    """Position in the source's newest-first order within one target and run."""
     return F.struct("page", "pos")
 
 
 def source_cut(
     rows: DataFrame, marks: DataFrame, by: Sequence[str] = ("game",)
 ) -> DataFrame:
-    """Rows read before the first one older than the watermark, per game and language.
+    """Rows read before the first one older than the watermark, per run, game and language.
 
     A reader that pages newest-first stops at that row, so anything behind it is not seen even
     if it is newer. A row exactly at the watermark is kept; targets without one are not cut. The
@@ -69,12 +72,13 @@ def source_cut(
     """
     marked = rows.join(marks, list(by), "left")
     older = marked.filter(F.col("at") < F.col("last_at"))
-    first_per_page = older.groupBy(*TARGET, "page").agg(F.min("pos").alias("pos"))
+    by_run = [*(["run"] if "run" in rows.columns else []), *TARGET]
+    first_per_page = older.groupBy(*by_run, "page").agg(F.min("pos").alias("pos"))
     stops = staged(
-        first_per_page.groupBy(*TARGET).agg(F.min(_read_order()).alias("_stop")), "stops"
+        first_per_page.groupBy(*by_run).agg(F.min(_read_order()).alias("_stop")), "stops"
     )
     before_stop = F.col("_stop").isNull() | (_read_order() < F.col("_stop"))
-    return rows.join(stops, list(TARGET), "left").filter(before_stop).select(*rows.columns)
+    return rows.join(stops, by_run, "left").filter(before_stop).select(*rows.columns)
 
 
 def max_pages(backfill_max: int, page_count: int) -> int:
@@ -87,22 +91,25 @@ def page_cap(
     marks: DataFrame,
     pages: int,
     backfill: bool = False,
-    first_load: str = "game",
+    first_load: str = "none",
     by: Sequence[str] = ("game",),
 ) -> DataFrame:
     """Keep the first ``pages`` pages (numbered from 0) where the cap applies.
 
-    It applies to every target in backfill mode. Otherwise it applies to targets without a
-    watermark (``first_load="game"``), or only when no game has one (``first_load="table"``).
+    It applies to every target in backfill mode. Otherwise it applies to none (the default, so no
+    review is left unread), to all targets while no game has a watermark (``first_load="table"``),
+    or to each target without one (``first_load="game"``). What a cap leaves out is not read later.
     """
     within = F.col("page") < F.lit(pages)
     if backfill:
         return rows.filter(within)
+    if first_load == "none":
+        return rows
     if first_load == "table":
         any_mark = marks.agg(F.count("*").alias("n")).select(F.col("n") > 0).scalar()
         return rows.filter(any_mark | within)
     if first_load != "game":
-        raise ValueError(f"first_load must be 'game' or 'table', not {first_load!r}")
+        raise ValueError(f"first_load must be 'none', 'game' or 'table', not {first_load!r}")
     known = marks.select(*by, F.lit(True).alias("_known"))
     return (
         rows.join(known, list(by), "left")
@@ -116,8 +123,10 @@ def dedup_reviews(rows: DataFrame) -> DataFrame:
 
     A rank filter of one lets Spark drop all but one copy per task before the shuffle.
     """
+    # The newest run has the newest state of a review.
+    run = [F.desc("run")] if "run" in rows.columns else []
     first_read = Window.partitionBy("review_id").orderBy(
-        "page", "pos", "game", "language"
+        *run, "page", "pos", "game", "language"
     )
     return (
         rows.withColumn("_copy", F.row_number().over(first_read))
@@ -137,7 +146,7 @@ def select_new(
     targets: DataFrame,
     pages_allowed: int,
     backfill: bool = False,
-    first_load: str = "game",
+    first_load: str = "none",
     by: Sequence[str] = ("game",),
 ) -> DataFrame:
     """The reviews one ingest run adds. In backfill mode the watermark is ignored."""

@@ -90,11 +90,15 @@ def deletion_report(target: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Add the columns of ``schema`` that ``df`` lacks, as typed NULLs, in schema order."""
+    """Add the columns of ``schema`` that ``df`` lacks, as typed NULLs, in schema order.
+
+    Columns that the schema does not name stay, behind the others.
+    """
     have = set(df.columns)
     return df.select(
         *[
             F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
             for f in schema.fields
-        ]
+        ],
+        *[c for c in df.columns if c not in schema.names],
     )

@@ -14,14 +14,19 @@ def sample_key(id_col: str, seed: str) -> Column:
 
 
 def sampled_ids(
-    rows: DataFrame, group: str, id_col: str, k: int, seed: str, salts: int = 64
+    rows: DataFrame, group: str, id_col: str, k: int, seed: str, slices: int = 64
 ) -> DataFrame:
     """Ids of the ``k`` lowest sample keys per group, at most ``k`` per group.
 
-    Ranks run on ids alone, first inside salted slices of a group and then over the survivors,
-    so the last step sees at most ``salts * k`` narrow rows per group whatever the group's size.
+    Ranks run on ids alone, first inside slices of a group and then over the survivors. A slice is
+    some of the read tasks, so each task sends its ``k`` lowest rows of a group to one slice only;
+    the result does not depend on the slicing. ``k`` must be within the limit up to which Spark
+    ranks before the shuffle.
     """
-    slice_of = F.pmod(F.xxhash64(id_col), F.lit(salts))
+    limit = int(rows.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if k > limit:
+        raise ValueError(f"k is {k}; raise spark.sql.optimizer.windowGroupLimitThreshold ({limit})")
+    slice_of = F.pmod(F.spark_partition_id(), F.lit(slices))
     keyed = rows.select(
         group, id_col, sample_key(id_col, seed).alias("sample_key"), slice_of.alias("_slice")
     )
@@ -31,7 +36,7 @@ def sampled_ids(
         return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
 
     return lowest(lowest(keyed, group, "_slice").drop("_rank"), group).select(
-        group, id_col, "sample_key"
+        group, id_col
     )
 
 
@@ -43,7 +48,7 @@ def sample_per_group(
     The sampled ids are staged, so while they are few the texts are not shuffled to meet them.
     """
     ids = staged(sampled_ids(rows, group, id_col, k, seed), "sample")
-    return rows.join(ids, [group, id_col])
+    return rows.join(ids, [group, id_col]).withColumn("sample_key", sample_key(id_col, seed))
 
 
 def review_line() -> Column:

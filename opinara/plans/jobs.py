@@ -41,20 +41,22 @@ def run_ingest(
     schema: str,
     pages: DataFrame,
     games: str | Mapping[str, str],
-    languages: Sequence[str],
+    languages: str | Sequence[str],
     backfill: bool = False,
     backfill_max: int = BACKFILL_MAX,
     page_count: int = PAGE_COUNT,
-    first_load: str = "game",
+    first_load: str = "none",
     ingested_at: datetime | None = None,
 ) -> int:
     """Append the new reviews of the landed pages; returns how many were written.
 
-    All pages of a run are one commit and the watermark is read from the table, so a run that
-    dies cannot move the watermark past pages it did not store.
+    ``pages`` may hold the pages of several runs; each is cut on its own. They are read more than
+    once, so they must be landed: `read_pages` and `fetch_pages` return such.
     """
     raw = tables.name(schema, "reviews_raw")
-    targets = ingest.ingest_targets(monitored_games(spark, schema, games), languages)
+    targets = ingest.ingest_targets(
+        monitored_games(spark, schema, games), catalog.languages_param(languages)
+    )
     rows = ingest.select_new(
         pages,
         spark.table(raw),

@@ -69,7 +69,7 @@ def table_or_empty(spark: SparkSession, table: str, schema: T.StructType) -> Dat
     """An optional source: the table, or no rows of its schema when it does not exist."""
     if spark.catalog.tableExists(table):
         return spark.table(table)
-    return evolve(spark.range(0), schema)
+    return evolve(spark.range(0).select(), schema)
 
 
 def append(df: DataFrame, table: str) -> int:
@@ -100,6 +100,9 @@ def replace(df: DataFrame, table: str) -> None:
     current = spark.table(table)
     base = re.sub(r"@[0-9a-f]{32}$", "", _location(spark, table).rstrip("/"))
     snapshot = f"{base}@{uuid.uuid4().hex}"
+    extra = set(df.columns) - set(current.schema.names)
+    if extra:
+        raise ValueError(f"{sorted(extra)} are no columns of {table}; add them first")
     evolve(df, current.schema).write.parquet(snapshot)
     quoted = snapshot.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{quoted}'")

@@ -77,7 +77,7 @@ WEEKLY_REPORTS = _struct(
     ("report", _S),
     ("window_start", T.DateType()),
     ("window_end", T.DateType()),
-    ("n_reviews", _I),
+    ("n_reviews", T.LongType()),
     ("avg_score", T.DoubleType()),
     ("_generated_at", _TS),
 )
@@ -98,10 +98,12 @@ PAGE_FIELDS = {
 
 _PAYLOAD_TYPES = {REVIEW_ROW[c].name: REVIEW_ROW[c].dataType for c in PAGE_FIELDS.values()}
 
+# ``run`` names the reading that a page belongs to; positions compare within a run only.
 PAGE_PAYLOAD = T.StructType(
     [
         T.StructField("package_name", _S),
         T.StructField("language", _S),
+        T.StructField("run", _S),
         T.StructField("page", _I),
         T.StructField("pos", T.LongType()),
         *[T.StructField(src, _PAYLOAD_TYPES[dst]) for src, dst in PAGE_FIELDS.items()],

@@ -7,6 +7,7 @@ targets are spread over tasks and each task yields one page at a time.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import PAGE_FIELDS, PAGE_PAYLOAD
+from ..session import staged
 
 # fetch(package_name, language, country, count, token) -> (reviews, next token or None)
 Fetch = Callable[[str, str, str, int, Any], tuple[list[dict], Any]]
@@ -27,14 +29,19 @@ def fetch_pages(
     page_count: int = 200,
     pause_s: float = 0.3,
     parallelism: int = 32,
+    run: str | None = None,
 ) -> DataFrame:
-    """Page payload rows of every target.
+    """Page payload rows of every target, landed before they are used.
+
+    Each page is asked for once and under one run key (``run``, by default the time), so what is
+    posted meanwhile cannot shift the positions that the ingest compares.
 
     ``targets`` has package_name, language, ``last_at`` (watermark or NULL) and ``max_pages``
     (cap or NULL). A target ends with the token, at its cap, or after the page that holds a
     review older than its watermark; ``operators.ingest.source_cut`` makes the exact cut.
     """
     columns = PAGE_PAYLOAD.names
+    run = run or f"{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
     dtypes = {"page": "int32", "pos": "int64", "score": "Int32", "thumbsUpCount": "Int32"}
 
     def read_target(row) -> Iterator[pd.DataFrame]:
@@ -47,6 +54,7 @@ def fetch_pages(
                 {
                     "package_name": row.package_name,
                     "language": row.language,
+                    "run": run,
                     "page": page,
                     "pos": pos,
                     # Key access: a field the source no longer sends must fail, not be NULL.
@@ -73,4 +81,4 @@ def fetch_pages(
         F.col("last_at").cast("timestamp_ntz").alias("last_at"),
         F.col("max_pages").cast("int").alias("max_pages"),
     )
-    return work.repartition(parallelism).mapInPandas(read, PAGE_PAYLOAD)
+    return staged(work.repartition(parallelism).mapInPandas(read, PAGE_PAYLOAD), "pages")

@@ -64,10 +64,11 @@ def test_page_cap_modes(spark):
     none = spark.createDataFrame([], MARKS)
     own = spark.createDataFrame([("g", T0)], MARKS)
     other = spark.createDataFrame([("other", T0)], MARKS)
-    assert ids(ingest.page_cap(data, none, 1)) == ["a", "b"]
-    assert ids(ingest.page_cap(data, own, 1)) == ["a", "b", "c", "d"]
+    assert ids(ingest.page_cap(data, none, 1)) == ["a", "b", "c", "d"]
+    assert ids(ingest.page_cap(data, none, 1, first_load="game")) == ["a", "b"]
+    assert ids(ingest.page_cap(data, own, 1, first_load="game")) == ["a", "b", "c", "d"]
     # A game added later: capped on its own, uncapped when first load means an empty table.
-    assert ids(ingest.page_cap(data, other, 1)) == ["a", "b"]
+    assert ids(ingest.page_cap(data, other, 1, first_load="game")) == ["a", "b"]
     assert ids(ingest.page_cap(data, other, 1, first_load="table")) == ["a", "b", "c", "d"]
     assert ids(ingest.page_cap(data, none, 1, first_load="table")) == ["a", "b"]
     assert ids(ingest.page_cap(data, own, 1, backfill=True)) == ["a", "b"]
@@ -112,7 +113,7 @@ GAMES = {"O'Neil\\x": "com.a", "Beta": "com.b"}
 
 def payload(spark, *items):
     data = [
-        (pkg, lang, page, pos, rid, "u", f"text {rid}", 5, 0, None, hours(h), None, None, None)
+        (pkg, lang, "run", page, pos, rid, "u", f"text {rid}", 5, 0, None, hours(h), None, None, None)
         for pkg, lang, page, pos, rid, h in items
     ]
     return spark.createDataFrame(data, PAGE_PAYLOAD)
@@ -183,7 +184,7 @@ def test_missing_payload_column_raises(spark):
 
 def test_landed_json_round_trip(spark, tmp_path):
     path = str(tmp_path / "pages")
-    payload(spark, *FIRST).write.json(path)
+    payload(spark, *FIRST).write.option("ignoreNullFields", False).json(path)
     assert rows(read_pages(spark, path)) == rows(payload(spark, *FIRST))
 
 
@@ -240,9 +241,8 @@ def test_fetch_pages_fails_on_a_missing_field(spark):
         page, token = _fetch(*args)
         return [{k: v for k, v in r.items() if k != "score"} for r in page], token
 
-    got = fetch_pages(_api_targets(spark, ("all", "en", None, None)), broken, "br", pause_s=0)
     with pytest.raises(Exception, match="score"):
-        got.collect()
+        fetch_pages(_api_targets(spark, ("all", "en", None, None)), broken, "br", pause_s=0)
 
 
 def test_fetched_pages_feed_the_ingest_job(spark, schema):
@@ -252,6 +252,72 @@ def test_fetched_pages_feed_the_ingest_job(spark, schema):
     assert jobs.run_ingest(spark, schema, pages, GAMES, ["en"]) == 8
 
 
+def test_pages_are_fetched_once_and_under_one_run(spark, schema, tmp_path):
+    """A review posted between two readings would shift positions; there is one reading only."""
+    calls = str(tmp_path)
+
+    def counted(*args):
+        import uuid
+        from pathlib import Path
+
+        Path(calls, uuid.uuid4().hex).touch()
+        return _fetch(*args)
+
+    tables.create_tables(spark, schema)
+    targets = _api_targets(spark, ("com.b", "en", T0 - timedelta(hours=20), None))
+    pages = fetch_pages(targets, counted, "br", page_count=4, pause_s=0)
+    assert pages.select("run").distinct().count() == 1
+    assert jobs.run_ingest(spark, schema, pages, GAMES, ["en"]) == 10
+    assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_runs_kept_in_one_folder_lose_nothing(spark, schema, tmp_path):
+    """Three daily runs land in one folder; each lists a day of news and some of the day before."""
+    import json
+
+    tables.create_tables(spark, schema)
+    landing, written = tmp_path / "pages", []
+    landing.mkdir()
+    for day in range(3):
+        lines = []
+        for pos, i in enumerate(range(day * 10 + 9, day * 10 - 3, -1)):
+            row = _fetch("com.b", "en", "br", 1, 0)[0][0]
+            at = (T0 + timedelta(hours=i)).isoformat()
+            row |= {"reviewId": f"r{i}", "at": at, "package_name": "com.b", "language": "en"}
+            lines.append(json.dumps(row | {"run": f"run-{day}", "page": 0, "pos": pos}))
+        (landing / f"day{day}.json").write_text("\n".join(lines))
+        pages = read_pages(spark, str(landing))
+        written.append(jobs.run_ingest(spark, schema, pages, GAMES, '["en"]'))
+    assert written == [12, 10, 10]
+
+
+def test_json_page_without_a_required_key_raises(spark, tmp_path):
+    import json
+
+    row = _fetch("com.b", "en", "br", 1, 0)[0][0]
+    row |= {"at": "2024-01-10T00:00:00", "package_name": "com.b", "language": "en", "page": 0, "pos": 0}
+    good, bad = tmp_path / "good", tmp_path / "bad"
+    good.mkdir()
+    bad.mkdir()
+    (good / "x.json").write_text(json.dumps(row))
+    (bad / "x.json").write_text(json.dumps({k: v for k, v in row.items() if k != "score"}))
+    got = read_pages(spark, str(good)).first()
+    assert got["reviewCreatedVersion"] is None and got["run"].endswith("/good")
+    with pytest.raises(Exception, match="page payload lacks score"):
+        read_pages(spark, str(bad)).collect()
+
+
+def test_malformed_parameters_raise(spark):
+    from opinara.operators import catalog
+
+    for bad in ("not json", "[1]"):
+        with pytest.raises(ValueError):
+            catalog.games_param(spark, bad)
+    with pytest.raises(ValueError):
+        catalog.languages_param('{"a": 1}')
+    assert catalog.languages_param('["pt", "en"]') == ["pt", "en"]
+
+
 # --- brute force ----------------------------------------------------------------------------
 
 
@@ -297,7 +363,7 @@ def test_run_equals_a_paging_loop_under_skew(spark, seed, backfill):
                 rid = "copy" if rng.random() < 1 / 3 else f"{game}{rng.randrange(60)}"
                 at = hours(200 - number * 10 - pos + rng.choice([0, 0, 0, -25, 15]))
                 page.append((rid, at))
-                data.append((f"com.{game}", lang, number, pos, rid, "u", "c", 5, 0, None, at,
+                data.append((f"com.{game}", lang, "", number, pos, rid, "u", "c", 5, 0, None, at,
                              None, None, None))
             pages.append(page)
         targets[game, lang] = pages
@@ -307,6 +373,6 @@ def test_run_equals_a_paging_loop_under_skew(spark, seed, backfill):
     got = ingest.select_new(
         spark.createDataFrame(data, PAGE_PAYLOAD),
         spark.createDataFrame(stored, "review_id string, game string, at timestamp"),
-        ingest.ingest_targets(config, ["en", "pt"]), 2, backfill=backfill,
+        ingest.ingest_targets(config, ["en", "pt"]), 2, backfill=backfill, first_load="game",
     )
     assert ids(got) == _read_by_loop(targets, stored, 2, backfill)

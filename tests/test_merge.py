@@ -71,6 +71,11 @@ def test_evolve_adds_typed_nulls(spark):
     assert out.first()["window_start"] is None and out.first()["game"] == "g"
 
 
+def test_evolve_keeps_columns_the_schema_lacks(spark):
+    out = merge.evolve(spark.createDataFrame([("g", 1)], "game string, extra int"), schemas.GAMES_META)
+    assert out.columns == [*schemas.GAMES_META.names, "extra"] and out.first()["extra"] == 1
+
+
 # --- tables ---------------------------------------------------------------------------------
 
 

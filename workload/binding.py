@@ -15,7 +15,7 @@ from opinara.functions.grading import grade
 from opinara.functions.scoring import lexicon_scorer
 from opinara.functions.text import has_content
 from opinara.functions.timewin import monday_of
-from opinara.operators.enrichment import score_texts, spread
+from opinara.operators.enrichment import score_texts
 from opinara.operators.reports import report_aggregates, template_report
 from opinara.schemas import DIMENSIONS, WEEKLY_REPORTS
 
@@ -66,8 +66,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, spread by id: the key they are joined on."""
-    return spread(documents(spark, sf_dir), "doc_id")
+    """All documents."""
+    return documents(spark, sf_dir)
 
 
 def as_of(spark: SparkSession, sf_dir: str) -> Column:
@@ -210,7 +210,7 @@ def report_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         template_report().alias("report"),
         "window_start",
         "window_end",
-        F.col("n_reviews").cast("int").alias("n_reviews"),
+        F.col("n_reviews").cast("long").alias("n_reviews"),
         "avg_score",
         F.col("window_end").cast("timestamp_ntz").alias("_generated_at"),
     ).select(*WEEKLY_REPORTS.names)

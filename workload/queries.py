@@ -79,10 +79,8 @@ def validate_packages(spark, sf):
 
 @query
 def parse_games_param(spark, sf):
-    events = b.table(spark, sf, "events")
-    return events.select(
-        "event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "value")
-    )
+    named = catalog.games_from_json(b.table(spark, sf, "events"), F.col("props"), "event_id")
+    return named.toDF("event_id", "name", "value")
 
 
 # --- ingest ---------------------------------------------------------------------------------
@@ -113,7 +111,9 @@ def source_cut(spark, sf):
 @query
 def page_cap(spark, sf):
     marks = staged(ingest.watermarks(b.stored(spark, sf)), "watermarks")
-    rows = ingest.page_cap(_decoded(spark, sf), marks, ingest.max_pages(600, 200))
+    rows = ingest.page_cap(
+        _decoded(spark, sf), marks, ingest.max_pages(600, 200), first_load="game"
+    )
     return _show(rows, "review_id", "game", "language", "page", "pos", "at")
 
 
@@ -289,7 +289,7 @@ def stream_ingest(spark, sf):
     columns = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}"
         for f in ingest.decode_pages(landed, b.games(spark, sf).withColumn("language", F.lit("")))
-        .drop("page", "pos").schema
+        .drop("run", "page", "pos").schema
     )
     spark.sql(
         f"CREATE TABLE {name} ({columns}, _ingested_at timestamp) "
