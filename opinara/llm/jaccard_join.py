@@ -2,11 +2,18 @@
 
 A document is the set of its distinct word shingles. Two sets of sizes n and s that reach the
 threshold t differ in at most H = (n + s)(1 - t) / (1 + t) shingles. Per size band the universe of
-shingles is hashed into segments. A segment is worth 1 when it is indexed by its exact subset and 2
-when it is indexed by its subset and all subsets with one shingle deleted. A record indexes leading
-segments until their worth exceeds its H; two records that link then share at least one key. How
-many segments of a band get deletions is a cost choice (`allocate`): keys written against chance
-meetings expected among all rows. The choice changes the work, never the result.
+shingles is hashed into segments, and a cost choice (`allocate`: keys written against chance meetings
+expected among all rows) gives the band one of two forms. The choice changes the work, never the
+result.
+
+* Deletions, for small sets: a segment is worth 2 when it is indexed by its subset and all subsets
+  with one shingle deleted, 1 when by its exact subset alone. A record indexes leading segments
+  until their worth exceeds its H; two records that link share at least one key.
+* Exact subsets: there are ``SPARE`` times H + 1 segments, so linked records agree on all but H of
+  them. Keys are ordered by how many records hold them, and each record keeps its H + 1 rarest, those
+  that no other record holds included; two records that link share one that both keep. Records with
+  more than H keys of their own link with nothing and drop out without a comparison, and keys that a
+  large group shares are kept only where a record has no rarer ones.
 
 Records of a shared key are a bucket. Buckets are not expanded into pairs. Rounds of verification
 compare hubs with the members that are still in another component; each round retires its hubs and
@@ -24,13 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.llm import textvec as tv
 from opinara.session import staged
 
 _U = np.uint64
+SPARE = 2  # segments for each one that linked records must agree on at least
 MORE_HUBS = 16  # times as many hubs of a bucket in each further round
 
 
@@ -74,7 +82,9 @@ class Bands:
         self.deleting = np.array(
             [allocate(int(n), int(h), self.rows) for n, h in zip(self.low, self.budget, strict=True)]
         )
-        self.segments = self.budget - self.deleting
+        self.segments = np.where(
+            self.deleting > 0, self.budget - self.deleting, SPARE * self.budget
+        )
 
     def apart(self, n, s):
         """Most shingles in which linked sets of these sizes can differ."""
@@ -114,12 +124,17 @@ def allocate(size: int, budget: int, rows: int) -> int:
 
 
 def signatures(row: np.ndarray, shingle: np.ndarray, n: np.ndarray, bands: Bands):
-    """Keys of each row's set as (row, key) arrays. ``n`` holds every row's set size."""
+    """Keys of each row's set as (row, key, slot) arrays. ``n`` holds every row's set size.
+
+    A slot numbers the band and says how many of the record's most frequent keys may be left out.
+    """
     idx, band, worth = bands.entries(n)
     if not len(idx):
-        return np.zeros(0, np.int64), np.zeros(0, _U)
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
     d, m = bands.deleting[band], bands.segments[band]
     used = np.where(worth <= 2 * d, -(-worth // 2), worth - d)
+    used = np.where(d > 0, used, m)
+    spare = np.where(d > 0, 0, m - worth)
     base = np.cumsum(used) - used
     begin = np.searchsorted(row, np.arange(len(n)))
     count = n[idx]
@@ -145,11 +160,13 @@ def signatures(row: np.ndarray, shingle: np.ndarray, n: np.ndarray, bands: Bands
     cut = seg < d[entry]
     slot, x = slot[cut], x[cut]
     keys = [key(total, size, owner, place), key(total[slot] - x, size[slot] - 1, owner[slot], place[slot])]
-    rows = [idx[owner], idx[owner[slot]]]
-    return np.concatenate(rows), np.concatenate(keys)
+    owner = np.concatenate([owner, owner[slot]])
+    return idx[owner], np.concatenate(keys), (band[owner] << 32) + spare[owner]
 
 
-SET_SCHEMA = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"
+SET_SCHEMA = (
+    "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, slots array<long>"
+)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[pa.RecordBatch]:
@@ -169,26 +186,28 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[p
                     seen.add(pair)
                     own[i] = True
             held = own[row]
-            at, keys = signatures(row[held], h[held], np.where(own, n, 0), bands)
+            at, keys, slots = signatures(row[held], h[held], np.where(own, n, 0), bands)
             order = np.argsort(at, kind="stable")
             ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=rows))])
-            lists = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(tv.signed(keys[order])), mask=pa.array(~own)
-            )
+            ends = pa.array(ends, pa.int32())
+            lists = [
+                pa.ListArray.from_arrays(ends, pa.array(x[order]), mask=pa.array(~own))
+                for x in (tv.signed(keys), slots)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).cast(pa.int64()),
                     pa.array(n),
                     pa.array(tv.signed(f1)),
                     pa.array(tv.signed(f2)),
-                    lists,
+                    *lists,
                 ],
-                ["doc_id", "n_shingles", "f1", "f2", "keys"],
+                ["doc_id", "n_shingles", "f1", "f2", "keys", "slots"],
             )
 
 
 def document_sets(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, keys) of every document, staged. One pass over the texts."""
+    """(doc_id, n_shingles, f1, f2, keys, slots) of every document, staged. One pass over the texts."""
     bands = Bands(percent, docs.count())
     got = docs.select("doc_id", "text").mapInArrow(lambda it: _sets(it, k, bands), SET_SCHEMA)
     return staged(got, "jaccard-sets")
@@ -208,9 +227,20 @@ def buckets(sets: DataFrame) -> DataFrame:
     again = again.filter("doc_id <> id").select("doc_id")
     records = keyed.join(again, "doc_id", "left_anti")
     keys = records.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    shared = shared.filter("low < high").select("key")
-    members = staged(keys.join(shared, "key"), "jaccard-members")
+    shared = keys.groupBy("key").agg(
+        F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("held")
+    )
+    shared = shared.filter("low < high").select("key", "held")
+    both = F.explode(F.arrays_zip("keys", "slots")).alias("x")
+    slotted = records.select(F.col("doc_id").alias("id"), both)
+    slotted = slotted.select("id", F.col("x.keys").alias("key"), F.col("x.slots").alias("slot"))
+    members = slotted.join(shared, "key")
+    # Of the shared keys of a record and band all but the ``spare`` most frequent are kept.
+    by = Window.partitionBy("id", "slot").orderBy(F.desc("held"), "key")
+    members = members.withColumn("place", F.row_number().over(by))
+    spare = F.col("slot").bitwiseAND(F.lit((1 << 32) - 1))
+    members = members.filter(F.col("place") > spare).select("key", "id").distinct()
+    members = staged(members, "jaccard-members")
     alike = members.groupBy("key").agg(
         F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("id")).alias("x"),
