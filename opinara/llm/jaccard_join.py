@@ -16,7 +16,8 @@ result.
   large group shares are kept only where a record has no rarer ones.
 
 Records of a shared key are a bucket. Buckets are not expanded into pairs. Rounds of verification
-compare hubs with the members that are still in another component; each round retires its hubs and
+compare hubs with the members that are still in another component and whose segments' tags allow a
+link; each round retires its hubs and
 draws many times as many, until no bucket holds members of two components that were not compared.
 Copies of one set are collapsed before all this, so a large group of copies is one record.
 
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.llm import textvec as tv
@@ -39,7 +40,7 @@ from opinara.session import staged
 
 _U = np.uint64
 SPARE = 2  # segments for each one that linked records must agree on at least
-MORE_HUBS = 16  # times as many hubs of a bucket in each further round
+MORE_HUBS = 64  # times as many hubs of a bucket in each further round
 
 
 def distinct_shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +240,8 @@ def buckets(sets: DataFrame) -> DataFrame:
     by = Window.partitionBy("id", "slot").orderBy(F.desc("held"), "key")
     members = members.withColumn("place", F.row_number().over(by))
     spare = F.col("slot").bitwiseAND(F.lit((1 << 32) - 1))
-    members = members.filter(F.col("place") > spare).select("key", "id").distinct()
+    band = F.shiftright("slot", 32).alias("band")
+    members = members.filter(F.col("place") > spare).select("key", "id", band).distinct()
     members = staged(members, "jaccard-members")
     alike = members.groupBy("key").agg(
         F.count("*").alias("n"),
@@ -247,7 +249,36 @@ def buckets(sets: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
     )
     alike = alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    return staged(members.join(alike, "key").withColumnRenamed("key", "bucket"), "jaccard-buckets")
+    member = members.join(alike, "key").withColumnRenamed("key", "bucket")
+    held = records.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return staged(member.join(tags(held), ["id", "band"]), "jaccard-buckets")
+
+
+def tags(records: DataFrame) -> DataFrame:
+    """(id, band, tags, most): a byte of each key of a record in a band, in segment order.
+
+    Segments with different tags differ, each by a shingle at least, so linked records show at most
+    ``most`` different tags. Bands with deletions have no tags, as their keys are no segments.
+    """
+    slot = F.explode(F.array_distinct("slots")).alias("slot")
+    x = records.select(F.col("doc_id").alias("id"), "keys", "slots", slot)
+    x = x.withColumn("spare", F.col("slot").bitwiseAND(F.lit((1 << 32) - 1)))
+    own = F.filter(F.arrays_zip("keys", "slots"), lambda k: k["slots"] == F.col("slot"))
+    byte = F.transform(own, lambda k: (k["keys"].bitwiseAND(F.lit(127))).cast("byte"))
+    return x.select(
+        "id",
+        F.shiftright("slot", 32).alias("band"),
+        F.when(F.col("spare") > 0, byte).alias("tags"),
+        (F.size(own) - F.col("spare") - 1).alias("most"),
+    )
+
+
+def may_link() -> Column:
+    """Whether hub and member differ in few enough tags."""
+    differ = F.size(F.filter(F.zip_with("hub_tags", "tags", lambda a, b: a != b), lambda d: d))
+    return F.col("tags").isNull() | F.col("hub_tags").isNull() | (
+        differ <= F.least("most", "hub_most")
+    )
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -310,7 +341,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, comp) of the records that link with another, from the buckets (bucket, id)."""
+    """(id, comp) of the records that link with another, from the buckets and their tags."""
     active = member.withColumn("comp", F.col("id"))
     links, comp, hubs_wanted = None, member.select("id", F.col("id").alias("comp")).limit(0), 1
     while True:
@@ -319,26 +350,34 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         active = staged(active.join(mixed, "bucket"), "jaccard-active")
         cell = F.pmod(F.xxhash64("id", F.lit(hubs_wanted)), F.lit(hubs_wanted))
         hubs = active.groupBy("bucket", cell.alias("cell")).agg(
-            F.min(F.struct("id", "comp")).alias("hub")
+            F.min(F.struct("id", "comp", "tags", "most")).alias("hub")
+        )
+        hubs = hubs.select(
+            "bucket",
+            F.col("hub.id").alias("hub"),
+            F.col("hub.comp").alias("hub_comp"),
+            F.col("hub.tags").alias("hub_tags"),
+            F.col("hub.most").alias("hub_most"),
         )
-        hubs = hubs.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.comp").alias("hub_comp"))
         hubs = staged(hubs, "jaccard-hubs")
-        pairs = hubs.join(active, "bucket").filter("comp <> hub_comp")
+        pairs = hubs.join(active, "bucket").filter((F.col("comp") != F.col("hub_comp")) & may_link())
         pairs = pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
         pairs = staged(pairs.distinct(), "jaccard-pairs")
         if pairs.isEmpty():
-            return comp
-        found = staged(linked_pairs(pairs, texts, k, percent), "jaccard-links")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            comp = components(links)
+            if active.isEmpty():
+                return comp
+        else:
+            found = staged(linked_pairs(pairs, texts, k, percent), "jaccard-links")
+            if not found.isEmpty():
+                links = found if links is None else links.union(found)
+                comp = components(links)
         rest = active.join(
             hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti"
         )
         active = (
-            rest.select("bucket", "id")
+            rest.drop("comp")
             .join(comp, "id", "left")
-            .select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
+            .withColumn("comp", F.coalesce("comp", "id"))
         )
         hubs_wanted *= MORE_HUBS
 
