@@ -228,10 +228,7 @@ def buckets(sets: DataFrame) -> DataFrame:
     again = again.filter("doc_id <> id").select("doc_id")
     records = keyed.join(again, "doc_id", "left_anti")
     keys = records.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(
-        F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("held")
-    )
-    shared = shared.filter("low < high").select("key", "held")
+    shared = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     both = F.explode(F.arrays_zip("keys", "slots")).alias("x")
     slotted = records.select(F.col("doc_id").alias("id"), both)
     slotted = slotted.select("id", F.col("x.keys").alias("key"), F.col("x.slots").alias("slot"))
@@ -251,7 +248,8 @@ def buckets(sets: DataFrame) -> DataFrame:
     alike = alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     member = members.join(alike, "key").withColumnRenamed("key", "bucket")
     held = records.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    return staged(member.join(tags(held), ["id", "band"]), "jaccard-buckets")
+    own = member.groupBy("id").agg(F.collect_set("bucket").alias("own"))
+    return staged(member.join(tags(held), ["id", "band"]).join(own, "id"), "jaccard-buckets")
 
 
 def tags(records: DataFrame) -> DataFrame:
@@ -274,11 +272,11 @@ def tags(records: DataFrame) -> DataFrame:
 
 
 def may_link() -> Column:
-    """Whether hub and member differ in few enough tags."""
+    """Whether hub and member differ in few enough tags and this is their first common bucket."""
     differ = F.size(F.filter(F.zip_with("hub_tags", "tags", lambda a, b: a != b), lambda d: d))
-    return F.col("tags").isNull() | F.col("hub_tags").isNull() | (
-        differ <= F.least("most", "hub_most")
-    )
+    first = F.array_min(F.array_intersect("hub_own", "own")) == F.col("bucket")
+    untagged = F.col("tags").isNull() | F.col("hub_tags").isNull()
+    return first & (untagged | (differ <= F.least("most", "hub_most")))
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -350,7 +348,7 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         active = staged(active.join(mixed, "bucket"), "jaccard-active")
         cell = F.pmod(F.xxhash64("id", F.lit(hubs_wanted)), F.lit(hubs_wanted))
         hubs = active.groupBy("bucket", cell.alias("cell")).agg(
-            F.min(F.struct("id", "comp", "tags", "most")).alias("hub")
+            F.min(F.struct("id", "comp", "tags", "most", "own")).alias("hub")
         )
         hubs = hubs.select(
             "bucket",
@@ -358,9 +356,13 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
             F.col("hub.comp").alias("hub_comp"),
             F.col("hub.tags").alias("hub_tags"),
             F.col("hub.most").alias("hub_most"),
+            F.col("hub.own").alias("hub_own"),
         )
         hubs = staged(hubs, "jaccard-hubs")
-        pairs = hubs.join(active, "bucket").filter((F.col("comp") != F.col("hub_comp")) & may_link())
+        # A pair is compared in the first of its common buckets, as soon as one is a hub there.
+        members = active.withColumnRenamed("bucket", "hub_bucket")
+        fit = (F.col("bucket") == F.col("hub_bucket")) & (F.col("comp") != F.col("hub_comp"))
+        pairs = hubs.join(members, fit & may_link())
         pairs = pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
         pairs = staged(pairs.distinct(), "jaccard-pairs")
         if pairs.isEmpty():
