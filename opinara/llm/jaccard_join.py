@@ -253,13 +253,14 @@ def buckets(sets: DataFrame) -> DataFrame:
 
 
 def tags(records: DataFrame) -> DataFrame:
-    """(id, band, tags, most): a byte of each key of a record in a band, in segment order.
+    """(id, band, tags, size): a byte of each key of a record in a band, in segment order.
 
-    Segments with different tags differ, each by a shingle at least, so linked records show at most
-    ``most`` different tags. Bands with deletions have no tags, as their keys are no segments.
+    Segments with different tags differ, each by a shingle at least. Bands with deletions have no
+    tags, as their keys are no segments. ``size`` is the record's set size.
     """
     slot = F.explode(F.array_distinct("slots")).alias("slot")
-    x = records.select(F.col("doc_id").alias("id"), "keys", "slots", slot)
+    size = F.col("n_shingles").alias("size")
+    x = records.select(F.col("doc_id").alias("id"), "keys", "slots", size, slot)
     x = x.withColumn("spare", F.col("slot").bitwiseAND(F.lit((1 << 32) - 1)))
     own = F.filter(F.arrays_zip("keys", "slots"), lambda k: k["slots"] == F.col("slot"))
     byte = F.transform(own, lambda k: (k["keys"].bitwiseAND(F.lit(127))).cast("byte"))
@@ -267,16 +268,21 @@ def tags(records: DataFrame) -> DataFrame:
         "id",
         F.shiftright("slot", 32).alias("band"),
         F.when(F.col("spare") > 0, byte).alias("tags"),
-        (F.size(own) - F.col("spare") - 1).alias("most"),
+        "size",
     )
 
 
-def may_link() -> Column:
-    """Whether hub and member differ in few enough tags and this is their first common bucket."""
+def may_link(percent: int) -> Column:
+    """Whether sizes and tags of hub and member allow a link and this is their first common bucket.
+
+    The bound on different tags comes from the two sizes, so it holds in whichever band they meet.
+    """
+    alike = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
+    most = F.floor((F.col("size") + F.col("hub_size")) * (100 - percent) / (100 + percent))
     differ = F.size(F.filter(F.zip_with("hub_tags", "tags", lambda a, b: a != b), lambda d: d))
     first = F.array_min(F.array_intersect("hub_own", "own")) == F.col("bucket")
     untagged = F.col("tags").isNull() | F.col("hub_tags").isNull()
-    return first & (untagged | (differ <= F.least("most", "hub_most")))
+    return alike & first & (untagged | (differ <= most))
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -348,21 +354,21 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         active = staged(active.join(mixed, "bucket"), "jaccard-active")
         cell = F.pmod(F.xxhash64("id", F.lit(hubs_wanted)), F.lit(hubs_wanted))
         hubs = active.groupBy("bucket", cell.alias("cell")).agg(
-            F.min(F.struct("id", "comp", "tags", "most", "own")).alias("hub")
+            F.min(F.struct("id", "comp", "tags", "size", "own")).alias("hub")
         )
         hubs = hubs.select(
             "bucket",
             F.col("hub.id").alias("hub"),
             F.col("hub.comp").alias("hub_comp"),
             F.col("hub.tags").alias("hub_tags"),
-            F.col("hub.most").alias("hub_most"),
+            F.col("hub.size").alias("hub_size"),
             F.col("hub.own").alias("hub_own"),
         )
         hubs = staged(hubs, "jaccard-hubs")
         # A pair is compared in the first of its common buckets, as soon as one is a hub there.
         members = active.withColumnRenamed("bucket", "hub_bucket")
         fit = (F.col("bucket") == F.col("hub_bucket")) & (F.col("comp") != F.col("hub_comp"))
-        pairs = hubs.join(members, fit & may_link())
+        pairs = hubs.join(members, fit & may_link(percent))
         pairs = pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
         pairs = staged(pairs.distinct(), "jaccard-pairs")
         if pairs.isEmpty():

@@ -108,6 +108,21 @@ def test_join_equals_brute_force(spark, monkeypatch, hubs):
     assert got == linked_components(rows, 90)
 
 
+def test_links_at_the_threshold_across_bands(spark):
+    """Pairs of 66 and 67 shingles with 63 in common meet in the band below too, as others share
+    keys with each of them there."""
+    texts = []
+    for i in range(400):
+        ends = (f" a{i} b{i} c{i}", f" d{i} e{i} f{i} g{i}")
+        base = [f"p{i}w{j}" for j in range(65)]
+        texts += [" ".join(base) + end for end in ends]
+        texts += [" ".join([f"q{i}{k}w{j}" for j in range(8)] + base[8:]) + ends[k] for k in (0, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs).collect()
+    want = {i: i - 1 if i % 4 == 1 else i for i in range(len(texts))}
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_every_linked_pair_shares_a_key():
     """The pigeonhole argument, with and without deletions."""
     rnd = np.random.default_rng(1)
