@@ -217,20 +217,22 @@ def document_sets(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 def buckets(sets: DataFrame) -> DataFrame:
     """(bucket, id) of records that share a key; one bucket for equal member lists. Staged.
 
-    The largest and smallest id of a key are found by partial aggregation, so a key that a third
-    of all records hold sends one row per task. Keys of one record drop out there.
+    Keys are counted by partial aggregation, so a key that a third of all records hold sends one
+    row per task. Copies of a set in several tasks are counted with it, which changes no more than
+    the order of keys by frequency, and go as soon as the members are known: the wide rows of keys
+    are never shuffled to drop them.
     """
     keyed = sets.filter("keys IS NOT NULL")
     first = keyed.groupBy("f1", "f2", "n_shingles").agg(
         F.min("doc_id").alias("id"), F.count("*").alias("times")
     )
-    again = first.filter("times > 1").join(keyed, ["f1", "f2", "n_shingles"])
-    again = again.filter("doc_id <> id").select("doc_id")
-    records = keyed.join(again, "doc_id", "left_anti")
-    keys = records.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    again = keyed.select("f1", "f2", "n_shingles", "doc_id")
+    again = first.filter("times > 1").join(again, ["f1", "f2", "n_shingles"])
+    again = staged(again.filter("doc_id <> id").select(F.col("doc_id").alias("id")), "jaccard-again")
+    keys = keyed.select(F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     both = F.explode(F.arrays_zip("keys", "slots")).alias("x")
-    slotted = records.select(F.col("doc_id").alias("id"), both)
+    slotted = keyed.select(F.col("doc_id").alias("id"), both)
     slotted = slotted.select("id", F.col("x.keys").alias("key"), F.col("x.slots").alias("slot"))
     members = slotted.join(shared, "key")
     # Of the shared keys of a record and band all but the ``spare`` most frequent are kept.
@@ -239,17 +241,17 @@ def buckets(sets: DataFrame) -> DataFrame:
     spare = F.col("slot").bitwiseAND(F.lit((1 << 32) - 1))
     band = F.shiftright("slot", 32).alias("band")
     members = members.filter(F.col("place") > spare).select("key", "id", band).distinct()
-    members = staged(members, "jaccard-members")
+    members = staged(members.join(again, "id", "left_anti"), "jaccard-members")
     alike = members.groupBy("key").agg(
         F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("id")).alias("x"),
         F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
     )
-    alike = alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    alike = alike.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     member = members.join(alike, "key").withColumnRenamed("key", "bucket")
-    held = records.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     own = member.groupBy("id").agg(F.collect_set("bucket").alias("own"))
-    return staged(member.join(tags(held), ["id", "band"]).join(own, "id"), "jaccard-buckets")
+    # Tags are cut before their shuffle: a byte of each key instead of keys and slots.
+    return staged(member.join(tags(keyed), ["id", "band"]).join(own, "id"), "jaccard-buckets")
 
 
 def tags(records: DataFrame) -> DataFrame:
@@ -394,7 +396,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     """(doc_id, n_shingles, component_id) of every row of ``docs``; see the module."""
     sets = document_sets(docs, k, percent)
     member = buckets(sets)
-    wanted = member.select("id").distinct()
+    wanted = staged(member.select("id").distinct(), "jaccard-wanted")
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id")
     texts = staged(texts.dropDuplicates(["id"]), "jaccard-texts")
     comp = merged(member, texts, k, percent)
