@@ -38,9 +38,9 @@ LANGUAGES = ("de", "en", "es", "fr")
 UNREAD_GAME = "signup"
 STORED_UNTIL_DAYS = 10
 
-# Catalog calendar: configured before the first date, asked for between the two.
-ASKED_FROM = "1995-04-01 00:00:00"
-ASKED_UNTIL = "1995-06-01 00:00:00"
+# Pieces per sale, on average, from which a game is configured, and the moment of catalog writes.
+LARGE_LOT = 25
+CATALOG_NOW = "1999-01-01 00:00:00"
 
 
 _schemas: dict[str, T.StructType] = {}
@@ -231,12 +231,16 @@ def store_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _first_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Games configured before the calendar starts, with the moment of the first request."""
+    """Configured games, those sold in large lots on average, with the moment of the first sale."""
     first = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_partkey").alias("p_partkey"))
-        .agg(F.min("l_shipdate").alias("first_asked"))
-        .filter(F.col("first_asked") < moment(ASKED_FROM))
+        .agg(
+            F.min("l_shipdate").alias("first_asked"),
+            F.sum("l_quantity").alias("pieces"),
+            F.count("*").alias("sales"),
+        )
+        .filter(F.col("pieces") >= LARGE_LOT * F.col("sales"))
     )
     part = table(spark, sf_dir, "part")
     return first.join(part, "p_partkey").select(
@@ -264,10 +268,11 @@ def games_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packages users asked to add."""
-    asked = table(spark, sf_dir, "lineitem").filter(
-        (F.col("l_shipdate") >= moment(ASKED_FROM)) & (F.col("l_shipdate") < moment(ASKED_UNTIL))
+    """Packages users asked to add: those of which a quarter of all sales came back."""
+    returned = F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
+    sales = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
+        returned.alias("returned"), F.count("*").alias("sales")
     )
-    return asked.select(
+    return sales.filter(4 * F.col("returned") >= F.col("sales")).select(
         F.concat(F.lit("com.example.p"), F.col("l_partkey").cast("string")).alias("package_name")
-    ).distinct()
+    )

@@ -156,7 +156,7 @@ def written_counts(spark, sf):
 
 @query
 def ingest_summary(spark, sf):
-    return ingest.ingest_summary(b.stored(spark, sf))
+    return ingest.ingest_summary(b.reviews(spark, sf))
 
 
 # --- upsert, delete, schema evolution -------------------------------------------------------
@@ -169,19 +169,19 @@ def _accepted(spark, sf):
 
 @query
 def upsert_games_meta(spark, sf):
-    source = _accepted(spark, sf).withColumn("_updated_at", b.moment(b.ASKED_UNTIL))
+    source = _accepted(spark, sf).withColumn("_updated_at", b.moment(b.CATALOG_NOW))
     return merge.upsert(b.games_meta(spark, sf), source, ["game"])
 
 
 @query
 def upsert_games_config(spark, sf):
-    now = b.moment(b.ASKED_UNTIL)
+    now = b.moment(b.CATALOG_NOW)
     return jobs.add_to_config(b.games_config(spark, sf), _accepted(spark, sf), now)
 
 
 @query
 def upsert_games_meta_partial(spark, sf):
-    now = b.moment(b.ASKED_UNTIL)
+    now = b.moment(b.CATALOG_NOW)
     return jobs.add_to_meta(b.games_meta(spark, sf), _accepted(spark, sf), now)
 
 
