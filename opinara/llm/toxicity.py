@@ -160,8 +160,8 @@ class Voters:
         shout, angry = [], []
         for t in column.to_pylist():
             t = t or ""
-            letters = sum(map(str.isalpha, t[:2000]))
-            shout.append(sum(map(str.isupper, t[:2000])) > 0.6 * letters > 30)
+            letters = sum(map(str.isalpha, t))
+            shout.append(sum(map(str.isupper, t)) > 0.6 * letters > 30)
             angry.append(len(re.findall(r"!{2,}|[?!]{3,}", t)) > 3)
         votes = [np.where(hits > 0, 1, 0), np.where(hits.sum(1, keepdims=True) > 3, 1, 0)]
         votes.append(np.where(hits.sum(1, keepdims=True) == 0, -1, 0))
