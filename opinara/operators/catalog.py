@@ -63,14 +63,27 @@ def configured_games(config: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
+def requested_packages(requests: DataFrame) -> DataFrame:
+    """Distinct requested packages without surrounding blanks; blank ones are no request."""
+    asked = requests.select(F.trim("package_name").alias("package_name"))
+    return asked.filter(F.col("package_name") != "").distinct()
+
+
+def validated_packages(requests: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Every requested package with its metadata and whether the store knows it, in one join."""
+    known = metadata.withColumn("accepted", F.lit(True))
+    out = requested_packages(requests).join(known, "package_name", "left")
+    return out.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
 def accepted_packages(requests: DataFrame, metadata: DataFrame) -> DataFrame:
     """Requested packages the store knows, with their metadata."""
-    return requests.distinct().join(metadata, "package_name")
+    return requested_packages(requests).join(metadata, "package_name")
 
 
 def rejected_packages(requests: DataFrame, metadata: DataFrame) -> DataFrame:
     """Requested packages the store does not know."""
-    return requests.distinct().join(metadata, "package_name", "left_anti")
+    return requested_packages(requests).join(metadata, "package_name", "left_anti")
 
 
 def require_known_game(games: DataFrame, game: str) -> None:

@@ -54,6 +54,19 @@ def overview_scores(enriched: DataFrame) -> DataFrame:
     )
 
 
+def overview(enriched: DataFrame) -> DataFrame:
+    """Volume, score and sentiment counts of every game and in total, in one pass."""
+    return (
+        enriched.rollup("game")
+        .agg(
+            F.grouping("game").cast("boolean").alias("is_total"),
+            F.count("*").alias("reviews"),
+            F.round(F.avg("score"), 2).alias("avg_score"),
+            *[F.count_if(F.col("sentiment") == s).alias(f"n_{s}") for s in SENTIMENTS],
+        )
+    )
+
+
 def sentiment_by_game(enriched: DataFrame) -> DataFrame:
     """Count per (game, sentiment); reviews without a sentiment are left out."""
     return (

@@ -94,16 +94,21 @@ def replace(df: DataFrame, table: str) -> None:
     """Make ``df`` the content of an unpartitioned table, even if ``df`` reads that table.
 
     The rows go to a new folder beside the old one and the table is then pointed at it, so
-    readers see the old content or the new, and a failed write changes nothing.
+    readers see the old content or the new, and a failed write changes nothing. If another writer
+    replaced the table meanwhile, nothing is changed and the call raises; repeat it then.
     """
     spark = df.sparkSession
     current = spark.table(table)
-    base = re.sub(r"@[0-9a-f]{32}$", "", _location(spark, table).rstrip("/"))
+    before = _location(spark, table)
+    base = re.sub(r"@[0-9a-f]{32}$", "", before.rstrip("/"))
     snapshot = f"{base}@{uuid.uuid4().hex}"
     extra = set(df.columns) - set(current.schema.names)
     if extra:
         raise ValueError(f"{sorted(extra)} are no columns of {table}; add them first")
     evolve(df, current.schema).write.parquet(snapshot)
+    spark.catalog.refreshTable(table)
+    if _location(spark, table) != before:
+        raise RuntimeError(f"{table} was replaced by another writer; run again")
     quoted = snapshot.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{quoted}'")
     spark.catalog.refreshTable(table)

@@ -131,8 +131,8 @@ def test_reader_hides_blank_reviews(spark):
 def test_pack_scans_reviews_once_for_all_trends(spark):
     pack = dashboard_pack(make(spark, review(1), review(2)), game="g", start="2024-01-01")
     assert set(pack) == {"kpis", "trend_score", "trend_themes", "trend_themes_abs",
-                         "trend_sentiment", "trend_vol", "reader"}
-    for name in set(pack) - {"reader"}:
+                         "trend_sentiment", "trend_vol", "reader", "dim_game", "dim_lang"}
+    for name in set(pack) - {"reader", "dim_game", "dim_lang"}:
         plan = pack[name]._jdf.queryExecution().executedPlan().toString()
         assert "daily-summary" in plan and "content" not in plan
     assert rows(pack["kpis"]) == [(5.0, 2, 1.0)]

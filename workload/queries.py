@@ -11,13 +11,20 @@ from opinara.functions.grading import grade
 from opinara.functions.text import has_text, longer_than
 from opinara.functions.themes import flatten_dims, parse_dims, themes_array
 from opinara.functions.timewin import last_n_days, monday_of
-from opinara.functions.trained import flag_with_model, train_flag_model
+from opinara.functions.trained import (
+    flag_by_tokens,
+    flag_with_model,
+    train_flag_model,
+    train_token_weights,
+)
 from opinara.operators import catalog, ingest, merge, metrics, reports, sampling, trends
 from opinara.operators.enrichment import enrich, score_texts
 from opinara.operators.filters import filtered_reviews
 from opinara.plans import jobs
+from opinara.plans.dashboard import dashboard_pack
 from opinara.schemas import ALL, DIMENSIONS, WEEKLY_REPORTS
 from opinara.session import shared_dir, staged
+from opinara.streaming.enrichment import run_enrichment
 from opinara.streaming.ingest import run_page_stream
 
 from . import binding as b
@@ -70,11 +77,8 @@ def validate_packages(spark, sf):
         F.concat(
             F.lit("com.example.p"), (F.col("l_partkey") + F.col("l_suppkey")).cast("string")
         ).alias("package_name")
-    ).distinct()
-    known = b.store_metadata(spark, sf)
-    yes = catalog.accepted_packages(asked, known).withColumn("accepted", F.lit(True))
-    no = catalog.rejected_packages(asked, known).withColumn("accepted", F.lit(False))
-    return yes.unionByName(no, allowMissingColumns=True)
+    )
+    return catalog.validated_packages(asked, b.store_metadata(spark, sf))
 
 
 @query
@@ -197,7 +201,9 @@ def delete_games_report(spark, sf):
 
 @query
 def upsert_reports(spark, sf):
-    new = reports.weekly_reports(b.enriched(spark, sf), as_of=b.as_of(spark, sf))
+    new = staged(
+        reports.weekly_reports(b.enriched(spark, sf), as_of=b.as_of(spark, sf)), "new-reports"
+    )
     return merge.upsert(b.report_history(spark, sf), new, ["report_week", "game"])
 
 
@@ -260,23 +266,16 @@ def explode_themes(spark, sf):
 
 @query
 def stream_enrich(spark, sf):
-    """The enrichment stream run to its end; the result is the table it wrote."""
-    events = (
-        spark.readStream.schema(b.table(spark, sf, "events").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf)
-    )
+    """The enrichment job over a stored review table; the result is the table it wrote."""
     run = shared_dir(spark, "stream-enrich")
-    rows = enrich(b.bind_reviews(spark, sf, events, b.texts(spark, sf)), b.SCORER)
-    (
-        _show(rows, *_SCORED)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", f"{run}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{run}/reviews_enriched")
-        .awaitTermination()
-    )
-    return spark.read.parquet(f"{run}/reviews_enriched")
+    raw, target = (f"{t}_{run.rsplit('-', 1)[1]}" for t in ("raw", "enriched"))
+    b.reviews(spark, sf).write.option("path", f"{run}/reviews_raw").saveAsTable(raw)
+    shape = enrich(spark.table(raw), b.SCORER).limit(0)
+    shape.write.option("path", f"{run}/reviews_enriched").saveAsTable(target)
+    run_enrichment(spark, raw, target, b.SCORER, f"{run}/checkpoint")
+    for name in (raw, target):
+        spark.sql(f"DROP TABLE {name}")
+    return _show(spark.read.schema(shape.schema).parquet(f"{run}/reviews_enriched"), *_SCORED)
 
 
 @query
@@ -308,10 +307,22 @@ def stream_ingest(spark, sf):
     )
 
 
+def _labelled(spark, sf):
+    documents = b.texts(spark, sf).select("doc_id", "text")
+    labels = b.table(spark, sf, "labels").select("doc_id", "toxic")
+    return documents, documents.join(labels, "doc_id")
+
+
 @query
 def ml_toxicity(spark, sf):
-    documents = b.texts(spark, sf).select("doc_id", "text")
-    labelled = documents.join(b.table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    documents, labelled = _labelled(spark, sf)
+    weights = train_token_weights(labelled, "text", "toxic")
+    return flag_by_tokens(documents, "doc_id", weights, "text", "toxicity")
+
+
+@query
+def ml_toxicity_logistic(spark, sf):
+    documents, labelled = _labelled(spark, sf)
     model = train_flag_model(labelled, "text", "toxic")
     return flag_with_model(documents, model, "text", "toxicity").select("doc_id", "toxicity")
 
@@ -402,6 +413,21 @@ def overview_scores(spark, sf):
     return metrics.overview_scores(b.enriched(spark, sf))
 
 
+@query
+def overview(spark, sf):
+    return metrics.overview(b.enriched(spark, sf))
+
+
+@query
+def dashboard(spark, sf):
+    """The rows of every dataset of the pack."""
+    out = None
+    for name, df in dashboard_pack(b.enriched(spark, sf)).items():
+        n = df.agg(F.lit(name).alias("dataset"), F.count("*").alias("n"))
+        out = n if out is None else out.union(n)
+    return out
+
+
 @query
 def sentiment_by_game(spark, sf):
     return metrics.sentiment_by_game(b.enriched(spark, sf))
