@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from opinara.functions import scoring, themes, timewin
 from opinara.functions.grading import grade
 from opinara.functions.text import has_content, has_text, longer_than
+from opinara.functions.trained import flag_by_tokens, train_token_weights
 from opinara.operators.enrichment import enrich, score_texts
 from opinara.operators.filters import filtered_reviews
 from opinara.schemas import DIMENSIONS, THEME_LABELS
@@ -155,3 +156,21 @@ def test_json_scorer_tolerates_bad_answers(spark):
     df = spark.createDataFrame([("good",), ("bad",)], "content string")
     got = {r["content"]: r["toxicity"] for r in score_texts(df, scorer).collect()}
     assert got == {"good": True, "bad": None}
+
+
+def test_token_weights_flag_like_texts(spark):
+    schema = "id int, text string, bad int"
+    labelled = spark.createDataFrame(
+        [(1, "vile day", 1), (2, "Vile  VILE", 1), (3, "nice day", 0), (4, "nice\nwalk", 0),
+         (5, None, 1), (6, "vile", None)],
+        schema,
+    )
+    weights = train_token_weights(labelled, "text", "bad")
+    asked = spark.createDataFrame(
+        [(1, "vile"), (2, "nice"), (3, ""), (4, None), (5, "unheard of")], "id int, text string"
+    )
+    out = {r.id: r.flag for r in flag_by_tokens(asked, "id", weights, "text", "flag").collect()}
+    assert out == {1: True, 2: False, 3: False, 4: None, 5: False}
+    empty = train_token_weights(labelled.limit(0), "text", "bad")
+    out = flag_by_tokens(asked, "id", empty, "text", "flag")
+    assert out.filter("flag").count() == 0 and out.count() == 5

@@ -111,6 +111,24 @@ def test_replace_may_read_the_table_it_replaces(spark, schema):
         assert rows(spark.table(table)) == [("g", "p", "ui", NOW)]
 
 
+def test_replace_refuses_a_table_replaced_meanwhile(spark, schema, monkeypatch):
+    tables.create_tables(spark, schema)
+    table = tables.name(schema, "games_config")
+    mine = spark.createDataFrame([("g", "mine", "ui", NOW)], schemas.GAMES_CONFIG)
+    theirs = spark.createDataFrame([("g", "theirs", "ui", NOW)], schemas.GAMES_CONFIG)
+    evolve = tables.evolve
+
+    def slow(df, struct):
+        monkeypatch.setattr(tables, "evolve", evolve)
+        tables.replace(theirs, table)
+        return evolve(df, struct)
+
+    monkeypatch.setattr(tables, "evolve", slow)
+    with pytest.raises(RuntimeError, match="another writer"):
+        tables.replace(mine, table)
+    assert rows(spark.table(table)) == [("g", "theirs", "ui", NOW)]
+
+
 def test_replace_partitions_touches_only_its_weeks(spark, schema):
     tables.create_tables(spark, schema)
     table = tables.name(schema, "weekly_reports")
@@ -156,6 +174,17 @@ def test_add_and_remove_games(spark, schema):
     assert spark.table(tables.name(schema, "games_meta")).count() == 1
 
 
+def test_blank_packages_are_no_request(spark):
+    store = spark.createDataFrame([("com.a", "ia", "A")], STORE)
+    asked = spark.createDataFrame(
+        [(" com.a ",), ("com.a",), ("  ",), (None,), ("com.zz",)], "package_name string"
+    )
+    assert rows(catalog.validated_packages(asked, store)) == [
+        ("com.a", "ia", "A", True), ("com.zz", None, None, False),
+    ]
+    assert rows(catalog.rejected_packages(asked, store)) == [("com.zz",)]
+
+
 def test_refresh_games_meta(spark, schema):
     tables.create_tables(spark, schema)
     store = spark.createDataFrame([("com.a", "i1", "A!")], STORE)
