@@ -24,7 +24,6 @@ from opinara.plans import jobs
 from opinara.plans.dashboard import dashboard_pack
 from opinara.schemas import ALL, DIMENSIONS, WEEKLY_REPORTS
 from opinara.session import shared_dir, staged
-from opinara.streaming.enrichment import run_enrichment
 from opinara.streaming.ingest import run_page_stream
 
 from . import binding as b
@@ -266,16 +265,23 @@ def explode_themes(spark, sf):
 
 @query
 def stream_enrich(spark, sf):
-    """The enrichment job over a stored review table; the result is the table it wrote."""
+    """The enrichment stream run to its end; the result is the table it wrote."""
+    events = (
+        spark.readStream.schema(b.table(spark, sf, "events").schema)
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(sf)
+    )
     run = shared_dir(spark, "stream-enrich")
-    raw, target = (f"{t}_{run.rsplit('-', 1)[1]}" for t in ("raw", "enriched"))
-    b.reviews(spark, sf).write.option("path", f"{run}/reviews_raw").saveAsTable(raw)
-    shape = enrich(spark.table(raw), b.SCORER).limit(0)
-    shape.write.option("path", f"{run}/reviews_enriched").saveAsTable(target)
-    run_enrichment(spark, raw, target, b.SCORER, f"{run}/checkpoint")
-    for name in (raw, target):
-        spark.sql(f"DROP TABLE {name}")
-    return _show(spark.read.schema(shape.schema).parquet(f"{run}/reviews_enriched"), *_SCORED)
+    rows = enrich(b.bind_reviews(spark, sf, events, b.texts(spark, sf)), b.SCORER)
+    (
+        _show(rows, *_SCORED)
+        .writeStream.format("parquet")
+        .option("checkpointLocation", f"{run}/checkpoint")
+        .trigger(availableNow=True)
+        .start(f"{run}/reviews_enriched")
+        .awaitTermination()
+    )
+    return spark.read.parquet(f"{run}/reviews_enriched")
 
 
 @query
