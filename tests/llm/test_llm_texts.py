@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from opinara.llm import (
     bpe,
     decontamination,
@@ -155,6 +156,28 @@ def test_join_of_odd_and_empty_inputs(spark, odd):
     assert jaccard_join.jaccard_components(odd.limit(0)).count() == 0
 
 
+def test_pipeline_stage_links_at_its_own_threshold(spark):
+    """Edited copies of 0.8 and more on five words are one group, also below 0.9 on three."""
+    rnd, rows = random.Random(8), []
+    for size in (6, 20, 45, 60, 120, 300):
+        for _ in range(6):
+            base = " ".join(f"v{rnd.randrange(3000)}" for _ in range(size))
+            rows += [base, *(edited(rnd, base, rnd.randint(0, 1 + size // 30)) for _ in range(3))]
+    rows = list(enumerate(rows))
+    sets = [shingles(t, 5) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert got == set(group)
+    assert got < {top for _, top in linked_components(rows, 90).values()}
+
+
 # --- BPE ---------------------------------------------------------------------------------------
 
 
