@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of the words.
 
 Words are runs without ASCII marks and blanks, A-Z folded. The benchmark is handled in blocks of at
 most ``BLOCK_WORDS`` words, so what is broadcast has a bound whatever the benchmark's size. Per
-block one pass over all texts counts in how many documents each n-gram of the items occurs, and a
-second one looks for the seeds: of each item the rarer half of its n-grams. A seed that is met in a
-text proposes a stretch of words (a diagonal); each stretch is aligned with the item, match +2,
-other word or gap -1. The score is the best alignment's over that of a perfect one, so edited,
-reordered or partly quoted items score by what they keep. No text is shuffled.
+block one pass over all texts looks for the n-grams of the items. Each n-gram that is met in a text
+proposes a stretch of words (a diagonal), however common it is. A stretch that holds too few of the
+item's words for the threshold is dropped, as no alignment can reach it; each other one is aligned
+with the item, match +2, other word or gap -1. The score is the best alignment's over that of a
+perfect one, so edited, reordered or partly quoted items score by what they keep. No text is
+shuffled. A copy that keeps no ``N`` words of the item in a row gives no seed.
 
 Items of fewer than ``N`` words give no seed and match nothing; null and empty texts match nothing.
 Repeated item_ids with different texts are aligned one by one, the best counts, and so for repeated
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 from opinara.llm import textvec as tv
 
 N = 3
-BLOCK_WORDS = 2_000_000  # 16 MB of word hashes and about 32 MB of seeds
+BLOCK_WORDS = 2_000_000  # 16 MB of word hashes and about 48 MB of seeds
 THRESHOLD = 0.4
 MATCH, MISS = 2, -1
 PAIRS = 512  # alignments done together
+SEEDS = 1 << 20  # seeds held together, or those of one text
 
 
 @dataclass
@@ -53,18 +55,6 @@ class Items:
         item = w.row[at]
         return cls(np.array(ids, np.int64), w.hash, begins, h[order], item, at - begins[item])
 
-    def rare(self, frequency: dict[int, int]) -> Items:
-        """Only each item's rarer half of its n-grams, ties included."""
-        df = np.array([frequency.get(int(g), 0) for g in tv.signed(self.grams)], np.int64)
-        keep = np.zeros(len(df), bool)
-        order = np.argsort(self.item, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1):
-            if len(part):
-                keep[part] = df[part] <= np.median(df[part])
-        return Items(
-            self.ids, self.words, self.begins, self.grams[keep], self.item[keep], self.place[keep]
-        )
-
 
 def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment of each row pair and the window place where it ends; 0 is no word."""
@@ -84,33 +74,40 @@ def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, end
 
 
-def _counted(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(gram, documents) of the benchmark's n-grams, summed per part of a batch."""
-    keys = np.unique(shared.value.grams)
-    sieve = tv.sieve(keys)
-    for whole in batches:
-        for part in tv.slices(whole, "text"):
-            w = tv.words(part.column(1), tv.MARKS)
-            at, h = tv.grams(w, N)
-            hit, key = tv.find(keys, h, sieve)
-            pairs = np.unique(w.row[at[hit]] * np.int64(max(len(keys), 1)) + key)
-            found, n = np.unique(pairs % max(len(keys), 1), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tv.signed(keys[found])), pa.array(n.astype(np.int64))], ["gram", "n"]
-            )
-
-
 def hits(w: tv.Words, items: Items, keys: np.ndarray, sieve: np.ndarray):
-    """(row, item, first word of the item's place in the row) of every seed met; rows sorted."""
+    """(row, item, first word of the item's place in the row) of every seed met, in parts of rows."""
     at, h = tv.grams(w, N)
     hit, key = tv.find(keys, h, sieve)
     low = np.searchsorted(items.grams, keys[key])
     n = np.searchsorted(items.grams, keys[key], "right") - low
-    which = np.repeat(np.arange(len(hit)), n)
-    seed = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
-    word = at[hit][which]
-    begins = np.searchsorted(w.row, w.row[word])
-    return w.row[word], items.item[seed], word - begins - items.place[seed]
+    rows, total = w.row[at[hit]], np.concatenate([[0], np.cumsum(n)])
+    start = 0
+    while start < len(hit):
+        stop = max(int(np.searchsorted(total, total[start] + SEEDS, "right")) - 1, start + 1)
+        if stop < len(hit):
+            whole = int(np.searchsorted(rows, rows[stop]))
+            stop = whole if whole > start else int(np.searchsorted(rows, rows[start], "right"))
+        m = n[start:stop]
+        which = np.repeat(np.arange(start, stop), m)
+        seed = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m) + low[which]
+        word = at[hit][which]
+        begins = np.searchsorted(w.row, w.row[word])
+        yield w.row[word], items.item[seed], word - begins - items.place[seed]
+        start = stop
+
+
+def reachable(held, place, items: Items, item, begin, end, threshold: float) -> np.ndarray:
+    """Whether a stretch has enough of its item's words: a score is at most the share that match.
+
+    ``held`` has (word number, position) of the texts as sorted sums, ``place`` the numbers of the
+    items' words, both in units of ``held``.
+    """
+    n = items.begins[item + 1] - items.begins[item]
+    which = np.repeat(np.arange(len(n)), n)
+    own = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + items.begins[item][which]
+    low = np.searchsorted(held, place[own] + begin[which])
+    some = low < np.searchsorted(held, place[own] + end[which])
+    return np.bincount(which, some, minlength=len(n)) / n >= threshold
 
 
 def _aligned(
@@ -119,49 +116,62 @@ def _aligned(
     items = shared.value
     keys = np.unique(items.grams)
     sieve = tv.sieve(keys)
+    vocabulary, number = np.unique(items.words, return_inverse=True)
+    known = tv.sieve(vocabulary)
     size = np.diff(items.begins)
     for whole in batches:
         for part in tv.slices(whole, "text"):
             w = tv.words(part.column(1), tv.MARKS)
-            row, item, diagonal = hits(w, items, keys, sieve)
-            # Seeds of one item on nearby diagonals share a window of one and a half item lengths
-            # on either side; diagonals are grouped by half an item length.
-            half = np.maximum(size[item] // 2, 4)
-            cell = np.floor_divide(diagonal, half)
-            cells, n = np.unique(np.stack([row, item, cell]), axis=1, return_counts=True)
-            row, item, cell = cells
-            first = np.searchsorted(w.row, row)
-            stop = np.searchsorted(w.row, row, "right")
-            half = np.maximum(size[item] // 2, 4)
-            begin = np.maximum(first + (cell - 1) * half, first)
-            end = np.minimum(first + (cell + 2) * half + size[item] + 1, stop)
-            # Windows of like size are aligned together.
-            order = np.lexsort((end - begin, size[item]))
-            out: list[tuple[np.ndarray, ...]] = []
-            for k in range(0, len(order), PAIRS):
-                own = order[k : k + PAIRS]
-                m, wide = int(size[item[own]].max()), int((end - begin)[own].max())
-                col = np.arange(m)
-                place = items.begins[item[own], None] + col
-                a = items.words[np.minimum(place, len(items.words) - 1)]
-                a = np.where(col < size[item[own], None], a, np.uint64(0))
-                place = begin[own, None] + np.arange(wide)
-                b = w.hash[np.minimum(place, len(w) - 1)]
-                b = np.where(place < end[own, None], b, np.uint64(1))
-                best, last = align(a, b)
-                score = best / (MATCH * size[item[own]])
-                good = score >= threshold
-                out.append(
-                    (row[own][good], item[own][good], score[good], n[own][good],
-                     (begin[own] + last - first[own])[good])
-                )
-            if out:
-                r, i, s, seeds, last = (np.concatenate(x) for x in zip(*out, strict=True))
-                ids = part.column(0).cast(pa.int64()).take(pa.array(r))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(items.ids[i]), pa.array(s), pa.array(seeds), pa.array(last)],
-                    ["doc_id", "item_id", "score", "seeds", "last_word"],
-                )
+            held = None
+            for row, item, diagonal in hits(w, items, keys, sieve):
+                if held is None:
+                    at, word = tv.find(vocabulary, w.hash, known)
+                    held = np.sort(word * (len(w) + 1) + at)
+                    place = number * (len(w) + 1)
+                # Seeds of one item on nearby diagonals share a window of one and a half item
+                # lengths on either side; diagonals are grouped by half an item length.
+                half = np.maximum(size[item] // 2, 4)
+                cell = np.floor_divide(diagonal, half)
+                cells, n = np.unique(np.stack([row, item, cell]), axis=1, return_counts=True)
+                row, item, cell = cells
+                first = np.searchsorted(w.row, row)
+                stop = np.searchsorted(w.row, row, "right")
+                half = np.maximum(size[item] // 2, 4)
+                begin = np.maximum(first + (cell - 1) * half, first)
+                end = np.minimum(first + (cell + 2) * half + size[item] + 1, stop)
+                good = [np.zeros(0, bool)]
+                for k in range(0, len(row), PAIRS):
+                    own = slice(k, k + PAIRS)
+                    x = item[own], begin[own], end[own]
+                    good.append(reachable(held, place, items, *x, threshold))
+                good = np.flatnonzero(np.concatenate(good))
+                # Windows of like size are aligned together.
+                order = good[np.lexsort(((end - begin)[good], size[item[good]]))]
+                out: list[tuple[np.ndarray, ...]] = []
+                for k in range(0, len(order), PAIRS):
+                    own = order[k : k + PAIRS]
+                    m, wide = int(size[item[own]].max()), int((end - begin)[own].max())
+                    col = np.arange(m)
+                    where = items.begins[item[own], None] + col
+                    a = items.words[np.minimum(where, len(items.words) - 1)]
+                    a = np.where(col < size[item[own], None], a, np.uint64(0))
+                    where = begin[own, None] + np.arange(wide)
+                    b = w.hash[np.minimum(where, len(w) - 1)]
+                    b = np.where(where < end[own, None], b, np.uint64(1))
+                    best, last = align(a, b)
+                    score = best / (MATCH * size[item[own]])
+                    good = score >= threshold
+                    out.append(
+                        (row[own][good], item[own][good], score[good], n[own][good],
+                         (begin[own] + last - first[own])[good])
+                    )
+                if out:
+                    r, i, s, seeds, last = (np.concatenate(x) for x in zip(*out, strict=True))
+                    ids = part.column(0).cast(pa.int64()).take(pa.array(r))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids, pa.array(items.ids[i]), pa.array(s), pa.array(seeds), pa.array(last)],
+                        ["doc_id", "item_id", "score", "seeds", "last_word"],
+                    )
 
 
 def blocks(benchmark: DataFrame, size: int = BLOCK_WORDS) -> Iterator[Items]:
@@ -180,18 +190,15 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, score, seeds, last_word): documents that hold (most of) a test item.
 
-    ``seeds`` counts the rare n-grams met on the stretch, ``last_word`` is where it ends.
+    ``seeds`` counts the n-grams met on the stretch, ``last_word`` is where it ends.
     """
     sc = docs.sparkSession.sparkContext
     texts = docs.select("doc_id", "text").dropna()
     found = None
     for items in blocks(benchmark, size):
-        whole = sc.broadcast(items)
-        df = texts.mapInArrow(lambda it, s=whole: _counted(it, s), "gram long, n long")
-        df = {r.gram: r.n for r in df.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-        seeds = sc.broadcast(items.rare(df))
+        shared = sc.broadcast(items)
         part = texts.mapInArrow(
-            lambda it, s=seeds: _aligned(it, s, threshold),
+            lambda it, s=shared: _aligned(it, s, threshold),
             "doc_id long, item_id long, score double, seeds long, last_word long",
         )
         found = part if found is None else found.union(part)

@@ -295,6 +295,46 @@ def test_edited_items_are_found_and_others_are_not(spark, block):
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
 
 
+def test_heavily_edited_and_partly_quoted_items_are_found(spark):
+    """An edit in every five words and 45% quotes, alone, beside exact copies and with a common start."""
+    rnd = random.Random(6)
+    text = lambda n: [f"w{rnd.randrange(400)}" for _ in range(n)]
+    start = text(8)
+    items = [start * (i % 2) + text(40 - 8 * (i % 2)) for i in range(20)]
+    docs, want = [], set()
+    for i, item in enumerate(items):
+        worn = [f"e{rnd.randrange(10**6)}" if j % 5 == 4 else x for j, x in enumerate(item)]
+        for quote in ([worn], [item[:18]], [item[11:29]], [worn, item])[i // 2 % 4]:
+            want.add((len(docs), i))
+            docs.append(text(120) + quote + text(30))
+    docs += [text(60) + start + text(60) for _ in range(30)]
+    got = decontamination.contaminated(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"),
+    ).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("most", [1, 7, 50])
+def test_parts_of_seeds_give_the_same_seeds(monkeypatch, most):
+    rnd = random.Random(most)
+    text = lambda n: " ".join(rnd.choice("abc") for _ in range(n))
+    items = decontamination.Items.of([0, 1, 2], [text(9), text(12), text(5)])
+    w = tv.words(pa.array([text(rnd.randrange(30)) for _ in range(12)]), tv.MARKS)
+    keys = np.unique(items.grams)
+
+    def met():
+        parts = list(decontamination.hits(w, items, keys, tv.sieve(keys)))
+        rows = [set(p[0].tolist()) for p in parts]
+        assert sum(map(len, rows)) == len(set().union(*rows))
+        return len(parts), sorted(x for p in parts for x in zip(*map(np.ndarray.tolist, p), strict=True))
+
+    whole = met()
+    monkeypatch.setattr(decontamination, "SEEDS", most)
+    parts = met()
+    assert whole[0] == 1 < parts[0] and whole[1] == parts[1]
+
+
 def test_alignment_equals_a_plain_table():
     rnd = np.random.default_rng(2)
     for _ in range(30):
