@@ -45,7 +45,10 @@ SPACED = frozenset("br td th img".split())
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-RAW = frozenset("script style noscript template svg iframe object canvas math".split())
+# Their content is no markup: only the own end tag counts there.
+RAW = frozenset("script style iframe textarea title xmp noembed noframes".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for t in RAW}
+EMBEDDED = frozenset("noscript template svg object canvas math".split())
 FURNITURE = frozenset(
     "head nav header footer aside form menu dialog button select textarea fieldset".split()
 )
@@ -61,7 +64,7 @@ FURNITURE_NAMES = frozenset(
 
 def is_furniture(tag: str, attributes: str) -> bool:
     """Whether an element is page furniture by its name or by its class, id or role."""
-    if tag in FURNITURE:
+    if tag in FURNITURE or tag in EMBEDDED:
         return True
     if tag in CONTENT or not attributes:
         return False
@@ -72,12 +75,28 @@ def is_furniture(tag: str, attributes: str) -> bool:
     )
 
 
+def raw_end(page: str, tag: str, at: int) -> int:
+    """Where the content of a raw element that starts at ``at`` and its end tag end."""
+    m = RAW_END[tag].search(page, at)
+    return m.end() if m else len(page)
+
+
+def tags(page: str) -> Iterator[re.Match]:
+    """Tags and comments of a page, none from the content of raw elements."""
+    at = 0
+    while m := TAG.search(page, at):
+        yield m
+        at = m.end()
+        name = (m.group(2) or "").lower()
+        if name in RAW and not m.group(1) and not m.group(3).endswith("/"):
+            at = raw_end(page, name, at)
+
+
 def lines(page: str) -> tuple[list[str], bool]:
     """Stripped lines of a page; whether it marks an article (then only its lines hold text)."""
     out: list[str] = []
     inside: list[bool] = []
     text: list[str] = []
-    raw = ""  # element whose content is skipped up to its end tag
     skipped = ""  # furniture element that is open
     depth = article = 0
     marked = False
@@ -94,21 +113,17 @@ def lines(page: str) -> tuple[list[str], bool]:
         out.extend([""] * WINDOW)
         inside.extend([False] * WINDOW)
 
-    for m in TAG.finditer(page):
-        if m.start() > at and not raw and not skipped:
+    for m in tags(page):
+        if m.start() > at and not skipped:
             text.append(page[at : m.start()])
         at = m.end()
         name = m.group(2)
         if name is None:
             continue
         tag, closing = name.lower(), bool(m.group(1))
-        if raw:
-            if closing and tag == raw:
-                raw = ""
-            continue
         if tag in RAW:
             if not closing and not m.group(3).endswith("/"):
-                raw = tag
+                at = raw_end(page, tag, at)
             continue
         if skipped:
             if tag == skipped and tag not in VOID:
@@ -137,7 +152,7 @@ def lines(page: str) -> tuple[list[str], bool]:
                 gap()
         elif tag in SPACED:
             text.append(" ")
-    if at < len(page) and not raw and not skipped:
+    if at < len(page) and not skipped:
         text.append(page[at:])
     flush()
     if marked:

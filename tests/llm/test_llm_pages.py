@@ -141,6 +141,18 @@ def test_pages_without_an_article_mark():
     assert html_text.main_text("<body><p>Hi</p></body>") == ""
 
 
+@pytest.mark.parametrize(
+    "raw",
+    ["<script>for(i=0;i<n;i++){f(i)}</script>", "<SCRIPT async>if(a<b)c()</Script >", "<style>/* a<b */</style>",
+     "<textarea>a<b</textarea>", "<script>x='</aside><p>no</p>'</script>", "<script>'<!--'</script>",
+     "<iframe src='a'>a<b</iframe>", "<svg><script>a<b</script><svg></svg>no</svg>"],
+)
+def test_raw_elements_end_at_their_own_end_tag(raw):
+    article = f"<article><p>One {raw}two</p><aside>{raw}no</aside><p>Three</p></article>"
+    page = f"<html><head><title>a<b</title>{raw}</head><body>{raw}{article}{raw}</body></html>"
+    assert html_text.main_text(page) == "One two\nThree"
+
+
 @pytest.mark.parametrize("page", [None, "", "plain", "<", "<p", "<!-- open", "<script>x", "<p>" * 5000, "&#xZZ;"])
 def test_odd_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)
