@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ TAG = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)",
     re.DOTALL,
 )
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 NAME_PART = re.compile(r"[a-z]+")
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset "
@@ -60,6 +62,43 @@ FURNITURE_NAMES = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login search share sharing social comment comments disqus respond replies".split()
 )
+# Parts that may stand beside such a word in one name, as in "site-footer" and "related-posts".
+PLACES = frozenset(
+    "site page main top bottom left right global primary secondary bar box wrap wrapper container "
+    "area inner outer link links posts articles stories button buttons".split()
+)
+HEAD_ONLY = frozenset("title base basefont bgsound link meta style script noscript template noframes object".split())
+# Open elements that a start tag ends, and those that keep it from ending any further out.
+ENDED_BY_BLOCK = frozenset(BLOCKS - {"body", "caption", "html", "legend", "li", "option", "optgroup"}
+                           - {"dd", "dt", "tbody", "td", "tfoot", "th", "thead", "tr"})
+CELLS = ("td", "th")
+ROWS = ("tr", *CELLS)
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "td": (CELLS, ("tr", "table")),
+    "th": (CELLS, ("tr", "table")),
+    "tr": (ROWS, ("table",)),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (("tbody", "thead", "tfoot", *ROWS), ("table",))),
+    "option": (("option",), ("select", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select",)),
+    **dict.fromkeys(ENDED_BY_BLOCK, (("p",), ("button", "caption", "object", "table", *CELLS))),
+}
+FENCES = ("caption", "object", "table", "template", *CELLS)
+TABLE_PARTS = frozenset("caption table tbody tfoot thead tr td th html body".split())
+
+
+def is_named_furniture(attributes: str) -> bool:
+    """Whether a name in class, id or role is one of page furniture, alone or with its place."""
+    for value in NAMED.findall(attributes):
+        for name in value.lower().strip("\"'").split():
+            parts = NAME_PART.findall(name)
+            if any(p in FURNITURE_NAMES for p in parts) and all(
+                p in FURNITURE_NAMES or p in PLACES for p in parts
+            ):
+                return True
+    return False
 
 
 def is_furniture(tag: str, attributes: str) -> bool:
@@ -68,11 +107,7 @@ def is_furniture(tag: str, attributes: str) -> bool:
         return True
     if tag in CONTENT or not attributes:
         return False
-    return any(
-        part in FURNITURE_NAMES
-        for value in NAMED.findall(attributes)
-        for part in NAME_PART.findall(value.lower())
-    )
+    return is_named_furniture(attributes)
 
 
 def raw_end(page: str, tag: str, at: int) -> int:
@@ -81,26 +116,106 @@ def raw_end(page: str, tag: str, at: int) -> int:
     return m.end() if m else len(page)
 
 
-def tags(page: str) -> Iterator[re.Match]:
+def opens(tag: str, attributes: str) -> bool:
+    return tag not in VOID and not SELF_CLOSED.search(attributes)
+
+
+@dataclass
+class Tag:
+    """A tag or comment (no name); raw elements are one tag with their content and no name."""
+
+    start: int
+    end: int
+    name: str = ""
+    closing: bool = False
+    attributes: str = ""
+    # Of a start tag: the first tag after the element, and whether that is past its own end tag.
+    after: int = 0
+    closed: bool = False
+    title: bool = False  # holds h1 or main
+    article: bool = False  # holds an article that is not named as furniture
+    furniture: bool = False
+
+
+def tags(page: str) -> list[Tag]:
     """Tags and comments of a page, none from the content of raw elements."""
-    at = 0
+    out, at = [], 0
     while m := TAG.search(page, at):
-        yield m
         at = m.end()
-        name = (m.group(2) or "").lower()
-        if name in RAW and not m.group(1) and not m.group(3).endswith("/"):
-            at = raw_end(page, name, at)
+        name, attributes = (m.group(2) or "").lower(), m.group(3) or ""
+        if name in RAW:
+            if not m.group(1) and opens(name, attributes):
+                at = raw_end(page, name, at)
+            name = ""
+        out.append(Tag(m.start(), at, name, bool(m.group(1)), attributes))
+    return out
+
+
+def nest(found: list[Tag]) -> None:
+    """Set where the elements end: at their end tag, or where a parent or a sibling ends them."""
+    stack: list[Tag] = []
+    places: dict[str, list[int]] = {}  # of a name, places in the stack
+
+    def last(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    def end(place: int, after: int) -> None:
+        while len(stack) > place:
+            x = stack.pop()
+            places[x.name].pop()
+            x.after = after
+            if stack:
+                stack[-1].title |= x.title or x.name in ("h1", "main")
+                stack[-1].article |= x.article or (
+                    x.name == "article" and not is_named_furniture(x.attributes)
+                )
+
+    for i, t in enumerate(found):
+        if not t.name:
+            continue
+        if not t.closing:
+            if places.get("head") and t.name not in HEAD_ONLY and last(("head",)) >= last(EMBEDDED):
+                end(last(("head",)), i)
+            names, fences = ENDS.get(t.name, ((), ()))
+            place = last(names) if names else -1
+            if place >= 0 and place > last(fences):
+                end(place, i)
+            if opens(t.name, t.attributes):
+                t.furniture = is_furniture(t.name, t.attributes)
+                places.setdefault(t.name, []).append(len(stack))
+                stack.append(t)
+        elif places.get(t.name):
+            place = places[t.name][-1]
+            inner = t.name not in TABLE_PARTS and place < last(FENCES)
+            inline = t.name not in BLOCKS and not stack[place].furniture
+            if inner or inline and place < last(BLOCKS):
+                continue
+            stack[place].closed = True
+            end(place + 1, i)
+            end(place, i + 1)
+    end(0, len(found))
 
 
 def lines(page: str) -> tuple[list[str], bool]:
-    """Stripped lines of a page; whether it marks an article (then only its lines hold text)."""
+    """Stripped lines of a page; whether it marks an article (then only its lines hold text).
+
+    Furniture that holds an h1 or main is no furniture, nor is what holds an article if no article
+    stands outside furniture (teasers and comments are often marked as articles).
+    """
     out: list[str] = []
     inside: list[bool] = []
     text: list[str] = []
-    skipped = ""  # furniture element that is open
-    depth = article = 0
+    found = tags(page)
+    nest(found)
+    i, alone = 0, True
+    while i < len(found):
+        t = found[i]
+        if t.name == "article" and not t.closing and not is_named_furniture(t.attributes):
+            alone = False
+            break
+        i = t.after if t.furniture and not t.title else i + 1
+    at = i = article = 0
     marked = False
-    at = 0
 
     def flush() -> None:
         line = " ".join(html.unescape("".join(text)).split())
@@ -113,47 +228,28 @@ def lines(page: str) -> tuple[list[str], bool]:
         out.extend([""] * WINDOW)
         inside.extend([False] * WINDOW)
 
-    for m in tags(page):
-        if m.start() > at and not skipped:
-            text.append(page[at : m.start()])
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            continue
-        tag, closing = name.lower(), bool(m.group(1))
-        if tag in RAW:
-            if not closing and not m.group(3).endswith("/"):
-                at = raw_end(page, tag, at)
-            continue
-        if skipped:
-            if tag == skipped and tag not in VOID:
-                depth += -1 if closing else 1
-            ended = depth == 0
-            if skipped == "p" and tag in BLOCKS or skipped == "head" and tag == "body":
-                ended = True
-            if not ended:
-                continue
-            skipped = ""
-            if closing or tag == "p":
-                if closing:
-                    continue
-        if not closing and tag not in VOID and is_furniture(tag, m.group(3)):
-            if tag in BLOCKS or tag in FURNITURE:
+    while i < len(found):
+        t = found[i]
+        text.append(page[at : t.start])
+        at, i = t.end, i + 1
+        if t.furniture and not t.title and not (t.article and alone):
+            if t.name in BLOCKS or t.name in FURNITURE:
                 flush()
                 gap()
-            if not m.group(3).endswith("/"):
-                skipped, depth = tag, 1
-            continue
-        if tag in BLOCKS:
+            i = t.after
+            if t.closed:
+                at = found[i - 1].end
+            else:
+                at = found[i].start if i < len(found) else len(page)
+        elif t.name in BLOCKS:
             flush()
-            if tag in ("article", "main"):
+            if t.name in ("article", "main"):
                 marked = True
-                article = max(0, article + (-1 if closing else 1))
+                article = max(0, article + (-1 if t.closing else 1))
                 gap()
-        elif tag in SPACED:
+        elif t.name in SPACED:
             text.append(" ")
-    if at < len(page) and not skipped:
-        text.append(page[at:])
+    text.append(page[at:])
     flush()
     if marked:
         out = [x if i else "" for x, i in zip(out, inside, strict=True)]

@@ -153,6 +153,36 @@ def test_raw_elements_end_at_their_own_end_tag(raw):
     assert html_text.main_text(page) == "One two\nThree"
 
 
+@pytest.mark.parametrize(
+    "around",
+    ['<div class="layout has-sidebar">{}</div>', '<div id="page" class="no-comments">{}</div>',
+     '<section class="related-work">{}</section>', '<div class="sidebar"><article>{}</article></div>',
+     '<main><div class="widget"><article>{}</article></div></main>', '<form id=f><h1></h1>{}</form>',
+     "<ul><li class='share'>A<li>B</ul>{}", "<div><p class=ad>A</div>{}", "<div class=ad><p>A</div>{}",
+     "<table><tr><td class=ad>A<td>B</table>{}", "<dl><dt class=ad>A<dd>B</dl>{}", "<div><span class=ad>A</div>{}",
+     "<div data-id=ad>{}</div>", "<div><svg><path/></div>{}", "<p><b class=x><i class=ad>A</i></b>{}"],
+)
+def test_names_and_open_ends_do_not_take_the_text(around):
+    text = "A sentence of the main text that is long enough to count as such. " * 3
+    for body in (f"<p>{text}<p>{text}</p>", f"<article><p>{text}</p><p>{text}</p></article>"):
+        got = html_text.main_text(f"<body>{around.format(body)}</body>")
+        assert got.split("\n")[-2:] == [text.strip()] * 2
+
+
+def test_titles_stay_and_named_furniture_goes():
+    kept = "<div class='post-header'><h1>T</h1></div><header><h1>H</h1></header><div class=header><h1>K</h1></div>"
+    gone = "".join(f"<div class='{c}'>no<p>no</div>" for c in ("sidebar", "x site-footer", "related-posts", "ad-1 y", "cookie-notice"))
+    comments = "<div id=comments><article class='comment'><p>no</p></article></div>"
+    teasers = "<aside><article><p>no</p></article></aside>"
+    page = f"<article>{kept}<ul><li class=share>no<li>B</ul>{gone}{comments}<p>E</p></article>{teasers}{gone}"
+    assert html_text.main_text(f"<head><meta><body class='has-sidebar'>{page}") == "T\nH\nK\nB\nE"
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<div class=ad>", "<p>", "<li>", "<b>", "<table><td>", "</b>"])
+def test_deep_pages_end(tag):
+    assert isinstance(html_text.main_text(tag * 50_000), str)
+
+
 @pytest.mark.parametrize("page", [None, "", "plain", "<", "<p", "<!-- open", "<script>x", "<p>" * 5000, "&#xZZ;"])
 def test_odd_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)
