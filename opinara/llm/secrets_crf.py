@@ -317,7 +317,10 @@ def _secret_bytes(text: str) -> list[tuple[int, int]]:
 
 
 def training_windows(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Windows of categories and tags around pattern spans and at even places of other texts."""
+    """Windows of categories and tags around pattern spans and at even places of other texts.
+
+    All texts give windows; the ``WINDOWS`` of smallest hash train the field, whatever their order.
+    """
     out = []
     for text in texts:
         w, cats = tokens(pa.array([text]))
@@ -336,12 +339,15 @@ def training_windows(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         share = cats[:, list(PARTS).index("digits")]
         odd = np.flatnonzero((share > 0) & (tags == O))
         centres += odd[:: max(1, len(odd) // 2)][:2].tolist()
-        for c in centres:
+        own = hashlib.sha256(text.encode()).digest()
+        for number, c in enumerate(centres):
             a, b = max(0, c - REACH), min(len(w), c + REACH + 1)
             if tags[a] == I:
                 a = int(np.flatnonzero(tags[: a + 1] == B)[-1])
-            out.append((cats[a:b], tags[a:b]))
-    return out[:WINDOWS]
+            place = hashlib.sha256(own + number.to_bytes(8, "big")).digest()
+            out.append((place, cats[a:b], tags[a:b]))
+    out.sort(key=lambda x: x[0])
+    return [x[1:] for x in out[:WINDOWS]]
 
 
 def fit(docs: DataFrame) -> Field:

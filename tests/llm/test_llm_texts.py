@@ -396,3 +396,15 @@ def test_field_decoding_is_exact_and_masks(spark):
     masked = {r.doc_id: r.text for r in secrets_crf.mask(df, field).collect()}
     assert all("[SECRET]" in masked[i] and key[i:] not in masked[i] for i in range(30))
     assert all(masked[i] == texts[i] for i in range(30, 60))
+
+
+def test_windows_come_from_all_sampled_texts(monkeypatch):
+    """The bound on windows does not prefer texts that come first."""
+    secret = ' password = "9f3b7c1d2e4a5f60718293a4"'
+    texts = [f"plain prose number {i} about nothing{secret * (i >= 100)}" for i in range(200)]
+    every = secrets_crf.training_windows(texts)
+    monkeypatch.setattr(secrets_crf, "WINDOWS", len(every) // 4)
+    same = lambda got: sorted((c.tobytes(), t.tobytes()) for c, t in got)
+    some = secrets_crf.training_windows(texts)
+    assert len(some) == len(every) // 4 and same(some) == same(secrets_crf.training_windows(texts[::-1]))
+    assert any((tags == secrets_crf.B).any() for _, tags in some)
