@@ -183,6 +183,24 @@ def test_deep_pages_end(tag):
     assert isinstance(html_text.main_text(tag * 50_000), str)
 
 
+@pytest.mark.parametrize("size,kept", [(28, True), (29, True), (100, True), (27, False), (5, False)])
+def test_short_articles_without_a_mark(size, kept):
+    """Three blocks in a row are a surge from 86 characters together, fewer are lost."""
+    text = "\n".join(["x" * size, "y" * size, "z" * (size + 2)])
+    blocks = "".join(f"<p>{x}</p>" for x in text.split("\n"))
+    page = f"<body><nav>Home</nav><div>{blocks}</div><footer>(c)</footer></body>"
+    assert html_text.main_text(page) == (text if kept else "")
+
+
+def test_unmarked_pages_give_nearly_all_of_their_article(spark):
+    """The distribution alone, article tags cut out."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    whole = [html_text.main_text(p) for p in pages]
+    alone = [html_text.main_text(re.sub(r"</?(?:article|main)>", "", p)) for p in pages]
+    assert all({*a.split("\n")} - {""} <= {*w.split("\n")} for a, w in zip(alone, whole, strict=True))
+    assert sum(map(len, alone)) >= 0.99 * sum(map(len, whole))
+
+
 @pytest.mark.parametrize("page", [None, "", "plain", "<", "<p", "<!-- open", "<script>x", "<p>" * 5000, "&#xZZ;"])
 def test_odd_pages_do_not_fail(page):
     assert isinstance(html_text.main_text(page), str)
