@@ -2,8 +2,8 @@
 
 Each stage takes the documents that its predecessor kept, written as Parquet and read again. The
 first four return the columns of `documents`; the last one returns token counts and digests.
-Rows without a doc_id are judged by their text in the first stage and go in the second, which needs
-an id to name a group. Rows that repeat a doc_id share its fate.
+Rows without a doc_id are judged by their text in the first stage and pass the second and third,
+which name what they drop by id; their secrets are masked like any other's. Rows that repeat a doc_id share its fate.
 """
 
 from __future__ import annotations
@@ -28,11 +28,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked texts, the one with the smallest id.
 
-    Texts link from a similarity of 0.8 on five-word shingles; op9 has its own rule.
+    Rows without an id cannot name a group and stay. Texts link from a similarity of 0.8 on five-word shingles; op9 has its own rule.
     """
     group = jaccard_join.jaccard_components(docs, k=5, percent=80)
     first = group.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    named = docs.join(first, "doc_id", "left_semi")
+    return named.unionByName(docs.filter("doc_id IS NULL").select(named.columns)).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

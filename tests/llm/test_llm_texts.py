@@ -178,6 +178,14 @@ def test_pipeline_stage_links_at_its_own_threshold(spark):
     assert got < {top for _, top in linked_components(rows, 90).values()}
 
 
+def test_pipeline_stage_keeps_rows_without_an_id(spark):
+    rows = [(None, "no id at all here", 1), (4, "one text of its own", 2), (None, "a second one", 3), (5, "one text of its own", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(r.n_chars for r in got.collect()) == [1, 2, 3]
+
+
 # --- BPE ---------------------------------------------------------------------------------------
 
 
