@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schemas import AT_MONTH
+
 
 def instant(as_of: Column | datetime | None) -> Column:
     """The reference moment: a Column, a datetime, or now."""
@@ -41,3 +43,25 @@ def between_dates(at: Column, start: str | date | None, end: str | date | None)
     """
     lo, hi = date_bound(start), date_bound(end)
     return (lo.isNull() | (at >= lo)) & (hi.isNull() | (at < F.date_add(hi, 1)))
+
+
+def month_of(at: Column) -> Column:
+    """The partition value of a review time; NULL stays NULL."""
+    return F.trunc(F.to_date(at), "month")
+
+
+def in_months(rows: DataFrame, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """A bound on ``at`` carried over to the month partitions; tables without them stay as they are.
+
+    ``first`` and ``last`` bound the times that are wanted; NULL is no bound. A day of slack on either
+    side keeps it right if rows were written under another time zone. The exact filter on ``at`` is
+    still the caller's.
+    """
+    if AT_MONTH not in rows.columns:
+        return rows
+    month = F.col(AT_MONTH)
+    if first is not None:
+        rows = rows.filter(first.isNull() | (month >= F.trunc(F.date_sub(F.to_date(first), 1), "month")))
+    if last is not None:
+        rows = rows.filter(last.isNull() | (month <= F.date_add(F.to_date(last), 1)))
+    return rows

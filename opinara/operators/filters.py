@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.themes import has_theme, themes_array
-from ..functions.timewin import between_dates
+from ..functions.timewin import between_dates, date_bound, in_months
 from ..schemas import ALL, THEME_LABELS
 
 
@@ -28,12 +28,13 @@ def filtered_reviews(
     labels: Mapping[str, str] = THEME_LABELS,
     with_themes: bool = False,
 ) -> DataFrame:
-    """Rows under the global filter. ``start``/``end`` are inclusive days.
+    """Rows under the global filter. ``start``/``end`` are inclusive days; where the table is
+    partitioned by month, only their months are opened.
 
     The theme filter applies first and aggregates follow, so under a theme filter that theme's
     share is 100 % and the other shares are conditional on it.
     """
-    rows = enriched.filter(
+    rows = in_months(enriched, date_bound(start), date_bound(end)).filter(
         equals_or_all(F.col("game"), game)
         & equals_or_all(F.col("language"), language)
         & between_dates(F.col("at"), start, end)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions.timewin import month_of
 from ..operators.merge import evolve
+from ..schemas import AT_MONTH
 from ..session import shared_dir
 
 COMMENTS = {
@@ -22,7 +24,7 @@ COMMENTS = {
 }
 
 TABLES: Mapping[str, T.StructType] = {
-    "reviews_raw": schemas.REVIEWS_RAW,
+    "reviews_raw": schemas.REVIEWS_RAW_BY_MONTH,
     "games_meta": schemas.GAMES_META,
     "games_config": schemas.GAMES_CONFIG,
     "weekly_reports": schemas.WEEKLY_REPORTS,
@@ -34,9 +36,14 @@ def name(schema: str, table: str) -> str:
     return ".".join(f"`{part}`" for part in [*schema.split("."), table])
 
 
-def create_tables(spark: SparkSession, schema: str, id_buckets: int | None = None) -> None:
+def create_tables(
+    spark: SparkSession, schema: str, id_buckets: int | None = None, by_month: bool = True
+) -> None:
     """Create the schema and its four tables where missing, then add missing report columns.
 
+    ``by_month`` partitions ``reviews_raw`` by the month of ``at``; `append` fills that column and
+    the enrichment stream hands it on, so reports and date filters open the months they need.
+
     ``id_buckets`` buckets ``reviews_raw`` by review id. The ingest anti-join then reads the
     stored ids in place: only the run's own rows are shuffled, never the whole store. Run the
     ingest with ``spark.sql.shuffle.partitions`` at the same number, so that its one shuffle
@@ -44,10 +51,13 @@ def create_tables(spark: SparkSession, schema: str, id_buckets: int | None = Non
     """
     spark.sql("CREATE SCHEMA IF NOT EXISTS " + ".".join(f"`{p}`" for p in schema.split(".")))
     layout = {"weekly_reports": "PARTITIONED BY (report_week)"}
+    raw = ["PARTITIONED BY (at_month)"] if by_month else []
     if id_buckets:
-        layout["reviews_raw"] = f"CLUSTERED BY (review_id) INTO {int(id_buckets)} BUCKETS"
+        raw.append(f"CLUSTERED BY (review_id) INTO {int(id_buckets)} BUCKETS")
+    layout["reviews_raw"] = " ".join(raw)
     for table, struct in TABLES.items():
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in struct)
+        fields = [f for f in struct if by_month or f.name != AT_MONTH]
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name(schema, table)} ({columns}) USING parquet "
             f"{layout.get(table, '')} COMMENT '{COMMENTS[table]}'"
@@ -80,7 +90,10 @@ def append(df: DataFrame, table: str) -> int:
     """
     spark = df.sparkSession
     written = Observation()
-    rows = df.select(*spark.table(table).columns).observe(written, F.count("*").alias("n"))
+    columns = spark.table(table).columns
+    if AT_MONTH in columns and AT_MONTH not in df.columns:
+        df = df.withColumn(AT_MONTH, month_of(F.col("at")))
+    rows = df.select(*columns).observe(written, F.count("*").alias("n"))
     rows.write.insertInto(table)
     return int(written.get["n"])
 

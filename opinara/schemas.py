@@ -55,6 +55,10 @@ REVIEW_ROW = _struct(
 
 REVIEWS_RAW = T.StructType([*REVIEW_ROW.fields, T.StructField("_ingested_at", _TS)])
 
+# Partition column of the review tables: the first day of the month of ``at``.
+AT_MONTH = "at_month"
+REVIEWS_RAW_BY_MONTH = T.StructType([*REVIEWS_RAW.fields, T.StructField(AT_MONTH, T.DateType())])
+
 REVIEWS_ENRICHED = T.StructType(
     [
         *REVIEWS_RAW.fields,

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 
 from ..functions.scoring import Scorer
 from ..operators.enrichment import enrich
+from ..schemas import AT_MONTH
 
 
 def run_enrichment(
@@ -20,15 +21,17 @@ def run_enrichment(
 
     The checkpoint remembers the files read and the file sink commits each micro-batch once,
     so a run that lost executors or its driver resumes without repeating an inference result.
-    The stream is the only writer of ``target``.
+    The stream is the only writer of ``target``, which is partitioned by month if the source is.
     """
     reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     created = not spark.catalog.tableExists(target)
+    rows = enrich(reader.table(source), scorer)
+    months = [AT_MONTH] if AT_MONTH in rows.columns else []
     query = (
-        enrich(reader.table(source), scorer)
-        .writeStream.format("parquet")
+        rows.writeStream.format("parquet")
+        .partitionBy(*months)
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
