@@ -51,7 +51,7 @@ def run_ingest(
     store: Store,
     run_id: str,
     pages: DataFrame,
-    games: str | Mapping[str, str],
+    games: DataFrame | str | Mapping[str, str],
     languages: str | Sequence[str],
     backfill: bool = False,
     backfill_max: int = BACKFILL_MAX,
@@ -70,7 +70,9 @@ def run_ingest(
         return {(g, lang): n for g, lang, n in done["written"]}
     store.note(run_id, "started")
     config = table(store, "games_config", base).select("game", "package_name")
-    known = catalog.merge_games(catalog.games_param(store.spark, games), config)
+    if not isinstance(games, DataFrame):
+        games = catalog.games_param(store.spark, games)
+    known = catalog.merge_games(games, config)
     targets = staged(
         ingest.ingest_targets(known, catalog.languages_param(languages)), "run-targets"
     )

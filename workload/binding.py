@@ -38,6 +38,9 @@ LANGUAGES = ("de", "en", "es", "fr")
 UNREAD_GAME = "signup"
 STORED_UNTIL_DAYS = 10
 
+# Days before the newest event at which the source was read, run by run.
+RUN_DAYS = (20, 10, 0)
+
 # Pieces per sale, on average, from which a game is configured, and the moment of catalog writes.
 LARGE_LOT = 25
 CATALOG_NOW = "1999-01-01 00:00:00"
@@ -66,8 +69,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents."""
-    return documents(spark, sf_dir)
+    """All documents, dealt over the cores.
+
+    The test table is one row group, hence one task, whatever the machine. A landed table has many,
+    so this stands for the layout of the table and is part of the fixture: operators score where the
+    text is read and never deal texts out themselves.
+    """
+    return documents(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
 
 
 def as_of(spark: SparkSession, sf_dir: str) -> Column:
@@ -120,17 +128,17 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind_reviews(spark, sf_dir, table(spark, sf_dir, "events"), texts(spark, sf_dir))
 
 
-def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enriched reviews. Each document is scored where it is read, before the join.
+def quotable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language and text, to be scored before the join with what quotes it."""
+    return texts(spark, sf_dir).select("doc_id", F.col("lang").alias("language"), "text")
 
-    A text quoted by many reviews is scored once, and a query that does not show texts moves
-    eight small columns per document instead of the text.
-    """
-    scored = score_texts(
-        texts(spark, sf_dir).select("doc_id", F.col("lang").alias("language"), "text"), SCORER, text="text"
-    )
+
+def bind_enriched(
+    spark: SparkSession, sf_dir: str, events: DataFrame, scored: DataFrame, *more: str
+) -> DataFrame:
+    """Enriched reviews of ``events`` over scored documents; ``more`` columns come from these."""
     silent = F.col("thumbs_up_count").isin(0, 1)
-    return facts(spark, sf_dir, table(spark, sf_dir, "events")).join(scored, "doc_id").select(
+    return facts(spark, sf_dir, events).join(scored, "doc_id").select(
         "review_id",
         "game",
         "package_name",
@@ -141,9 +149,20 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
         "thumbs_up_count",
         "at",
         *[F.when(~silent, F.col(c)).alias(c) for c in ("sentiment", *DIMENSIONS)],
+        *more,
     )
 
 
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched reviews. Each document is scored where it is read, before the join.
+
+    A text quoted by many reviews is scored once, and a query that does not show texts moves
+    eight small columns per document instead of the text.
+    """
+    scored = score_texts(quotable(spark, sf_dir), SCORER, text="text")
+    return bind_enriched(spark, sf_dir, table(spark, sf_dir, "events"), scored)
+
+
 # --- landed pages -----------------------------------------------------------------------------
 
 
@@ -153,16 +172,28 @@ def listed_at() -> Column:
     return F.when(edited, F.col("at") - F.expr("INTERVAL 2 DAYS")).otherwise(F.col("at"))
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page payload: page 0 holds a target's newest day, rows within a page newest first."""
-    newest = F.to_date(as_of(spark, sf_dir))
+def pages(
+    spark: SparkSession, sf_dir: str, days_ago: int = 0, run: str | None = None
+) -> DataFrame:
+    """Page payload: page 0 holds a target's newest day, rows within a page newest first.
+
+    ``days_ago`` gives what the source listed so many days before the newest event, ``run`` names
+    the reading.
+    """
+    moment = as_of(spark, sf_dir) - F.expr(f"INTERVAL {int(days_ago)} DAYS")
+    newest = F.to_date(moment)
     page = F.datediff(newest, F.to_date("at"))
     since_midnight = F.timestamp_diff("MICROSECOND", F.date_trunc("day", "at"), F.col("at"))
     twice = F.when(F.col("thumbs_up_count") == 7, F.array(page, page + 1)).otherwise(F.array(page))
     nothing = F.lit(None).cast("string")
-    return reviews(spark, sf_dir).select(
+    listed = reviews(spark, sf_dir)
+    if days_ago:
+        listed = listed.filter(F.col("at") <= moment)
+    named = [F.lit(run).alias("run")] if run else []
+    return listed.select(
         "package_name",
         "language",
+        *named,
         F.explode(twice).alias("page"),
         (F.lit(86_400_000_000) - since_midnight).alias("pos"),
         F.col("review_id").alias("reviewId"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opinara.functions.grading import grade
 from opinara.functions.text import has_text, longer_than
 from opinara.functions.themes import flatten_dims, parse_dims, themes_array
-from opinara.functions.timewin import last_n_days, monday_of
+from opinara.functions.timewin import last_n_days, monday_of, month_of
 from opinara.functions.trained import (
     flag_by_tokens,
     flag_with_model,
@@ -20,10 +20,12 @@ from opinara.functions.trained import (
 from opinara.operators import catalog, ingest, merge, metrics, reports, sampling, trends
 from opinara.operators.enrichment import enrich, score_texts
 from opinara.operators.filters import filtered_reviews
-from opinara.plans import jobs
+from opinara.plans import jobs, published
 from opinara.plans.dashboard import dashboard_pack
-from opinara.schemas import ALL, DIMENSIONS, WEEKLY_REPORTS
+from opinara.plans.snapshots import Store
+from opinara.schemas import ALL, AT_MONTH, DIMENSIONS, WEEKLY_REPORTS
 from opinara.session import shared_dir, staged
+from opinara.streaming.enrichment import run_enrichment
 from opinara.streaming.ingest import run_page_stream
 
 from . import binding as b
@@ -147,6 +149,33 @@ def ingest_q(spark, sf):
     return _digest(_ingested(spark, sf), "review_id", "game", "language", "score", "at")
 
 
+def _published(spark, sf):
+    """Three runs, published one after another; each reads what the source listed at its time."""
+    store = Store(spark, shared_dir(spark, "published"))
+    for i, days_ago in enumerate(b.RUN_DAYS):
+        pages = b.pages(spark, sf, days_ago, f"run-{i}")
+        published.run_ingest(store, f"run-{i}", pages, b.games(spark, sf), b.LANGUAGES)
+    return store
+
+
+@query
+def ingest_runs(spark, sf):
+    rows = published.table(_published(spark, sf), "reviews_raw")
+    rows = rows.withColumn("at", F.col("at").cast("timestamp_ntz"))
+    return _digest(rows, "review_id", "game", "language", "score", "at", AT_MONTH)
+
+
+@query
+def ingest_run_counts(spark, sf):
+    """Rows written per run and target, as the writes themselves counted them."""
+    counts = [
+        (run["run_id"], *written)
+        for run in _published(spark, sf).snapshot().runs
+        for written in run["written"]
+    ]
+    return spark.createDataFrame(counts, "run_id string, game string, language string, written long")
+
+
 @query
 def ingest_backfill(spark, sf):
     return _digest(_ingested(spark, sf, True), "review_id", "game", "language", "score", "at")
@@ -219,7 +248,9 @@ _SCORED = ("review_id", "game", "language", "at", "sentiment", *DIMENSIONS)
 
 @query
 def enrich_q(spark, sf):
-    rows = enrich(b.reviews(spark, sf), b.SCORER, b.as_of(spark, sf))
+    documents = b.quotable(spark, sf).withColumnRenamed("text", "content")
+    scored = enrich(documents, b.SCORER, b.as_of(spark, sf)).withColumnRenamed("content", "text")
+    rows = b.bind_enriched(spark, sf, b.table(spark, sf, "events"), scored, "_enriched_at")
     return rows.select(
         "review_id", "game", "language", "content", F.col("at").alias("review_at"), "sentiment",
         *DIMENSIONS, "_enriched_at",
@@ -272,7 +303,8 @@ def stream_enrich(spark, sf):
         .parquet(sf)
     )
     run = shared_dir(spark, "stream-enrich")
-    rows = enrich(b.bind_reviews(spark, sf, events, b.texts(spark, sf)), b.SCORER)
+    scored = score_texts(b.quotable(spark, sf), b.SCORER, text="text")
+    rows = b.bind_enriched(spark, sf, events, scored)
     (
         _show(rows, *_SCORED)
         .writeStream.format("parquet")
@@ -284,6 +316,22 @@ def stream_enrich(spark, sf):
     return spark.read.parquet(f"{run}/reviews_enriched")
 
 
+@query
+def enrich_job(spark, sf):
+    """The enrichment job as shipped, from one catalog table into another; run twice."""
+    run = shared_dir(spark, "enrich-job")
+    name = run.rsplit("-", 1)[1]
+    raw, target = f"raw_{name}", f"enriched_{name}"
+    landed = b.reviews(spark, sf).withColumn(AT_MONTH, month_of(F.col("at")))
+    landed.write.partitionBy(AT_MONTH).option("path", f"{run}/raw").saveAsTable(raw)
+    for _ in range(2):
+        run_enrichment(spark, raw, target, b.SCORER, f"{run}/checkpoint")
+    rows = staged(_show(spark.table(target), *_SCORED), "enriched")
+    spark.sql(f"DROP TABLE {raw}")
+    spark.sql(f"DROP TABLE {target}")
+    return rows
+
+
 @query
 def stream_ingest(spark, sf):
     """Landed page files read as a stream into an empty store."""
@@ -398,6 +446,7 @@ def reader_all(spark, sf):
 
 @query
 def recent_reviews(spark, sf):
+    catalog.require_known_game(b.games(spark, sf), "purchase")
     return metrics.recent_reviews(b.enriched(spark, sf), "purchase", 8)
 
 
@@ -434,6 +483,18 @@ def dashboard(spark, sf):
     return out
 
 
+@query
+def dashboard_values(spark, sf):
+    """Every row of every dataset but the reader, which is `reader_all`, as one text per row."""
+    out = None
+    for name, df in dashboard_pack(b.enriched(spark, sf)).items():
+        if name != "reader":
+            cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in sorted(df.columns)]
+            rows = df.select(F.lit(name).alias("dataset"), F.concat_ws("|", *cells).alias("cells"))
+            out = rows if out is None else out.union(rows)
+    return out
+
+
 @query
 def sentiment_by_game(spark, sf):
     return metrics.sentiment_by_game(b.enriched(spark, sf))
