@@ -9,11 +9,15 @@ result.
 * Deletions, for small sets: a segment is worth 2 when it is indexed by its subset and all subsets
   with one shingle deleted, 1 when by its exact subset alone. A record indexes leading segments
   until their worth exceeds its H; two records that link share at least one key.
-* Exact subsets: there are ``SPARE`` times H + 1 segments, so linked records agree on all but H of
-  them. Keys are ordered by how many records hold them, and each record keeps its H + 1 rarest, those
-  that no other record holds included; two records that link share one that both keep. Records with
-  more than H keys of their own link with nothing and drop out without a comparison, and keys that a
-  large group shares are kept only where a record has no rarer ones.
+* Exact subsets: a record indexes one leading segment more than its H, and a spare that is the same
+  for all records of the band, a share ``SPARE`` of the band's H. Linked records agree on more than
+  the spare of the leading segments that both index. Keys are ordered by how many records hold them,
+  and each record leaves out its most frequent ones, as many as the spare; two records that link
+  share one that both keep. Keys that a large group shares are so kept only where a record has no
+  rarer ones, and keys that no other record holds drop out before a comparison.
+
+Keys are written in ``SLICES`` by segment, and one slice after another is searched for keys that two
+records hold, so the shuffles of one slice alone are on disk at a time.
 
 Records of a shared key are a bucket. Buckets are not expanded into pairs. Rounds of verification
 compare hubs with the members that are still in another component and whose segments' tags allow a
@@ -21,25 +25,31 @@ link; each round retires its hubs and
 draws many times as many, until no bucket holds members of two components that were not compared.
 Copies of one set are collapsed before all this, so a large group of copies is one record.
 
-Nulls, empty texts: empty set, linked with nothing. Repeated doc_ids with equal texts collapse;
-with different texts each row keeps its own set and the id is one node. Rows without a doc_id are
-returned with a null component. Extra columns are ignored.
+Records are numbered by doc_id. Rows without an id and rows whose id stands for several sets are numbered
+by a 64-bit hash of their set instead, so no set and no link is lost on them.
+
+Nulls, empty texts: empty set, linked with nothing. Repeated doc_ids with equal sets collapse; with
+different sets each row keeps its own and the id is one node, so all that link with either are one
+component. Rows without a doc_id link others but are returned with a null component. Extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara.llm import textvec as tv
-from opinara.session import staged
+from opinara.session import shared_dir, staged
 
 _U = np.uint64
-SPARE = 2  # segments for each one that linked records must agree on at least
+SPARE = 0.25  # keys that a record may leave out, for each segment in which linked records may differ
+SLICES = 8  # parts of the key space that are shuffled one after another
 MORE_HUBS = 64  # times as many hubs of a bucket in each further round
 
 
@@ -83,8 +93,9 @@ class Bands:
         self.deleting = np.array(
             [allocate(int(n), int(h), self.rows) for n, h in zip(self.low, self.budget, strict=True)]
         )
+        self.spare = np.where(self.deleting > 0, 0, np.ceil(SPARE * self.budget).astype(np.int64))
         self.segments = np.where(
-            self.deleting > 0, self.budget - self.deleting, SPARE * self.budget
+            self.deleting > 0, self.budget - self.deleting, self.budget + self.spare
         )
 
     def apart(self, n, s):
@@ -125,17 +136,18 @@ def allocate(size: int, budget: int, rows: int) -> int:
 
 
 def signatures(row: np.ndarray, shingle: np.ndarray, n: np.ndarray, bands: Bands):
-    """Keys of each row's set as (row, key, slot) arrays. ``n`` holds every row's set size.
+    """Keys of each row's set as (row, key, slot, place) arrays. ``n`` holds every row's set size.
 
-    A slot numbers the band and says how many of the record's most frequent keys may be left out.
+    A slot numbers the band and says how many of the record's most frequent keys may be left out; the
+    place is the key's segment.
     """
     idx, band, worth = bands.entries(n)
     if not len(idx):
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
-    d, m = bands.deleting[band], bands.segments[band]
+        nothing = np.zeros(0, np.int64)
+        return nothing, np.zeros(0, _U), nothing, nothing
+    d, m, spare = bands.deleting[band], bands.segments[band], bands.spare[band]
     used = np.where(worth <= 2 * d, -(-worth // 2), worth - d)
-    used = np.where(d > 0, used, m)
-    spare = np.where(d > 0, 0, m - worth)
+    used = np.where(d > 0, used, worth + spare)
     base = np.cumsum(used) - used
     begin = np.searchsorted(row, np.arange(len(n)))
     count = n[idx]
@@ -161,116 +173,200 @@ def signatures(row: np.ndarray, shingle: np.ndarray, n: np.ndarray, bands: Bands
     cut = seg < d[entry]
     slot, x = slot[cut], x[cut]
     keys = [key(total, size, owner, place), key(total[slot] - x, size[slot] - 1, owner[slot], place[slot])]
-    owner = np.concatenate([owner, owner[slot]])
-    return idx[owner], np.concatenate(keys), (band[owner] << 32) + spare[owner]
+    owner, place = np.concatenate([owner, owner[slot]]), np.concatenate([place, place[slot]])
+    return idx[owner], np.concatenate(keys), (band[owner] << 32) + spare[owner], place
 
 
 SET_SCHEMA = (
-    "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, slots array<long>"
+    "slice int, doc_id long, n_shingles long, f1 long, f2 long, number long, own boolean, "
+    "keys array<long>, slots array<long>"
 )
 
 
+def fingerprints(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two order-free hashes of each row's set, and one of both."""
+    f1, f2 = np.zeros(rows, _U), np.zeros(rows, _U)
+    np.add.at(f1, row, tv.mix(h, 19))
+    np.add.at(f2, row, tv.mix(h, 23))
+    return f1, f2, tv.mix(f1 + tv.mix(f2, 29), 31)
+
+
+def _lists(at: np.ndarray, rows: int, *columns: np.ndarray) -> list[pa.Array]:
+    """The values of each row as one list a column; ``at`` is ascending."""
+    ends = pa.array(np.searchsorted(at, np.arange(rows + 1)), pa.int32())
+    return [pa.ListArray.from_arrays(ends, pa.array(x)) for x in columns]
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[pa.RecordBatch]:
-    """Set size, fingerprint and keys of each document; keys once per set and task."""
+    """A row per document with its set's size and fingerprints (slice -1), and rows of keys by slice.
+
+    Keys are made once per set and task, by the row marked as ``own``. ``number`` is the hash that
+    numbers the record if its id cannot.
+    """
     seen: set[tuple[int, int]] = set()
+    names = SET_SCHEMA.replace(",", "").split()[::2]
     for whole in batches:
         for part in tv.slices(whole, "text"):
             rows = part.num_rows
             row, h = distinct_shingles(part.column(1), k)
             n = np.bincount(row, minlength=rows).astype(np.int64)
-            f1, f2 = np.zeros(rows, _U), np.zeros(rows, _U)
-            np.add.at(f1, row, tv.mix(h, 19))
-            np.add.at(f2, row, tv.mix(h, 23))
+            f1, f2, number = fingerprints(row, h, rows)
             own = np.zeros(rows, bool)
             for i, pair in enumerate(zip(f1.tolist(), f2.tolist(), strict=True)):
                 if n[i] and pair not in seen:
                     seen.add(pair)
                     own[i] = True
             held = own[row]
-            at, keys, slots = signatures(row[held], h[held], np.where(own, n, 0), bands)
-            order = np.argsort(at, kind="stable")
-            ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=rows))])
-            ends = pa.array(ends, pa.int32())
-            lists = [
-                pa.ListArray.from_arrays(ends, pa.array(x[order]), mask=pa.array(~own))
-                for x in (tv.signed(keys), slots)
-            ]
+            at, keys, slots, place = signatures(row[held], h[held], np.where(own, n, 0), bands)
+            # The segment decides the slice, so equal keys meet in one and each slice has its order.
+            piece = place % SLICES
+            order = np.lexsort((np.arange(len(at)), at, piece))
+            at, keys, slots, piece = at[order], tv.signed(keys)[order], slots[order], piece[order]
+            doc_id = part.column(0).cast(pa.int64())
+            about = [doc_id, *(pa.array(x) for x in (n, tv.signed(f1), tv.signed(f2), tv.signed(number), own))]
+            empty = pa.array([None] * rows, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0).cast(pa.int64()),
-                    pa.array(n),
-                    pa.array(tv.signed(f1)),
-                    pa.array(tv.signed(f2)),
-                    *lists,
-                ],
-                ["doc_id", "n_shingles", "f1", "f2", "keys", "slots"],
+                [pa.array(np.full(rows, -1, np.int32)), *about, empty, empty], names
             )
+            some = pa.array(np.flatnonzero(own))
+            for i in range(SLICES):
+                cut = slice(*np.searchsorted(piece, [i, i + 1]))
+                lists = _lists(at[cut], rows, keys[cut], slots[cut])
+                columns = [x.take(some) for x in (*about, *lists)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), i, np.int32)), *columns], names
+                )
+
 
+def document_sets(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+    """All sets (id, doc_id, n_shingles, f1, f2, own) and their keys (slice, id, ..., keys, slots).
 
-def document_sets(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, keys, slots) of every document, staged. One pass over the texts."""
+    Staged in one pass over the texts. ``id`` numbers the record.
+    """
     bands = Bands(percent, docs.count())
     got = docs.select("doc_id", "text").mapInArrow(lambda it: _sets(it, k, bands), SET_SCHEMA)
-    return staged(got, "jaccard-sets")
+    path = shared_dir(docs.sparkSession, "jaccard-sets")
+    got.write.partitionBy("slice").parquet(path)
+    got = docs.sparkSession.read.schema(SET_SCHEMA).parquet(path)
+    sets = got.filter("slice = -1").drop("keys", "slots", "slice")
+    same = ["f1", "f2", "n_shingles"]
+    # Ids of several sets: each of their rows is numbered by its set.
+    several = sets.groupBy("doc_id").agg(*[f(c) for f in (F.min, F.max) for c in same])
+    differ = " OR ".join(f"`min({c})` <> `max({c})`" for c in same)
+    several = staged(several.filter(differ).select("doc_id").dropna(), "jaccard-several")
+    marked = several.withColumn("odd", F.lit(True))
+    by_set = F.col("odd").isNotNull() | F.col("doc_id").isNull()
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        rows = rows.join(marked, "doc_id", "left")
+        return rows.withColumn("id", F.when(by_set, F.col("number")).otherwise(F.col("doc_id")))
+
+    return numbered(sets), numbered(got.filter("slice >= 0"))
+
 
+def record_texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(id, text) of the wanted records, staged. Rows numbered by their set are hashed again."""
 
-def buckets(sets: DataFrame) -> DataFrame:
-    """(bucket, id) of records that share a key; one bucket for equal member lists. Staged.
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in tv.slices(whole, "text"):
+                row, h = distinct_shingles(part.column(0), k)
+                hashed = tv.signed(fingerprints(row, h, part.num_rows)[2])
+                yield pa.RecordBatch.from_arrays([pa.array(hashed), part.column(0)], ["id", "text"])
+
+    rows = docs.select("doc_id", "text")
+    odd = sets.filter("odd").select("doc_id").distinct()
+    unnamed = rows.filter("doc_id IS NULL").union(rows.join(odd, "doc_id", "left_semi"))
+    unnamed = unnamed.select("text").mapInArrow(number, "id long, text string")
+    named = rows.dropna(subset=["doc_id"]).join(odd, "doc_id", "left_anti")
+    texts = named.select(F.col("doc_id").alias("id"), "text").union(unnamed).join(wanted, "id")
+    return staged(texts.dropDuplicates(["id"]), "jaccard-texts")
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffles of jobs that are done, whose plans nobody holds."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(id, key, slot, held) of the keys that several rows hold, slice by slice, each staged.
 
     Keys are counted by partial aggregation, so a key that a third of all records hold sends one
-    row per task. Copies of a set in several tasks are counted with it, which changes no more than
-    the order of keys by frequency, and go as soon as the members are known: the wide rows of keys
-    are never shuffled to drop them.
+    row per task.
     """
-    keyed = sets.filter("keys IS NOT NULL")
-    first = keyed.groupBy("f1", "f2", "n_shingles").agg(
-        F.min("doc_id").alias("id"), F.count("*").alias("times")
-    )
-    again = keyed.select("f1", "f2", "n_shingles", "doc_id")
-    again = first.filter("times > 1").join(again, ["f1", "f2", "n_shingles"])
-    again = staged(again.filter("doc_id <> id").select(F.col("doc_id").alias("id")), "jaccard-again")
-    keys = keyed.select(F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
-    both = F.explode(F.arrays_zip("keys", "slots")).alias("x")
-    slotted = keyed.select(F.col("doc_id").alias("id"), both)
-    slotted = slotted.select("id", F.col("x.keys").alias("key"), F.col("x.slots").alias("slot"))
-    members = slotted.join(shared, "key")
+    out = None
+    for i in range(SLICES):
+        part = keys.filter(F.col("slice") == i)
+        held = part.select(F.explode("keys").alias("key")).groupBy("key")
+        held = held.agg(F.count("*").cast("int").alias("held")).filter("held > 1")
+        both = F.explode(F.arrays_zip("keys", "slots")).alias("x")
+        slotted = part.select("id", both)
+        slotted = slotted.select("id", F.col("x.keys").alias("key"), F.col("x.slots").alias("slot"))
+        found = staged(slotted.join(held, "key"), "jaccard-shared")
+        out = found if out is None else out.union(found)
+        del part, held, slotted
+        _release(keys.sparkSession)
+    return out
+
+
+def buckets(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(bucket, id, band, tags, size, own) of records that share a key; staged.
+
+    There is one bucket for equal member lists. Copies of a set in several tasks are counted with it,
+    which changes no more than the order of keys by frequency, and go as soon as the members are
+    known: the wide rows of keys are never shuffled to drop them.
+    """
+    keyed = sets.filter("own")
+    same = ["f1", "f2", "n_shingles"]
+    first = keyed.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("times"))
+    again = first.filter("times > 1").join(keyed.select(*same, "id"), same)
+    again = staged(again.filter("id <> first").select("id"), "jaccard-again")
+    members = shared_keys(keys)
     # Of the shared keys of a record and band all but the ``spare`` most frequent are kept.
     by = Window.partitionBy("id", "slot").orderBy(F.desc("held"), "key")
-    members = members.withColumn("place", F.row_number().over(by))
+    members = members.withColumn("nth", F.row_number().over(by))
     spare = F.col("slot").bitwiseAND(F.lit((1 << 32) - 1))
     band = F.shiftright("slot", 32).alias("band")
-    members = members.filter(F.col("place") > spare).select("key", "id", band).distinct()
+    members = members.filter(F.col("nth") > spare).select("key", "id", band).distinct()
     members = staged(members.join(again, "id", "left_anti"), "jaccard-members")
+    _release(sets.sparkSession)
     alike = members.groupBy("key").agg(
         F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("id")).alias("x"),
         F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
     )
     alike = alike.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    member = members.join(alike, "key").withColumnRenamed("key", "bucket")
+    member = staged(members.join(alike, "key").withColumnRenamed("key", "bucket"), "jaccard-member")
     own = member.groupBy("id").agg(F.collect_set("bucket").alias("own"))
-    # Tags are cut before their shuffle: a byte of each key instead of keys and slots.
-    return staged(member.join(tags(keyed), ["id", "band"]).join(own, "id"), "jaccard-buckets")
+    met = member.select("id", "band").distinct()
+    return staged(member.join(tags(keys, met), ["id", "band"]).join(own, "id"), "jaccard-buckets")
 
 
-def tags(records: DataFrame) -> DataFrame:
-    """(id, band, tags, size): a byte of each key of a record in a band, in segment order.
+def tags(keys: DataFrame, met: DataFrame) -> DataFrame:
+    """(id, band, tags, size): a byte of each key of a record in a band, by slice and segment.
 
     Segments with different tags differ, each by a shingle at least. Bands with deletions have no
-    tags, as their keys are no segments. ``size`` is the record's set size.
+    tags, as their keys are no segments. ``size`` is the record's set size. Only the records and
+    bands of ``met`` are tagged; a byte of each key is shuffled instead of keys and slots.
     """
     slot = F.explode(F.array_distinct("slots")).alias("slot")
     size = F.col("n_shingles").alias("size")
-    x = records.select(F.col("doc_id").alias("id"), "keys", "slots", size, slot)
+    x = keys.select("id", "slice", "keys", "slots", size, slot)
     x = x.withColumn("spare", F.col("slot").bitwiseAND(F.lit((1 << 32) - 1)))
-    own = F.filter(F.arrays_zip("keys", "slots"), lambda k: k["slots"] == F.col("slot"))
-    byte = F.transform(own, lambda k: (k["keys"].bitwiseAND(F.lit(127))).cast("byte"))
-    return x.select(
+    mine = F.filter(F.arrays_zip("keys", "slots"), lambda k: k["slots"] == F.col("slot"))
+    byte = F.transform(mine, lambda k: (k["keys"].bitwiseAND(F.lit(127))).cast("byte"))
+    x = x.select(
         "id",
         F.shiftright("slot", 32).alias("band"),
-        F.when(F.col("spare") > 0, byte).alias("tags"),
         "size",
+        F.struct("slice", F.when(F.col("spare") > 0, byte).alias("tags")).alias("cut"),
+    )
+    x = x.join(met, ["id", "band"]).groupBy("id", "band", "size").agg(F.collect_set("cut").alias("cuts"))
+    cuts = F.array_sort("cuts")
+    tagged = F.exists(cuts, lambda c: c["tags"].isNotNull())
+    return x.select(
+        "id", "band", F.when(tagged, F.transform(cuts, lambda c: c["tags"])).alias("tags"), "size"
     )
 
 
@@ -281,7 +377,10 @@ def may_link(percent: int) -> Column:
     """
     alike = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
     most = F.floor((F.col("size") + F.col("hub_size")) * (100 - percent) / (100 + percent))
-    differ = F.size(F.filter(F.zip_with("hub_tags", "tags", lambda a, b: a != b), lambda d: d))
+    per_slice = F.zip_with(
+        "hub_tags", "tags", lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d))
+    )
+    differ = F.aggregate(per_slice, F.lit(0), lambda n, d: n + F.coalesce(d, F.lit(0)))
     first = F.array_min(F.array_intersect("hub_own", "own")) == F.col("bucket")
     untagged = F.col("tags").isNull() | F.col("hub_tags").isNull()
     return alike & first & (untagged | (differ <= most))
@@ -394,21 +493,37 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; see the module."""
-    sets = document_sets(docs, k, percent)
-    member = buckets(sets)
+    sets, keys = document_sets(docs, k, percent)
+    member = buckets(sets, keys)
     wanted = staged(member.select("id").distinct(), "jaccard-wanted")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id")
-    texts = staged(texts.dropDuplicates(["id"]), "jaccard-texts")
-    comp = merged(member, texts, k, percent)
+    comp = merged(member, record_texts(docs, sets, wanted, k), k, percent)
     # Copies of a set: one node per set, then sets of one component share its smallest doc_id.
     same = ["f1", "f2", "n_shingles"]
     held = sets.filter("n_shingles > 0")
     first = held.groupBy(*same).agg(
-        F.min("doc_id").alias("least"), F.min(F.expr("IF(keys IS NOT NULL, doc_id, NULL)")).alias("id")
+        F.min("doc_id").alias("least"), F.min(F.when(F.col("own"), F.col("id"))).alias("id")
     )
     first = first.join(comp, "id", "left").withColumn("node", F.coalesce("comp", "id"))
+    first = first.select(*same, "least", "node")
+    odd = staged(
+        held.filter("odd").join(first, same).select("doc_id", "node").distinct(), "jaccard-odd"
+    )
+    if not odd.isEmpty():
+        # An id of several sets joins their components.
+        least = odd.groupBy("doc_id").agg(F.min("node").alias("a"))
+        joined = components(odd.join(least, "doc_id").select("a", F.col("node").alias("b")))
+        joined = joined.select(F.col("id").alias("node"), F.col("comp").alias("whole"))
+        first = first.join(joined, "node", "left")
+        first = first.withColumn("node", F.coalesce("whole", "node")).drop("whole")
     least = first.groupBy("node").agg(F.min("least").alias("component"))
     named = first.join(least, "node").select(*same, "component")
-    return sets.join(named, same, "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    out = sets.join(named, same, "left").select("doc_id", "n_shingles", "odd", "component")
+    # Empty rows of such an id share its component.
+    of_id = odd.join(least, "node").groupBy("doc_id").agg(F.min("component").alias("of_id"))
+    out = out.join(of_id, "doc_id", "left")
+    component = F.coalesce("component", "of_id", "doc_id")
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
     )

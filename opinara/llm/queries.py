@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opinara.llm import (
     bpe,
@@ -89,7 +90,7 @@ _PARTS = """
     """,
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").withColumnRenamed("page_id", "id")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(pages, rules).withColumnRenamed("id", "page_id")
 

@@ -14,7 +14,8 @@ third of all rows spreads over many ranges.
 URL parts: host from the first ``://`` up to ``/``, ``?``, ``#`` or the end with A-Z lower-cased;
 path from there up to ``?``, ``#`` or the end; both empty without ``://`` or for null. Such rows and
 rows without a rule get the default verdict. Of rules with equal host and path, block wins. Rules
-with a null part or no host are ignored. Repeated rows each get a verdict.
+with a null part or no host are ignored. Repeated rows each get a verdict, rows without an id too. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SAMPLE = 20_000
 AFTER_DOT = "/"  # the character after "."
+NO_ID = 2  # kind of a URL row without an id; ids themselves are never null, so pandas keeps them exact
 SCHEMA = "id long, host string, path string, rule string, verdict string"
 
 
@@ -51,7 +54,7 @@ def fences(rows: DataFrame, ranges: int) -> list[tuple[str, str, int]]:
     """At most ``ranges`` - 1 cut points (key, path, id) from a bounded sample of the rows."""
     share = min(1.0, SAMPLE / max(rows.count(), 1))
     picked = rows.sample(share, seed=7) if share < 1 else rows
-    found = sorted({(r.key, r.path, r.id or 0) for r in picked.limit(2 * SAMPLE).collect()})
+    found = sorted({(r.key, r.path, r.id) for r in picked.limit(2 * SAMPLE).collect()})
     step = max(1, len(found) // ranges)
     return found[step::step][: ranges - 1]
 
@@ -67,7 +70,7 @@ def _deal(batches: Iterator[pd.DataFrame], cuts: list) -> Iterator[pd.DataFrame]
                 first.append(bisect_left(keys, key))
                 last.append(bisect_right(keys, key[:-1] + AFTER_DOT))
             else:
-                place = bisect_right(cuts, (key, path, 0 if pd.isna(i) else int(i)))
+                place = bisect_right(cuts, (key, path, int(i)))
                 first.append(place)
                 last.append(place)
         x["part"] = [list(range(a, b + 1)) for a, b in zip(first, last, strict=True)]
@@ -104,10 +107,10 @@ def _sweep(batches: Iterator[pd.DataFrame], default: str) -> Iterator[pd.DataFra
                     if hit is not None and (best is None or rank > best[0]):
                         name = ".".join(reversed(own[:-1].split("."))) + path[:n]
                         best = (rank, name, hit)
-            out.append((i, host, path, best and best[1], best[2] if best else default))
-        yield pd.DataFrame(out, columns=["id", "host", "path", "rule", "verdict"]).astype(
-            {"id": "Int64"}
-        )
+            out.append((i, kind == NO_ID, host, path, best and best[1], best[2] if best else default))
+        ids, unnamed, *rest = zip(*out, strict=True) if out else [()] * 6
+        ids = pd.arrays.IntegerArray(np.array(ids, np.int64), np.array(unnamed, bool))
+        yield pd.DataFrame(dict(zip(["host", "path", "rule", "verdict"], rest, strict=True))).assign(id=ids)
 
 
 def filter_urls(
@@ -121,10 +124,10 @@ def filter_urls(
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     host = url_host()
     rows = urls.select(
-        F.lit(1).alias("kind"),
+        F.when(F.col("id").isNull(), NO_ID).otherwise(1).alias("kind"),
         host_key(host).alias("key"),
         url_path().alias("path"),
-        F.col("id").cast("long").alias("id"),
+        F.coalesce(F.col("id").cast("long"), F.lit(0)).alias("id"),
         host.alias("host"),
         F.lit(None).cast("string").alias("verdict"),
     )
@@ -133,7 +136,7 @@ def filter_urls(
         F.lit(0).alias("kind"),
         host_key(rule_host).alias("key"),
         "path",
-        F.lit(None).cast("long").alias("id"),
+        F.lit(0).cast("long").alias("id"),
         rule_host.alias("host"),
         "verdict",
     )
@@ -144,7 +147,7 @@ def filter_urls(
         "kind int, key string, path string, id long, host string, verdict string, part array<int>",
     )
     dealt = dealt.withColumn("part", F.explode("part"))
-    # Range partitioning on the number of the range; rows of one range stay together.
+    # Dealt by the number of the range: rows of one range stay together, a task may get several.
     dealt = dealt.repartition(len(cuts) + 1, "part")
     dealt = dealt.sortWithinPartitions("part", "key", "kind")
     return dealt.mapInPandas(lambda it: _sweep(it, default), SCHEMA)

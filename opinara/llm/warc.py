@@ -56,7 +56,7 @@ def records(pages: DataFrame) -> DataFrame:
     groups = groups.agg(F.max("page_id").alias("first"), F.count("*").alias("times"))
     groups = staged(groups.filter("times > 1 AND first IS NOT NULL"), "warc-groups")
     p = p.join(groups, ["digest", "bytes"], "left")
-    revisit = F.coalesce(F.col("first") != F.coalesce(F.col("page_id"), F.lit(-1)), F.lit(False))
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     http = F.concat(F.lit(_HTTP), F.col("bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(revisit, "").otherwise(F.col("html")))
     url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -150,8 +150,8 @@ def _fields(cuts: DataFrame) -> DataFrame:
         "size",
         "need",
         field("WARC-Type").alias("record_type"),
-        F.regexp_extract("head", rf"WARC-Record-ID: <{RECORD}(\d+)>", 1).try_cast("long").alias("page_id"),
-        F.regexp_extract("head", rf"WARC-Refers-To: <{RECORD}(\d+)>", 1).try_cast("long").alias("refers_to"),
+        F.regexp_extract("head", rf"WARC-Record-ID: <{RECORD}(-?\d+)>", 1).try_cast("long").alias("page_id"),
+        F.regexp_extract("head", rf"WARC-Refers-To: <{RECORD}(-?\d+)>", 1).try_cast("long").alias("refers_to"),
         F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("stated_digest"),
         field("X-Payload-Bytes").try_cast("long").alias("stated_bytes"),
         F.when(F.col("size") >= F.col("need"), F.sha1("payload")).alias("digest"),

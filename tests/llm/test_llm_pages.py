@@ -17,7 +17,7 @@ BIG = "y" * 1200
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "pages", "labels", "benchmark"):
+    for name in ("documents", "pages", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
@@ -64,6 +64,19 @@ def test_url_rules_equal_brute_force(spark, ranges):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict), u
 
 
+def test_url_ids_of_any_size_and_clashing_columns(spark, tmp_path):
+    """Ids beyond 2^53 beside null ids, very long urls, and extra columns named like inner ones."""
+    ids = [2**53 + 1, 2**53 + 3, 2**60 + 1, -5, None, None, 0]
+    urls = ["http://example.org/es/" + "x" * 100_000] * 3 + ["http://a.com/de/", None, "http://b.org/", "x"]
+    rows = [(i, u, 7, "h", "k", 0) for i, u in zip(ids, urls, strict=True)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, id int, host string, key string, kind int")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.QUERIES["op2_url_filters"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, (r.page_id for r in got))) == sorted(map(str, ids))
+    verdicts = {r.page_id: r.verdict for r in got if r.page_id is not None}
+    assert verdicts == {2**53 + 1: "block", 2**53 + 3: "block", 2**60 + 1: "block", -5: "block", 0: "allow"}
+
+
 def test_no_urls(spark):
     urls = spark.createDataFrame([], "id long, url string")
     rules = spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")
@@ -104,6 +117,17 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch, split, compression, c
     assert got == sorted(want)
 
 
+def test_archives_of_negative_and_null_ids(spark, tmp_path):
+    rows = [(-5, "u", BIG, 1), (-9, "u", BIG, 1), (None, "u", BIG, 1), (-1, "v", BIG + "x", 1), (None, "v", BIG + "x", 1)]
+    rows += [(-(2**60), "w", "small", 1), (2**60 + 1, "w", "small", 1)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string, digest int"), str(tmp_path / "w"))
+    got = sorted((r.page_id is None, r.page_id or 0, r.record_type, r.refers_to or 0) for r in warc.read(spark, str(tmp_path / "w")).collect())
+    assert got == sorted([
+        (False, -5, "response", 0), (False, -9, "revisit", -5), (True, 0, "revisit", -5), (False, -1, "response", 0),
+        (True, 0, "revisit", -1), (False, -(2**60), "response", 0), (False, 2**60 + 1, "response", 0),
+    ])
+
+
 def test_no_pages(spark, tmp_path):
     path = str(tmp_path / "none")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)

@@ -139,7 +139,7 @@ def test_every_linked_pair_shares_a_key():
                 if 100 * both < 90 * (len(a) + len(b) - both):
                     continue
                 row = np.repeat([0, 1], [len(a), len(b)])
-                at, keys, slots = jaccard_join.signatures(row, np.concatenate([np.sort(a), np.sort(b)]), np.array([len(a), len(b)]), bands)
+                at, keys, slots, _ = jaccard_join.signatures(row, np.concatenate([np.sort(a), np.sort(b)]), np.array([len(a), len(b)]), bands)
                 same = {(k, s >> 32) for k, s in zip(keys[at == 0].tolist(), slots[at == 0].tolist(), strict=True)}
                 same &= {(k, s >> 32) for k, s in zip(keys[at == 1].tolist(), slots[at == 1].tolist(), strict=True)}
                 # Some band in which they share more keys than either record may leave out.
@@ -156,6 +156,22 @@ def test_join_of_odd_and_empty_inputs(spark, odd):
     assert jaccard_join.jaccard_components(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_null_and_repeated_ids_lose_no_link(spark, parts):
+    """Copies beside rows without an id, and two texts under one id, each with near copies."""
+    rnd = random.Random(4)
+    a, b, c, d = (" ".join(f"{x}{rnd.randrange(900)}" for _ in range(90)) for x in "abcd")
+    near = lambda t: edited(rnd, t, 1)
+    rows = [(None, a), (1, a), (2, a), (None, near(a)), (9, near(a)), (5, b), (5, c), (7, near(b)), (8, near(c)),
+            (5, ""), (-3, near(c)), (11, d), (11, d), (2**60 + 1, near(d)), (None, None), (12, "one"), (12, None)]
+    docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, id string, key int")
+    got = jaccard_join.jaccard_components(docs.repartition(parts)).collect()
+    assert len(got) == len(rows)
+    want = {1: 1, 2: 1, 9: 1, 5: -3, 7: -3, 8: -3, -3: -3, 11: 11, 2**60 + 1: 11, 12: 12, None: None}
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert sorted(r.n_shingles for r in got) == sorted(len(shingles(t)) for _, t in rows)
+
+
 def test_pipeline_stage_links_at_its_own_threshold(spark):
     """Edited copies of 0.8 and more on five words are one group, also below 0.9 on three."""
     rnd, rows = random.Random(8), []
