@@ -108,7 +108,9 @@ def _sweep(batches: Iterator[pd.DataFrame], default: str) -> Iterator[pd.DataFra
                         name = ".".join(reversed(own[:-1].split("."))) + path[:n]
                         best = (rank, name, hit)
             out.append((i, kind == NO_ID, host, path, best and best[1], best[2] if best else default))
-        ids, unnamed, *rest = zip(*out, strict=True) if out else [()] * 6
+        if not out:
+            continue
+        ids, unnamed, *rest = zip(*out, strict=True)
         ids = pd.arrays.IntegerArray(np.array(ids, np.int64), np.array(unnamed, bool))
         yield pd.DataFrame(dict(zip(["host", "path", "rule", "verdict"], rest, strict=True))).assign(id=ids)
 
