@@ -49,6 +49,7 @@ from opinara.session import shared_dir, staged
 
 _U = np.uint64
 SPARE = 0.25  # keys that a record may leave out, for each segment in which linked records may differ
+CELLS = 4  # tags of a record in a band, for each segment in which linked records may differ
 SLICES = 8  # parts of the key space that are shuffled one after another
 MORE_HUBS = 64  # times as many hubs of a bucket in each further round
 
@@ -177,9 +178,30 @@ def signatures(row: np.ndarray, shingle: np.ndarray, n: np.ndarray, bands: Bands
     return idx[owner], np.concatenate(keys), (band[owner] << 32) + spare[owner], place
 
 
+def cell_tags(row: np.ndarray, shingle: np.ndarray, n: np.ndarray, bands: Bands):
+    """Tags of each row's set in each of its bands as (row, band, cells, tag) arrays.
+
+    A band's universe is cut into ``CELLS`` times its budget; a tag is seven bits of the sum of a
+    cell's shingles, so cells with different tags differ, each by a shingle at least.
+    """
+    idx, band, _ = bands.entries(n)
+    order = np.argsort(idx, kind="stable")
+    idx, band = idx[order], band[order]
+    cells = CELLS * bands.budget[band]
+    base = np.cumsum(cells) - cells
+    begin, count = np.searchsorted(row, np.arange(len(n))), n[idx]
+    entry = np.repeat(np.arange(len(idx)), count)
+    at = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count) + begin[idx][entry]
+    x = shingle[at]
+    place = tv.mix(x + band[entry].astype(_U) * _U(0x9E3779B1), 37) % cells[entry].astype(_U)
+    total = np.zeros(int(cells.sum()), _U)
+    np.add.at(total, base[entry] + place.astype(np.int64), tv.mix(x, 41))
+    return idx, band, cells, (tv.mix(total, 43) & _U(127)).astype(np.int8)
+
+
 SET_SCHEMA = (
     "slice int, doc_id long, n_shingles long, f1 long, f2 long, number long, own boolean, "
-    "keys array<long>, slots array<long>"
+    "keys array<long>, slots array<long>, bands array<int>, tags array<array<byte>>"
 )
 
 
@@ -204,7 +226,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[p
     numbers the record if its id cannot.
     """
     seen: set[tuple[int, int]] = set()
-    names = SET_SCHEMA.replace(",", "").split()[::2]
+    names = SET_SCHEMA.replace(",", "").split()[::2]  # no type has a blank
     for whole in batches:
         for part in tv.slices(whole, "text"):
             rows = part.num_rows
@@ -225,16 +247,25 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[p
             doc_id = part.column(0).cast(pa.int64())
             about = [doc_id, *(pa.array(x) for x in (n, tv.signed(f1), tv.signed(f2), tv.signed(number), own))]
             empty = pa.array([None] * rows, pa.list_(pa.int64()))
+            who, band, cells, tag = cell_tags(row[held], h[held], np.where(own, n, 0), bands)
+            ends = pa.array(np.concatenate([[0], np.cumsum(cells)]), pa.int32())
+            tags = pa.ListArray.from_arrays(ends, pa.array(tag))
+            of_row = pa.array(np.searchsorted(who, np.arange(rows + 1)), pa.int32())
+            about_bands = [
+                pa.ListArray.from_arrays(of_row, pa.array(band.astype(np.int32))),
+                pa.ListArray.from_arrays(of_row, tags),
+            ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(rows, -1, np.int32)), *about, empty, empty], names
+                [pa.array(np.full(rows, -1, np.int32)), *about, empty, empty, *about_bands], names
             )
+            no_bands = [pa.array([None] * int(own.sum()), x.type) for x in about_bands]
             some = pa.array(np.flatnonzero(own))
             for i in range(SLICES):
                 cut = slice(*np.searchsorted(piece, [i, i + 1]))
                 lists = _lists(at[cut], rows, keys[cut], slots[cut])
                 columns = [x.take(some) for x in (*about, *lists)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), i, np.int32)), *columns], names
+                    [pa.array(np.full(len(some), i, np.int32)), *columns, *no_bands], names
                 )
 
 
@@ -261,7 +292,7 @@ def document_sets(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataF
         rows = rows.join(marked, "doc_id", "left")
         return rows.withColumn("id", F.when(by_set, F.col("number")).otherwise(F.col("doc_id")))
 
-    return numbered(sets), numbered(got.filter("slice >= 0"))
+    return numbered(sets), numbered(got.filter("slice >= 0").drop("bands", "tags"))
 
 
 def record_texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -327,7 +358,7 @@ def buckets(sets: DataFrame, keys: DataFrame) -> DataFrame:
     by = Window.partitionBy("id", "slot").orderBy(F.desc("held"), "key")
     members = members.withColumn("nth", F.row_number().over(by))
     spare = F.col("slot").bitwiseAND(F.lit((1 << 32) - 1))
-    band = F.shiftright("slot", 32).alias("band")
+    band = F.shiftright("slot", 32).cast("int").alias("band")
     members = members.filter(F.col("nth") > spare).select("key", "id", band).distinct()
     members = staged(members.join(again, "id", "left_anti"), "jaccard-members")
     _release(sets.sparkSession)
@@ -340,50 +371,32 @@ def buckets(sets: DataFrame, keys: DataFrame) -> DataFrame:
     member = staged(members.join(alike, "key").withColumnRenamed("key", "bucket"), "jaccard-member")
     own = member.groupBy("id").agg(F.collect_set("bucket").alias("own"))
     met = member.select("id", "band").distinct()
-    return staged(member.join(tags(keys, met), ["id", "band"]).join(own, "id"), "jaccard-buckets")
+    return staged(member.join(tags(sets, met), ["id", "band"]).join(own, "id"), "jaccard-buckets")
 
 
-def tags(keys: DataFrame, met: DataFrame) -> DataFrame:
-    """(id, band, tags, size): a byte of each key of a record in a band, by slice and segment.
-
-    Segments with different tags differ, each by a shingle at least. Bands with deletions have no
-    tags, as their keys are no segments. ``size`` is the record's set size. Only the records and
-    bands of ``met`` are tagged; a byte of each key is shuffled instead of keys and slots.
-    """
-    slot = F.explode(F.array_distinct("slots")).alias("slot")
-    size = F.col("n_shingles").alias("size")
-    x = keys.select("id", "slice", "keys", "slots", size, slot)
-    x = x.withColumn("spare", F.col("slot").bitwiseAND(F.lit((1 << 32) - 1)))
-    mine = F.filter(F.arrays_zip("keys", "slots"), lambda k: k["slots"] == F.col("slot"))
-    byte = F.transform(mine, lambda k: (k["keys"].bitwiseAND(F.lit(127))).cast("byte"))
-    x = x.select(
-        "id",
-        F.shiftright("slot", 32).alias("band"),
-        "size",
-        F.struct("slice", F.when(F.col("spare") > 0, byte).alias("tags")).alias("cut"),
-    )
-    x = x.join(met, ["id", "band"]).groupBy("id", "band", "size").agg(F.collect_set("cut").alias("cuts"))
-    cuts = F.array_sort("cuts")
-    tagged = F.exists(cuts, lambda c: c["tags"].isNotNull())
-    return x.select(
-        "id", "band", F.when(tagged, F.transform(cuts, lambda c: c["tags"])).alias("tags"), "size"
+def tags(sets: DataFrame, met: DataFrame) -> DataFrame:
+    """(id, band, tags, size) of the records and bands of ``met``. ``size`` is the record's set size."""
+    x = sets.filter("own").select(
+        "id", F.explode(F.arrays_zip("bands", "tags")).alias("x"), F.col("n_shingles").alias("size")
     )
+    x = x.select("id", F.col("x.bands").alias("band"), F.col("x.tags").alias("tags"), "size")
+    return x.join(met, ["id", "band"])
 
 
 def may_link(percent: int) -> Column:
-    """Whether sizes and tags of hub and member allow a link and this is their first common bucket.
+    """Whether sizes and tags of hub and member allow a link.
 
     The bound on different tags comes from the two sizes, so it holds in whichever band they meet.
     """
     alike = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
     most = F.floor((F.col("size") + F.col("hub_size")) * (100 - percent) / (100 + percent))
-    per_slice = F.zip_with(
-        "hub_tags", "tags", lambda a, b: F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d))
-    )
-    differ = F.aggregate(per_slice, F.lit(0), lambda n, d: n + F.coalesce(d, F.lit(0)))
-    first = F.array_min(F.array_intersect("hub_own", "own")) == F.col("bucket")
-    untagged = F.col("tags").isNull() | F.col("hub_tags").isNull()
-    return alike & first & (untagged | (differ <= most))
+    differ = F.size(F.filter(F.zip_with("hub_tags", "tags", lambda a, b: a != b), lambda d: d))
+    return alike & (differ <= most)
+
+
+def first_common() -> Column:
+    """Whether this is the first bucket that hub and member have in common."""
+    return F.array_min(F.array_intersect("hub_own", "own")) == F.col("bucket")
 
 
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -447,8 +460,22 @@ def components(links: DataFrame) -> DataFrame:
 
 def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, comp) of the records that link with another, from the buckets and their tags."""
-    active = member.withColumn("comp", F.col("id"))
-    links, comp, hubs_wanted = None, member.select("id", F.col("id").alias("comp")).limit(0), 1
+    # To begin with, each record is compared with one other, the smallest that leads a bucket of it.
+    # A group of near copies so becomes one component before its buckets are searched in pairs.
+    lead = member.groupBy("bucket").agg(F.min(F.struct("id", "tags", "size")).alias("hub"))
+    lead = lead.select(
+        F.col("bucket").alias("hub_bucket"),
+        F.col("hub.id").alias("hub"),
+        F.col("hub.tags").alias("hub_tags"),
+        F.col("hub.size").alias("hub_size"),
+    )
+    fit = (F.col("bucket") == F.col("hub_bucket")) & (F.col("hub") < F.col("id"))
+    pairs = member.join(lead, fit & may_link(percent)).groupBy("id").agg(F.min("hub").alias("a"))
+    links = linked_pairs(pairs.select("a", F.col("id").alias("b")), texts, k, percent)
+    links = staged(links, "jaccard-links")
+    comp = components(links)
+    active = member.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    hubs_wanted = 1
     while True:
         mixed = active.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
         mixed = mixed.filter("x < y").select("bucket")
@@ -469,7 +496,7 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         # A pair is compared in the first of its common buckets, as soon as one is a hub there.
         members = active.withColumnRenamed("bucket", "hub_bucket")
         fit = (F.col("bucket") == F.col("hub_bucket")) & (F.col("comp") != F.col("hub_comp"))
-        pairs = hubs.join(members, fit & may_link(percent))
+        pairs = hubs.join(members, fit & may_link(percent) & first_common())
         pairs = pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
         pairs = staged(pairs.distinct(), "jaccard-pairs")
         if pairs.isEmpty():
@@ -478,7 +505,7 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         else:
             found = staged(linked_pairs(pairs, texts, k, percent), "jaccard-links")
             if not found.isEmpty():
-                links = found if links is None else links.union(found)
+                links = links.union(found)
                 comp = components(links)
         rest = active.join(
             hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti"
