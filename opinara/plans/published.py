@@ -139,3 +139,16 @@ def remove_games(store: Store, games: DataFrame) -> DataFrame:
     kept = store.stage(merge.delete_keys(config, games.select("game")), "games_config")[0]
     store.commit(base, replace={"games_config": [kept]})
     return report
+
+
+def run_counts(store: Store) -> DataFrame:
+    """(run_id, game, language, written) of every committed run, read from the newest manifest."""
+    runs = store.manifest("runs array<struct<run_id: string, written: array<array<string>>>>")
+    run = runs.select(F.explode("runs").alias("run"))
+    each = run.select("run.run_id", F.explode("run.written").alias("w"))
+    return each.select(
+        "run_id",
+        F.col("w")[0].alias("game"),
+        F.col("w")[1].alias("language"),
+        F.col("w")[2].cast("long").alias("written"),
+    )

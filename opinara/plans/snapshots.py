@@ -101,6 +101,14 @@ class Store:
         found = self._load(f"{MANIFESTS}/v{version:012d}.json")
         return Snapshot(version, found["tables"], found["runs"])
 
+    def manifest(self, schema: str) -> DataFrame:
+        """The newest manifest as a row of ``schema``; no row before the first commit."""
+        version = max(self.versions(), default=0)
+        if not version:
+            return self.spark.createDataFrame([], schema)
+        reader = self.spark.read.schema(schema).option("multiLine", True)
+        return reader.json(f"{self.root}/{MANIFESTS}/v{version:012d}.json")
+
     def commit(
         self,
         base: Snapshot,

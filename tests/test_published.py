@@ -252,3 +252,12 @@ def test_catalog_tables_are_partitioned_by_month(spark, schema):
     assert "PartitionFilters: [isnotnull(at_month" in plan
     tables.create_tables(spark, schema + "_plain", by_month=False)
     assert AT_MONTH not in spark.table(tables.name(schema + "_plain", "reviews_raw")).columns
+
+
+def test_run_counts_come_from_the_manifest(spark, store):
+    assert published.run_counts(store).collect() == []
+    run(store, "r1", *FIRST)
+    run(store, "r2", ("com.b", "en", 0, 0, "b7", 7))
+    assert rows(published.run_counts(store)) == [
+        ("r1", "Beta", "en", 1), ("r1", "O'Neil\\x", "en", 2), ("r1", "O'Neil\\x", "pt", 1), ("r2", "Beta", "en", 1),
+    ]

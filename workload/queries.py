@@ -168,12 +168,7 @@ def ingest_runs(spark, sf):
 @query
 def ingest_run_counts(spark, sf):
     """Rows written per run and target, as the writes themselves counted them."""
-    counts = [
-        (run["run_id"], *written)
-        for run in _published(spark, sf).snapshot().runs
-        for written in run["written"]
-    ]
-    return spark.createDataFrame(counts, "run_id string, game string, language string, written long")
+    return published.run_counts(_published(spark, sf))
 
 
 @query
