@@ -49,7 +49,9 @@ from opinara.session import shared_dir, staged
 
 _U = np.uint64
 SPARE = 0.25  # keys that a record may leave out, for each segment in which linked records may differ
-CELLS = 4  # tags of a record in a band, for each segment in which linked records may differ
+CELLS = 3  # tags of a record in a band, for each segment in which linked records may differ
+TAG_BITS = 4
+PER_LONG = 64 // TAG_BITS  # tags packed in a number, so that records of a bucket are cheap to deal out
 SLICES = 8  # parts of the key space that are shuffled one after another
 MORE_HUBS = 64  # times as many hubs of a bucket in each further round
 
@@ -179,15 +181,17 @@ def signatures(row: np.ndarray, shingle: np.ndarray, n: np.ndarray, bands: Bands
 
 
 def cell_tags(row: np.ndarray, shingle: np.ndarray, n: np.ndarray, bands: Bands):
-    """Tags of each row's set in each of its bands as (row, band, cells, tag) arrays.
+    """Tags of each row's set in each of its bands as (row, band, numbers, packed) arrays.
 
-    A band's universe is cut into ``CELLS`` times its budget; a tag is seven bits of the sum of a
-    cell's shingles, so cells with different tags differ, each by a shingle at least.
+    A band's universe is cut into at least ``CELLS`` times its budget; a tag is ``TAG_BITS`` bits of the
+    sum of a cell's shingles, so cells with different tags differ, each by a shingle at least.
+    ``numbers`` says how many packed numbers an entry has.
     """
     idx, band, _ = bands.entries(n)
     order = np.argsort(idx, kind="stable")
     idx, band = idx[order], band[order]
-    cells = CELLS * bands.budget[band]
+    numbers = -(-CELLS * bands.budget[band] // PER_LONG)
+    cells = PER_LONG * numbers
     base = np.cumsum(cells) - cells
     begin, count = np.searchsorted(row, np.arange(len(n))), n[idx]
     entry = np.repeat(np.arange(len(idx)), count)
@@ -196,12 +200,14 @@ def cell_tags(row: np.ndarray, shingle: np.ndarray, n: np.ndarray, bands: Bands)
     place = tv.mix(x + band[entry].astype(_U) * _U(0x9E3779B1), 37) % cells[entry].astype(_U)
     total = np.zeros(int(cells.sum()), _U)
     np.add.at(total, base[entry] + place.astype(np.int64), tv.mix(x, 41))
-    return idx, band, cells, (tv.mix(total, 43) & _U(127)).astype(np.int8)
+    tag = (tv.mix(total, 43) & _U((1 << TAG_BITS) - 1)).reshape(-1, PER_LONG)
+    packed = np.bitwise_or.reduce(tag << (_U(TAG_BITS) * np.arange(PER_LONG, dtype=_U)), axis=1)
+    return idx, band, numbers, packed
 
 
 SET_SCHEMA = (
     "slice int, doc_id long, n_shingles long, f1 long, f2 long, number long, own boolean, "
-    "keys array<long>, slots array<long>, bands array<int>, tags array<array<byte>>"
+    "keys array<long>, slots array<long>, bands array<int>, tags array<array<long>>"
 )
 
 
@@ -247,9 +253,9 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[p
             doc_id = part.column(0).cast(pa.int64())
             about = [doc_id, *(pa.array(x) for x in (n, tv.signed(f1), tv.signed(f2), tv.signed(number), own))]
             empty = pa.array([None] * rows, pa.list_(pa.int64()))
-            who, band, cells, tag = cell_tags(row[held], h[held], np.where(own, n, 0), bands)
-            ends = pa.array(np.concatenate([[0], np.cumsum(cells)]), pa.int32())
-            tags = pa.ListArray.from_arrays(ends, pa.array(tag))
+            who, band, numbers, tag = cell_tags(row[held], h[held], np.where(own, n, 0), bands)
+            ends = pa.array(np.concatenate([[0], np.cumsum(numbers)]), pa.int32())
+            tags = pa.ListArray.from_arrays(ends, pa.array(tv.signed(tag)))
             of_row = pa.array(np.searchsorted(who, np.arange(rows + 1)), pa.int32())
             about_bands = [
                 pa.ListArray.from_arrays(of_row, pa.array(band.astype(np.int32))),
@@ -390,10 +396,23 @@ def may_link(percent: int) -> Column:
     """
     alike = 100 * F.least("size", "hub_size") >= percent * F.greatest("size", "hub_size")
     most = F.floor((F.col("size") + F.col("hub_size")) * (100 - percent) / (100 + percent))
-    differ = F.size(F.filter(F.zip_with("hub_tags", "tags", lambda a, b: a != b), lambda d: d))
+    differ = F.aggregate(
+        F.zip_with("hub_tags", "tags", unequal_tags), F.lit(0), lambda total, count: total + count
+    )
     return alike & (differ <= most)
 
 
+def unequal_tags(a: Column, b: Column) -> Column:
+    """How many of the tags packed in two numbers differ."""
+    x = a.bitwiseXOR(b)
+    step = 1
+    while step < TAG_BITS:  # the lowest bit of each tag gathers the others
+        x = x.bitwiseOR(F.shiftright(x, step))
+        step *= 2
+    lowest = sum(1 << (TAG_BITS * i) for i in range(PER_LONG))
+    return F.bit_count(x.bitwiseAND(F.lit(lowest)))
+
+
 def first_common() -> Column:
     """Whether this is the first bucket that hub and member have in common."""
     return F.array_min(F.array_intersect("hub_own", "own")) == F.col("bucket")
@@ -474,12 +493,14 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     links = linked_pairs(pairs.select("a", F.col("id").alias("b")), texts, k, percent)
     links = staged(links, "jaccard-links")
     comp = components(links)
+    del lead, pairs
     active = member.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     hubs_wanted = 1
     while True:
         mixed = active.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
         mixed = mixed.filter("x < y").select("bucket")
         active = staged(active.join(mixed, "bucket"), "jaccard-active")
+        _release(active.sparkSession)
         cell = F.pmod(F.xxhash64("id", F.lit(hubs_wanted)), F.lit(hubs_wanted))
         hubs = active.groupBy("bucket", cell.alias("cell")).agg(
             F.min(F.struct("id", "comp", "tags", "size", "own")).alias("hub")
@@ -499,6 +520,7 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         pairs = hubs.join(members, fit & may_link(percent) & first_common())
         pairs = pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
         pairs = staged(pairs.distinct(), "jaccard-pairs")
+        _release(active.sparkSession)
         if pairs.isEmpty():
             if active.isEmpty():
                 return comp

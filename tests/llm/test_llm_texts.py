@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from opinara.llm import (
@@ -149,6 +150,39 @@ def test_every_linked_pair_shares_a_key():
                 )
 
 
+def test_tags_never_differ_more_than_the_sets(spark):
+    """Unequal packed tags against the symmetric difference, for near and for unrelated sets."""
+    rng = np.random.default_rng(5)
+    bands = jaccard_join.Bands(80, 1000)
+    near, pairs = [], []
+    for _ in range(30):
+        a = np.unique(rng.integers(1, 1 << 62, rng.integers(40, 400)).astype(np.uint64))
+        kept = a[rng.random(len(a)) < rng.choice([0.5, 0.9, 0.98, 1.0])]
+        new = rng.integers(1, 1 << 62, rng.integers(0, 9)).astype(np.uint64)
+        near.append((a, np.unique(np.concatenate([kept, new]))))
+    for x, y in near:
+        row = np.repeat([0, 1], [len(x), len(y)])
+        idx, band, numbers, packed = jaccard_join.cell_tags(
+            row, np.concatenate([x, y]), np.array([len(x), len(y)]), bands
+        )
+        ends = np.cumsum(numbers)
+        tags = {(int(i), int(b)): packed[e - m : e] for i, b, m, e in zip(idx, band, numbers, ends)}
+        for b in {b for i, b in tags if i == 0} & {b for i, b in tags if i == 1}:
+            lists = [tags[i, b].view(np.int64).tolist() for i in (0, 1)]
+            # Counted tag by tag, without the packing's arithmetic.
+            plain = sum(
+                (p >> s & 15) != (q >> s & 15)
+                for p, q in zip(tags[0, b].tolist(), tags[1, b].tolist())
+                for s in range(0, 64, 4)
+            )
+            pairs.append((*lists, plain, len(np.setxor1d(x, y))))
+    got = spark.createDataFrame(pairs, "a array<long>, b array<long>, plain int, apart int")
+    each = F.aggregate(F.zip_with("a", "b", jaccard_join.unequal_tags), F.lit(0), lambda t, c: t + c)
+    rows = got.select(each.alias("n"), "plain", "apart").collect()
+    assert len(rows) > 20 and all(r.n == r.plain <= r.apart for r in rows)
+    assert any(r.n > 0.8 * r.apart > 5 for r in rows)
+
+
 def test_join_of_odd_and_empty_inputs(spark, odd):
     got = jaccard_join.jaccard_components(odd).collect()
     assert len(got) == odd.count()
