@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def local_session(app: str = "opinara", cores: str = "8", **conf: str) -> SparkSession:
@@ -58,4 +60,23 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of staged tables that no later plan reads, whatever executors are lost.
+
+    A frame that `staged` did not return is left alone.
+    """
+    for table in tables:
+        path = _folders.pop(table, None)
+        if path:
+            delete_folder(table.sparkSession, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared work folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
