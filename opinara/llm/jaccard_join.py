@@ -17,7 +17,8 @@ result.
   rarer ones, and keys that no other record holds drop out before a comparison.
 
 Keys are written in ``SLICES`` by segment, and one slice after another is searched for keys that two
-records hold, so the shuffles of one slice alone are on disk at a time.
+records hold and then deleted, so the shuffles of one slice alone are on disk at a time. Other staged tables go
+as soon as the table made from them is staged.
 
 Records of a shared key are a bucket. Buckets are not expanded into pairs. Rounds of verification
 compare hubs with the members that are still in another component and whose segments' tags allow a
@@ -38,6 +39,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara.llm import textvec as tv
-from opinara.session import shared_dir, staged
+from opinara.session import delete_folder, discard, shared_dir, staged
 
 _U = np.uint64
 SPARE = 0.25  # keys that a record may leave out, for each segment in which linked records may differ
@@ -275,10 +277,12 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[p
                 )
 
 
-def document_sets(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
+def document_sets(
+    docs: DataFrame, k: int = 3, percent: int = 90
+) -> tuple[DataFrame, DataFrame, str]:
     """All sets (id, doc_id, n_shingles, f1, f2, own) and their keys (slice, id, ..., keys, slots).
 
-    Staged in one pass over the texts. ``id`` numbers the record.
+    Staged in one pass over the texts, in the folder that is returned with them. ``id`` numbers the record.
     """
     bands = Bands(percent, docs.count())
     got = docs.select("doc_id", "text").mapInArrow(lambda it: _sets(it, k, bands), SET_SCHEMA)
@@ -298,7 +302,7 @@ def document_sets(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[DataF
         rows = rows.join(marked, "doc_id", "left")
         return rows.withColumn("id", F.when(by_set, F.col("number")).otherwise(F.col("doc_id")))
 
-    return numbered(sets), numbered(got.filter("slice >= 0").drop("bands", "tags"))
+    return numbered(sets), numbered(got.filter("slice >= 0").drop("bands", "tags")), path
 
 
 def record_texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -326,13 +330,13 @@ def _release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
+def shared_keys(keys: DataFrame, path: str) -> list[DataFrame]:
     """(id, key, slot, held) of the keys that several rows hold, slice by slice, each staged.
 
-    Keys are counted by partial aggregation, so a key that a third of all records hold sends one
+    A slice of all keys is deleted from ``path`` once its shared ones are known. Keys are counted by partial aggregation, so a key that a third of all records hold sends one
     row per task.
     """
-    out = None
+    out = []
     for i in range(SLICES):
         part = keys.filter(F.col("slice") == i)
         held = part.select(F.explode("keys").alias("key")).groupBy("key")
@@ -340,14 +344,14 @@ def shared_keys(keys: DataFrame) -> DataFrame:
         both = F.explode(F.arrays_zip("keys", "slots")).alias("x")
         slotted = part.select("id", both)
         slotted = slotted.select("id", F.col("x.keys").alias("key"), F.col("x.slots").alias("slot"))
-        found = staged(slotted.join(held, "key"), "jaccard-shared")
-        out = found if out is None else out.union(found)
+        out.append(staged(slotted.join(held, "key"), "jaccard-shared"))
+        delete_folder(keys.sparkSession, f"{path}/slice={i}")
         del part, held, slotted
         _release(keys.sparkSession)
     return out
 
 
-def buckets(sets: DataFrame, keys: DataFrame) -> DataFrame:
+def buckets(sets: DataFrame, keys: DataFrame, path: str) -> DataFrame:
     """(bucket, id, band, tags, size, own) of records that share a key; staged.
 
     There is one bucket for equal member lists. Copies of a set in several tasks are counted with it,
@@ -359,7 +363,8 @@ def buckets(sets: DataFrame, keys: DataFrame) -> DataFrame:
     first = keyed.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("times"))
     again = first.filter("times > 1").join(keyed.select(*same, "id"), same)
     again = staged(again.filter("id <> first").select("id"), "jaccard-again")
-    members = shared_keys(keys)
+    shared = shared_keys(keys, path)
+    members = reduce(DataFrame.union, shared)
     # Of the shared keys of a record and band all but the ``spare`` most frequent are kept.
     by = Window.partitionBy("id", "slot").orderBy(F.desc("held"), "key")
     members = members.withColumn("nth", F.row_number().over(by))
@@ -367,6 +372,7 @@ def buckets(sets: DataFrame, keys: DataFrame) -> DataFrame:
     band = F.shiftright("slot", 32).cast("int").alias("band")
     members = members.filter(F.col("nth") > spare).select("key", "id", band).distinct()
     members = staged(members.join(again, "id", "left_anti"), "jaccard-members")
+    discard(again, *shared)
     _release(sets.sparkSession)
     alike = members.groupBy("key").agg(
         F.count("*").alias("n"),
@@ -375,9 +381,12 @@ def buckets(sets: DataFrame, keys: DataFrame) -> DataFrame:
     )
     alike = alike.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     member = staged(members.join(alike, "key").withColumnRenamed("key", "bucket"), "jaccard-member")
+    discard(members)
     own = member.groupBy("id").agg(F.collect_set("bucket").alias("own"))
     met = member.select("id", "band").distinct()
-    return staged(member.join(tags(sets, met), ["id", "band"]).join(own, "id"), "jaccard-buckets")
+    out = staged(member.join(tags(sets, met), ["id", "band"]).join(own, "id"), "jaccard-buckets")
+    discard(member)
+    return out
 
 
 def tags(sets: DataFrame, met: DataFrame) -> DataFrame:
@@ -467,7 +476,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = staged(small, "components")
+        done, edges = edges, staged(small, "components")
+        discard(done)
         sums = edges.agg(
             F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("u")
         ).first()
@@ -478,7 +488,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, comp) of the records that link with another, from the buckets and their tags."""
+    """(id, comp) of the records that link with another, from the buckets and their tags.
+
+    The staged ``member`` is deleted as soon as the first round has its own copy of what is left.
+    """
     # To begin with, each record is compared with one other, the smallest that leads a bucket of it.
     # A group of near copies so becomes one component before its buckets are searched in pairs.
     lead = member.groupBy("bucket").agg(F.min(F.struct("id", "tags", "size")).alias("hub"))
@@ -495,11 +508,12 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     comp = components(links)
     del lead, pairs
     active = member.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    hubs_wanted = 1
+    hubs_wanted, done = 1, [member]
     while True:
         mixed = active.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
         mixed = mixed.filter("x < y").select("bucket")
         active = staged(active.join(mixed, "bucket"), "jaccard-active")
+        discard(*done)
         _release(active.sparkSession)
         cell = F.pmod(F.xxhash64("id", F.lit(hubs_wanted)), F.lit(hubs_wanted))
         hubs = active.groupBy("bucket", cell.alias("cell")).agg(
@@ -529,6 +543,8 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
             if not found.isEmpty():
                 links = links.union(found)
                 comp = components(links)
+        discard(pairs)
+        done = [active, hubs]
         rest = active.join(
             hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti"
         )
@@ -542,10 +558,12 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; see the module."""
-    sets, keys = document_sets(docs, k, percent)
-    member = buckets(sets, keys)
+    sets, keys, path = document_sets(docs, k, percent)
+    member = buckets(sets, keys, path)
     wanted = staged(member.select("id").distinct(), "jaccard-wanted")
-    comp = merged(member, record_texts(docs, sets, wanted, k), k, percent)
+    texts = record_texts(docs, sets, wanted, k)
+    comp = merged(member, texts, k, percent)
+    discard(wanted, texts)
     # Copies of a set: one node per set, then sets of one component share its smallest doc_id.
     same = ["f1", "f2", "n_shingles"]
     held = sets.filter("n_shingles > 0")
