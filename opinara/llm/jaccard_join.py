@@ -333,8 +333,8 @@ def _release(spark: SparkSession) -> None:
 def shared_keys(keys: DataFrame, path: str) -> list[DataFrame]:
     """(id, key, slot, held) of the keys that several rows hold, slice by slice, each staged.
 
-    A slice of all keys is deleted from ``path`` once its shared ones are known. Keys are counted by partial aggregation, so a key that a third of all records hold sends one
-    row per task.
+    A slice of all keys is deleted from ``path`` once its shared ones are known. Keys are counted by
+    partial aggregation, so a key that a third of all records hold sends one row per task.
     """
     out = []
     for i in range(SLICES):
@@ -352,7 +352,7 @@ def shared_keys(keys: DataFrame, path: str) -> list[DataFrame]:
 
 
 def buckets(sets: DataFrame, keys: DataFrame, path: str) -> DataFrame:
-    """(bucket, id, band, tags, size, own) of records that share a key; staged.
+    """(bucket, id, band, tags, size) of records that share a key; staged.
 
     There is one bucket for equal member lists. Copies of a set in several tasks are counted with it,
     which changes no more than the order of keys by frequency, and go as soon as the members are
@@ -382,9 +382,8 @@ def buckets(sets: DataFrame, keys: DataFrame, path: str) -> DataFrame:
     alike = alike.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     member = staged(members.join(alike, "key").withColumnRenamed("key", "bucket"), "jaccard-member")
     discard(members)
-    own = member.groupBy("id").agg(F.collect_set("bucket").alias("own"))
     met = member.select("id", "band").distinct()
-    out = staged(member.join(tags(sets, met), ["id", "band"]).join(own, "id"), "jaccard-buckets")
+    out = staged(member.join(tags(sets, met), ["id", "band"]), "jaccard-buckets")
     discard(member)
     return out
 
@@ -422,11 +421,6 @@ def unequal_tags(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(lowest)))
 
 
-def first_common() -> Column:
-    """Whether this is the first bucket that hub and member have in common."""
-    return F.array_min(F.array_intersect("hub_own", "own")) == F.col("bucket")
-
-
 def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Keep the pairs whose shingle sets reach the threshold, counted exactly."""
     for whole in batches:
@@ -508,7 +502,7 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     comp = components(links)
     del lead, pairs
     active = member.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    hubs_wanted, done = 1, [member]
+    hubs_wanted, done, compared = 1, [member], []
     while True:
         mixed = active.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
         mixed = mixed.filter("x < y").select("bucket")
@@ -517,7 +511,7 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         _release(active.sparkSession)
         cell = F.pmod(F.xxhash64("id", F.lit(hubs_wanted)), F.lit(hubs_wanted))
         hubs = active.groupBy("bucket", cell.alias("cell")).agg(
-            F.min(F.struct("id", "comp", "tags", "size", "own")).alias("hub")
+            F.min(F.struct("id", "comp", "tags", "size")).alias("hub")
         )
         hubs = hubs.select(
             "bucket",
@@ -525,25 +519,28 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
             F.col("hub.comp").alias("hub_comp"),
             F.col("hub.tags").alias("hub_tags"),
             F.col("hub.size").alias("hub_size"),
-            F.col("hub.own").alias("hub_own"),
         )
         hubs = staged(hubs, "jaccard-hubs")
-        # A pair is compared in the first of its common buckets, as soon as one is a hub there.
+        # A pair is compared once, in the first round in which one is a hub of a common bucket.
         members = active.withColumnRenamed("bucket", "hub_bucket")
         fit = (F.col("bucket") == F.col("hub_bucket")) & (F.col("comp") != F.col("hub_comp"))
-        pairs = hubs.join(members, fit & may_link(percent) & first_common())
+        pairs = hubs.join(members, fit & may_link(percent))
         pairs = pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
-        pairs = staged(pairs.distinct(), "jaccard-pairs")
+        pairs = pairs.distinct()
+        for earlier in compared:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "jaccard-pairs")
+        compared.append(pairs)
         _release(active.sparkSession)
         if pairs.isEmpty():
             if active.isEmpty():
+                discard(active, hubs, *compared)
                 return comp
         else:
             found = staged(linked_pairs(pairs, texts, k, percent), "jaccard-links")
             if not found.isEmpty():
                 links = links.union(found)
                 comp = components(links)
-        discard(pairs)
         done = [active, hubs]
         rest = active.join(
             hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti"
