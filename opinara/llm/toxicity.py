@@ -1,18 +1,21 @@
 """Toxicity by weak supervision.
 
 Voters: hand-written lexicons by kind of insult; lexicons of words and of word beginnings that the
-labelled rows show in toxic texts, each split into several voters; patterns (shouting, marks of
-anger, insults near "you"). A voter says toxic, clean or nothing. A generative label model with
-class-conditional means (accuracies) and a shared covariance (correlations) is started on the
-labels and refined by expectation-maximisation over the votes of all sampled rows; the label of a
-row is one voter more. The model's posteriors, not the labels, train a logistic classifier on hits
-in each lexicon and on hashed words and word beginnings, which scores every text. A hashed feature
-enters with a size that grows with its evidence, so words that met toxic texts by chance stay weak.
+labelled rows show in toxic texts, split into several voters, and a voter of those with less
+evidence; patterns (shouting, marks of anger, insults near "you"). A voter says toxic or nothing. A
+generative label model with class-conditional rates of every answer (accuracies) and correlations
+inside the classes is started on the labels and refined by expectation-maximisation over the votes
+alone. Labels build the induced lexicons and calibrate the rates; a label is never a vote, and the
+posterior of a row depends on its votes only. The posteriors, not the labels, train a logistic
+classifier on hits in each lexicon and on hashed words and word beginnings, which scores every text.
+A hashed feature enters with a size that grows with its evidence, so words that met toxic texts by
+chance stay weak.
 
 Feature counts are aggregated by Spark; the driver receives at most ``FEATURES`` of them and, per
 sampled row, the votes and the numbers of its features. The sample is bounded by ``LABELLED``
-labelled rows; copies and near copies in it are thinned, so that their rare words count once. Empty and null texts score as a text without any sign.
-Without labelled rows the hand-written lexicons decide.
+labelled rows; copies and near copies in it are thinned, so that their rare words count once. Empty
+and null texts score as a text without any sign; repeated rows are scored one by one. Without
+labelled rows of both classes the hand-written lexicons decide.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ SUPPORT = 3  # texts that must hold a feature
 HEADS = (4, 5, 6)
 SPLITS = 3
 THIN = 3
+ANCHOR = 3.0  # weight of the answers counted by label beside those of a round
 
 # Common insults by kind, lower case.
 LEXICONS = {
@@ -125,13 +129,13 @@ def chosen_features(sample: DataFrame, positive: int, negative: int) -> list:
     return table.orderBy(F.abs("z").desc(), "feature").limit(FEATURES).collect()
 
 
-def lexicons(induced: list[int]) -> list[np.ndarray]:
-    """Hashes of the hand-written lexicons, then of the induced one in ``SPLITS`` parts."""
+def lexicons(strong: list[int], weak: list[int]) -> list[np.ndarray]:
+    """Hashes of the hand-written lexicons, of the strong induced words in ``SPLITS`` parts, of the weak."""
     groups: list[list[int]] = [[] for _ in range(SPLITS)]
-    for value in induced:
+    for value in strong:
         groups[value % SPLITS].append(value)
     hand = [_hashes(words) for words in LEXICONS.values()]
-    return hand + [np.unique(np.array(g, np.uint64)) for g in groups]
+    return hand + [np.unique(np.array(g, np.uint64)) for g in [*groups, weak]]
 
 
 class Voters:
@@ -143,7 +147,7 @@ class Voters:
         self.you = _hashes(YOU)
 
     def votes(self, column: pa.Array) -> np.ndarray:
-        """Rows x voters: 1 toxic, -1 clean, 0 nothing to say."""
+        """Rows x voters: 1 toxic, 0 nothing to say. The label model also takes -1, clean."""
         row, value, w = features(column)
         rows = len(column)
         hits = np.zeros((rows, len(self.lists)), np.int64)
@@ -163,45 +167,59 @@ class Voters:
             letters = sum(map(str.isalpha, t))
             shout.append(sum(map(str.isupper, t)) > 0.6 * letters > 30)
             angry.append(len(re.findall(r"!{2,}|[?!]{3,}", t)) > 3)
-        votes = [np.where(hits > 0, 1, 0), np.where(hits.sum(1, keepdims=True) > 3, 1, 0)]
-        votes.append(np.where(hits.sum(1, keepdims=True) == 0, -1, 0))
+        votes = [np.where(hits > 0, 1, 0)]
+        total = hits[:, :-1].sum(1, keepdims=True)  # without the words of less evidence
+        votes.append(np.where(total > 3, 1, 0))
         votes.append(np.array([shout, angry, near > 0], float).T.reshape(rows, 3))
         return np.concatenate(votes, axis=1).astype(float)
 
 
 @dataclass
 class LabelModel:
-    """Two classes with means and one covariance of the votes."""
+    """Two classes, each with its own rates of every voter's answers; correlated voters share weight.
+
+    ``rates[c, j, v + 1]``: share of class ``c`` on which voter ``j`` answers ``v``. ``share[j]`` is 1
+    over the sum of the squared correlations of ``j`` with all voters inside the classes: 1 for a
+    voter apart from the others, a half for each of two voters that always answer alike.
+    """
 
     prior: float
-    means: np.ndarray
-    precision: np.ndarray
+    rates: np.ndarray
+    share: np.ndarray
 
     @classmethod
     def fit(cls, votes: np.ndarray, label: np.ndarray, rounds: int = 10) -> LabelModel:
-        """Start on the labels, then expectation-maximisation over the votes alone."""
+        """Start on the labels, then expectation-maximisation over the votes alone.
+
+        The answers counted by label stay as a prior of each round's rates, so that the classes keep
+        their meaning; no row's posterior sees its own label.
+        """
         r = np.clip(label.astype(float), 0.02, 0.98)
+        answers = np.stack([votes < 0, votes == 0, votes > 0], 2).astype(float)
+        known = np.einsum("ci,ijv->cjv", np.stack([label == 0, label == 1]).astype(float), answers)
         for _ in range(rounds + 1):
-            prior = float(np.clip(r.mean(), 1e-3, 1 - 1e-3))
             weight = np.stack([1 - r, r])
-            means = (weight @ votes) / np.maximum(weight.sum(1, keepdims=True), 1e-9)
-            spread = sum(
-                ((votes - m) * w[:, None]).T @ (votes - m) for m, w in zip(means, weight, strict=True)
-            )
-            cov = spread / max(len(votes), 1) + 0.02 * np.eye(votes.shape[1])
-            model = cls(prior, means, np.linalg.inv(cov))
+            n = weight.sum(1)
+            counts = np.einsum("ci,ijv->cjv", weight, answers) + ANCHOR * known + 0.1
+            rates = counts / counts.sum(2, keepdims=True)
+            off = [votes - (x[:, 2] - x[:, 0]) for x in rates]
+            cov = sum((o * w[:, None]).T @ o for o, w in zip(off, weight, strict=True)) / max(n.sum(), 1)
+            size = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+            share = 1 / np.maximum(((cov / np.outer(size, size)) ** 2).sum(1), 1)
+            model = cls(float(np.clip(r.mean(), 1e-3, 1 - 1e-3)), rates, share)
             r = model.posterior(votes)
         return model
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability of toxic; correlated voters share their weight."""
-        w = self.precision @ (self.means[1] - self.means[0])
-        bias = np.log(self.prior / (1 - self.prior)) - 0.5 * (self.means.sum(0) @ w)
-        return 1 / (1 + np.exp(-np.clip(votes @ w + bias, -30, 30)))
+        """Probability of toxic, from the votes alone."""
+        gain = np.log(self.rates[1] / self.rates[0]) * self.share[:, None]
+        z = gain[np.arange(votes.shape[1]), votes.astype(int) + 1].sum(1)
+        return 1 / (1 + np.exp(-np.clip(z + np.log(self.prior / (1 - self.prior)), -30, 30)))
 
     def accuracies(self) -> np.ndarray:
         """How much more each voter says toxic in toxic texts than in clean ones."""
-        return self.means[1] - self.means[0]
+        mean = self.rates[:, :, 2] - self.rates[:, :, 0]
+        return mean[1] - mean[0]
 
 
 def train_linear(rows, columns, scale, n, target, decay=2e-4, rounds=400, rate=0.1):
@@ -278,12 +296,14 @@ def fit(sample: DataFrame) -> tuple[Classifier, LabelModel | None]:
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)
     if not positive or not negative:
-        lists = lexicons([])
+        lists = lexicons([], [])
         return Classifier(np.zeros(0, np.uint64), lists, np.full(len(lists), 4.0), -2.0), None
     found = chosen_features(sample, positive, negative)
     found.sort(key=lambda r: r.feature % (1 << 64))
     keys = np.array([r.feature for r in found], np.int64).view(np.uint64)
-    lists = lexicons([r.feature % (1 << 64) for r in found if r.z > 3.5 and r.t >= 0.9 * r.n])
+    strong = [r.feature % (1 << 64) for r in found if r.z > 3.5 and r.t >= 0.9 * r.n]
+    weak = [r.feature % (1 << 64) for r in found if 2 < r.z <= 3.5 and r.t >= 0.75 * r.n]
+    lists = lexicons(strong, weak)
     voters = Voters(lists)
     empty = Classifier(keys, lists, np.zeros(len(keys) + len(lists)), 0.0)
     size_of = np.minimum(1.0, np.abs(np.array([r.z for r in found])) / 10) ** 2
@@ -292,9 +312,8 @@ def fit(sample: DataFrame) -> tuple[Classifier, LabelModel | None]:
         lambda it: _described(it, voters, empty),
         "label int, votes array<double>, present array<int>",
     ).collect()
-    label = np.array([r.label for r in rows])
-    votes = np.column_stack([np.array([r.votes for r in rows]), 2 * label - 1])
-    model = LabelModel.fit(votes, label)
+    votes = np.array([r.votes for r in rows])
+    model = LabelModel.fit(votes, np.array([r.label for r in rows]))
     target = model.posterior(votes)
     size = np.array([len(r.present) for r in rows])
     columns = np.fromiter((c for r in rows for c in r.present), np.int64, int(size.sum()))

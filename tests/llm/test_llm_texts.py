@@ -320,13 +320,88 @@ def test_classifiers_on_odd_inputs(spark, docs, odd, module):
     assert module.classify(odd.limit(0), labels).count() == 0
 
 
-def test_label_model_finds_accuracies():
+def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(0)
     y = (rng.random(4000) < 0.2).astype(int)
     votes = np.stack([np.where(rng.random(4000) < p, 2 * y - 1, 0) for p in (0.9, 0.5, 0.05)], 1)
     model = toxicity.LabelModel.fit(votes, y)
     strong, middle, weak = model.accuracies()
     assert strong > middle > weak and ((model.posterior(votes) > 0.5) == y).mean() > 0.93
+    measured = votes[y == 1].mean(0) - votes[y == 0].mean(0)
+    assert np.abs(model.accuracies() - measured).max() < 0.05
+    # A voter counted twice shares its weight: the posteriors hardly move.
+    twice = np.column_stack([votes, votes[:, 1]])
+    double = toxicity.LabelModel.fit(twice, y)
+    assert np.allclose(double.share, [1, 0.5, 1, 0.5], atol=0.05)
+    assert np.abs(double.posterior(twice) - model.posterior(votes)).max() < 0.1
+
+
+def test_label_model_overrules_wrong_labels():
+    rng = np.random.default_rng(1)
+    y = (rng.random(3000) < 0.3).astype(int)
+    votes = np.stack([np.where(rng.random(3000) < p, y, 0) for p in (0.9, 0.8, 0.85)], 1).astype(float)
+    noisy = np.where(rng.random(3000) < 0.1, 1 - y, y)
+    target = toxicity.LabelModel.fit(votes, noisy).posterior(votes) > 0.5
+    assert (target != noisy).sum() > 200 and (target == y).mean() > 0.98
+
+
+def test_toxicity_learns_from_posteriors_not_labels(spark, monkeypatch):
+    seen = {}
+    fit, train = toxicity.LabelModel.fit, toxicity.train_linear
+
+    def spy_fit(votes, label, rounds=10):
+        seen["votes"], seen["label"], seen["model"] = votes, label, fit(votes, label, rounds)
+        return seen["model"]
+
+    def spy_train(rows, columns, scale, n, target, **more):
+        seen["target"] = target
+        return train(rows, columns, scale, n, target, **more)
+
+    monkeypatch.setattr(toxicity.LabelModel, "fit", spy_fit)
+    monkeypatch.setattr(toxicity, "train_linear", spy_train)
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    toxicity.classify(docs, labels)
+    votes, y, target = seen["votes"], seen["label"], seen["target"]
+    assert np.array_equal(target, seen["model"].posterior(votes))
+    assert not any(np.array_equal(np.abs(v), y) or np.array_equal((v + 1) / 2, y) for v in votes.T)
+    assert ((target > 0.5) != y).sum() > 0  # some label stays without a sign in the text
+    measured = votes[y == 1].mean(0) - votes[y == 0].mean(0)
+    assert np.abs(seen["model"].accuracies() - measured).max() < 0.1
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """Scores of a fixed model, feature by feature with dictionaries and Python's own words."""
+    rnd = random.Random(8)
+    vocabulary = ["you", "idiot", "STUPID", "stupidly", "moro", "Ärger", "abcd", "abcdef", "xy", "é"]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 6))) for _ in range(60)]
+
+    def known(word):
+        data = word.encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+        whole = int(tv.words(pa.array([data.decode()]), tv.MARKS).hash[0])
+        out = {whole}
+        for k in toxicity.HEADS:
+            if len(data) >= k:
+                head = tv.words(pa.array([word]), tv.MARKS, heads=(k,)).extra[f"head{k}"][0]
+                base = whole if len(data) == k else int(head)
+                out.add(int(tv.mix(np.array([base], np.uint64), 40 + k)[0]))
+        return out
+
+    lists = toxicity.lexicons([], [])
+    keys = np.array(sorted(set().union(*map(known, vocabulary[2:]))), np.uint64)
+    weights = np.random.default_rng(2).normal(size=len(keys) + len(lists))
+    model = toxicity.Classifier(keys, lists, weights, -0.5)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(ODD)]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    got = {r.doc_id: (r.score, r.predicted) for r in got.collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        ws = re.findall(r"[A-Za-z0-9\x80-\U0010FFFF]+", t or "")
+        found = set().union(*map(known, set(ws))) if ws else set()
+        z = -0.5 + sum(w for k, w in zip(keys.tolist(), weights, strict=False) if k in found)
+        z += sum(w for x, w in zip(lists, weights[len(keys) :], strict=True) if found & set(x.tolist()))
+        want = 1 / (1 + np.exp(-z))
+        assert abs(got[i][0] - want) < 1e-9 and got[i][1] == (got[i][0] >= 0.7)
 
 
 # --- decontamination ---------------------------------------------------------------------------
