@@ -1,16 +1,21 @@
 """Main text of web pages by the line-block distribution.
 
 Markup is stripped so that every block element is a line. Page furniture (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments, scripts, styles) leaves ``WINDOW`` lines
-without text, and so does what lies outside the article where a page marks one. The block at a line
-is the text length of the lines in a window that starts there. A surge is a line with text whose
-block reaches the threshold while the one before lay in a dip; a dive is where the block falls to
-nothing. Lines between a surge and the dive that follows are the main text.
-
-Pages that mark an article need one character for a surge, as all that is left there is the
-article; other pages need ``SURGE``. Character references are decoded, white space inside a block
-becomes one space, blocks are joined by a line feed. Null, empty and text-free pages give an empty
-text. Pages cut off in a tag or comment keep what comes before it.
+sidebars, notices, adverts, forms, reader comments, scripts, styles) leaves ``WINDOW`` lines without
+text. The block at a line is the weight of the lines in a window that starts there. A surge is a line
+with text whose block reaches the threshold while the one before lay in a dip; a dive is where the
+block falls to nothing. Lines between a surge and the dive that follows are the main text.
+
+A line weighs its text length, nothing if it is hardly more than links. Where a page marks an article,
+each character in it weighs ``INSIDE``, so that one is a surge, and one outside weighs ``OUTSIDE``. The
+threshold is ``SURGE``, or half of the page's heaviest block where that is less: a short page keeps
+its text. Once blocks have surged in a container, its other lines need one character, so a short
+paragraph after an advert stays.
+
+Character references are decoded, white space inside a block becomes one space, blocks are joined by
+a line feed. Null, empty and text-free pages, and those of links only, give an empty text. Pages cut
+off in a tag or comment keep what comes before it. Repeated rows and null ids are extracted one by
+one; of very long pages the whole is read, one page at a time, in some ten times its size.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from opinara.llm import textvec as tv
 
 WINDOW = 3
 SURGE = 86
+INSIDE, OUTSIDE = SURGE, 0.25  # weight of a character in and outside a marked article
+LINKS = 0.8  # share of a line's text in links from which it weighs nothing
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -54,6 +61,8 @@ EMBEDDED = frozenset("noscript template svg object canvas math".split())
 FURNITURE = frozenset(
     "head nav header footer aside form menu dialog button select textarea fieldset".split()
 )
+# Blocks of running text: their container is the element around them.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption".split())
 CONTENT = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 FURNITURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion "
@@ -65,7 +74,7 @@ FURNITURE_NAMES = frozenset(
 # Parts that may stand beside such a word in one name, as in "site-footer" and "related-posts".
 PLACES = frozenset(
     "site page main top bottom left right global primary secondary bar box wrap wrapper container "
-    "area inner outer link links posts articles stories button buttons".split()
+    "area inner outer link links list items thread posts articles stories button buttons".split()
 )
 HEAD_ONLY = frozenset("title base basefont bgsound link meta style script noscript template noframes object".split())
 # Open elements that a start tag ends, and those that keep it from ending any further out.
@@ -135,6 +144,17 @@ class Tag:
     title: bool = False  # holds h1 or main
     article: bool = False  # holds an article that is not named as furniture
     furniture: bool = False
+    container: int = -1  # the tag whose text the element's own lines belong to
+
+
+@dataclass
+class Line:
+    """A stripped line; ``linked`` of its characters lie in links. Gaps hold no text."""
+
+    text: str = ""
+    linked: int = 0
+    inside: bool = False
+    container: int = -1
 
 
 def tags(page: str) -> list[Tag]:
@@ -181,6 +201,9 @@ def nest(found: list[Tag]) -> None:
             if place >= 0 and place > last(fences):
                 end(place, i)
             if opens(t.name, t.attributes):
+                t.container = i
+                if t.name not in BLOCKS or t.name in RUNNING:
+                    t.container = stack[-1].container if stack else -1
                 t.furniture = is_furniture(t.name, t.attributes)
                 places.setdefault(t.name, []).append(len(stack))
                 stack.append(t)
@@ -196,14 +219,13 @@ def nest(found: list[Tag]) -> None:
     end(0, len(found))
 
 
-def lines(page: str) -> tuple[list[str], bool]:
-    """Stripped lines of a page; whether it marks an article (then only its lines hold text).
+def lines(page: str) -> tuple[list[Line], bool]:
+    """Stripped lines of a page outside furniture; whether it marks an article.
 
     Furniture that holds an h1 or main is no furniture, nor is what holds an article if no article
     stands outside furniture (teasers and comments are often marked as articles).
     """
-    out: list[str] = []
-    inside: list[bool] = []
+    out: list[Line] = []
     text: list[str] = []
     found = tags(page)
     nest(found)
@@ -214,24 +236,33 @@ def lines(page: str) -> tuple[list[str], bool]:
             alone = False
             break
         i = t.after if t.furniture and not t.title else i + 1
-    at = i = article = 0
+    at = i = article = linked = link = 0
     marked = False
+    around: list[Tag] = []  # open blocks
+
+    def take(piece: str) -> None:
+        nonlocal linked
+        text.append(piece)
+        if i < link:
+            linked += len("".join(html.unescape(piece).split()))
 
     def flush() -> None:
+        nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if line:
-            out.append(line)
-            inside.append(article > 0)
+            out.append(Line(line, linked, article > 0, around[-1].container if around else -1))
+        linked = 0
 
     def gap() -> None:
-        out.extend([""] * WINDOW)
-        inside.extend([False] * WINDOW)
+        out.extend(Line() for _ in range(WINDOW))
 
     while i < len(found):
         t = found[i]
-        text.append(page[at : t.start])
+        take(page[at : t.start])
         at, i = t.end, i + 1
+        if t.name == "a" and not t.closing:
+            link = t.after + (not t.closed)
         if t.furniture and not t.title and not (t.article and alone):
             if t.name in BLOCKS or t.name in FURNITURE:
                 flush()
@@ -243,40 +274,62 @@ def lines(page: str) -> tuple[list[str], bool]:
                 at = found[i].start if i < len(found) else len(page)
         elif t.name in BLOCKS:
             flush()
+            while around and around[-1].after <= i:
+                around.pop()
+            if not t.closing and t.after > i:
+                around.append(t)
             if t.name in ("article", "main"):
                 marked = True
                 article = max(0, article + (-1 if t.closing else 1))
                 gap()
         elif t.name in SPACED:
             text.append(" ")
-    text.append(page[at:])
+    take(page[at:])
     flush()
-    if marked:
-        out = [x if i else "" for x, i in zip(out, inside, strict=True)]
     return out, marked
 
 
+def weights(found: list[Line], marked: bool) -> np.ndarray:
+    """How much each line counts for the main text."""
+    size = np.array([len(x.text) for x in found], float)
+    if marked:
+        return size * np.array([INSIDE if x.inside else OUTSIDE for x in found], float)
+    letters = np.array([len(x.text) - x.text.count(" ") for x in found])
+    linked = np.array([x.linked for x in found])
+    return np.where(linked >= LINKS * np.maximum(letters, 1), 0.0, size)
+
+
+def chosen(block: np.ndarray, text: np.ndarray, surge: np.ndarray) -> np.ndarray:
+    """The lines with text between each surge and the dive that follows it."""
+    kept, on = np.zeros(len(block), bool), False
+    for i in range(len(block)):
+        if not on and text[i] and block[i] >= surge[i]:
+            on = True
+        elif on and block[i] == 0 and not text[i]:
+            on = False
+        kept[i] = on and text[i]
+    return kept
+
+
 def main_text(page: str | None) -> str:
     """Lines between the surge and dive points of the line-block distribution."""
     if not page:
         return ""
     found, marked = lines(page)
-    size = np.array([len(x) for x in found], np.int64)
-    if not size.sum():
+    weight = weights(found, marked)
+    if not weight.sum():
         return ""
-    total = np.concatenate([[0], np.cumsum(size)])
-    begin = np.arange(len(size))
-    block = total[np.minimum(begin + WINDOW, len(size))] - total[begin]
-    surge = 1 if marked else SURGE
-    kept, on = [], False
-    for i, line in enumerate(found):
-        if not on and line and block[i] >= surge:
-            on = True
-        elif on and block[i] == 0:
-            on = False
-        if on and line:
-            kept.append(line)
-    return "\n".join(kept)
+    total = np.concatenate([[0.0], np.cumsum(weight)])
+    begin = np.arange(len(weight))
+    block = total[np.minimum(begin + WINDOW, len(weight))] - total[begin]
+    text = np.array([bool(x.text) for x in found])
+    # Lines of links alone start nothing.
+    surge = np.where(weight > 0, min(SURGE, block.max() / 2), np.inf)
+    kept = chosen(block, text, surge)
+    held = {x.container for x, k in zip(found, kept, strict=True) if k}
+    known = np.array([x.container in held for x in found])
+    kept = chosen(block, text, np.where(known & (weight > 0), 0, surge))
+    return "\n".join(x.text for x, k in zip(found, kept, strict=True) if k)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

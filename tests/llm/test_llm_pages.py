@@ -2,9 +2,11 @@
 
 import hashlib
 import html
+import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -162,7 +164,7 @@ def test_pages_without_an_article_mark():
     text = "A sentence of the main text that is long enough to count as such. " * 3
     page = f"<body><div>Home</div><div>About</div><hr><hr><hr><hr><p>{text}<p>Short.<p>{text}</body>"
     assert html_text.main_text(page).endswith("\n".join([text.strip(), "Short.", text.strip()]))
-    assert html_text.main_text("<body><p>Hi</p></body>") == ""
+    assert html_text.main_text("<body><p>Hi</p></body>") == "Hi"
 
 
 @pytest.mark.parametrize(
@@ -207,13 +209,74 @@ def test_deep_pages_end(tag):
     assert isinstance(html_text.main_text(tag * 50_000), str)
 
 
-@pytest.mark.parametrize("size,kept", [(28, True), (29, True), (100, True), (27, False), (5, False)])
-def test_short_articles_without_a_mark(size, kept):
-    """Three blocks in a row are a surge from 86 characters together, fewer are lost."""
+@pytest.mark.parametrize("size", [1, 5, 28, 29, 100])
+def test_short_articles_without_a_mark(size):
     text = "\n".join(["x" * size, "y" * size, "z" * (size + 2)])
     blocks = "".join(f"<p>{x}</p>" for x in text.split("\n"))
     page = f"<body><nav>Home</nav><div>{blocks}</div><footer>(c)</footer></body>"
-    assert html_text.main_text(page) == (text if kept else "")
+    assert html_text.main_text(page) == text
+
+
+LONG = "A sentence of the main text that is long enough to count as such. " * 2
+LONG = LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("<p>Short lead.</p><p>Tiny.</p>", "Short lead.\nTiny."),
+        ("<div><h1>Title</h1><p>Note.</p></div>", "Title\nNote."),
+        (f"<p>{LONG}</p><div class=ad>Buy</div><p>Fifteen signs..</p>", f"{LONG}\nFifteen signs.."),
+        (f"<div><p>Lead.</p><div class=ad>Buy</div><p>{LONG}</p></div>", f"Lead.\n{LONG}"),
+        (f"<p>{LONG}</p><ul class='comment-list'><li>First!</ul>", LONG),
+        ("<ul><li><a href=/>Home</a><li><a href=/b>About us</a></ul>", ""),
+        (f"<ul><li><a href=/>Home</a></ul><hr><hr><hr><hr><div><p>{LONG} <a href=x>more</a></p></div>", f"{LONG} more"),
+        # The distribution speaks on marked pages too: a long passage outside surges, a line does not.
+        (f"<article><p>Hi.</p></article><div><p>{LONG * 4}</p></div>", f"Hi.\n{LONG * 4}"),
+        (f"<article><p>Hi.</p></article><div><p>{LONG}</p></div>", "Hi."),
+    ],
+)
+def test_blocks_decide(body, want):
+    assert html_text.main_text(f"<body><nav>Menu</nav>{body}<footer>(c)</footer></body>") == want
+
+
+def test_surges_and_dives_against_brute_force():
+    """Every line judged apart: it stays if a line at or before it surges and no dive lies between."""
+    rnd = random.Random(12)
+    for _ in range(300):
+        size = [rnd.choice([0, 0, 0, 1, 5, 40, 90]) for _ in range(rnd.randint(1, 25))]
+        found = [html_text.Line("x" * n, rnd.choice([0, n]), rnd.random() < 0.5, rnd.randint(0, 3)) for n in size]
+        marked = rnd.random() < 0.5
+        w = [
+            n * (html_text.INSIDE if x.inside else html_text.OUTSIDE) if marked else n * (x.linked < html_text.LINKS * n)
+            for n, x in zip(size, found, strict=True)
+        ]
+        assert html_text.weights(found, marked).tolist() == w
+        block = [sum(w[i : i + html_text.WINDOW]) for i in range(len(w))]
+        bar = [rnd.choice([1, 30, 86]) for _ in w]
+        want = [
+            n > 0
+            and any(
+                size[j] > 0 and block[j] >= bar[j] and not any(block[k] == 0 and size[k] == 0 for k in range(j, i + 1))
+                for j in range(i + 1)
+            )
+            for i, n in enumerate(size)
+        ]
+        got = html_text.chosen(np.array(block), np.array(size) > 0, np.array(bar, float))
+        assert got.tolist() == want
+
+
+def test_extract_on_odd_rows(spark):
+    page = "<p>Same text.</p>"
+    rows = [(1, "u", page), (1, "u", page), (None, None, page), (2, "v", None), (3, None, ""), (4, "w", "<p>" + "a b " * 300_000)]
+    schema = "page_id long, url string, html string"
+    odd = spark.createDataFrame(rows, schema).selectExpr("*", "1 as text", "'x' as n_chars", "0 as page")
+    got = html_text.extract(odd).collect()
+    assert len(got) == 6 and [r.text for r in got if r.page_id in (1, None)] == ["Same text."] * 3
+    by_id = {r.page_id: r for r in got}
+    assert by_id[2].text == by_id[3].text == "" and by_id[4].n_chars == 1_199_999
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert html_text.extract(odd.limit(0)).count() == 0
 
 
 def test_unmarked_pages_give_nearly_all_of_their_article(spark):
