@@ -2,14 +2,18 @@
 
 Words are runs without ASCII marks and blanks, A-Z folded. The benchmark is handled in blocks of at
 most ``BLOCK_WORDS`` words, so what is broadcast has a bound whatever the benchmark's size. Per
-block one pass over all texts looks for the n-grams of the items. Each n-gram that is met in a text
-proposes a stretch of words (a diagonal), however common it is. A stretch that holds too few of the
-item's words for the threshold is dropped, as no alignment can reach it; each other one is aligned
-with the item, match +2, other word or gap -1. The score is the best alignment's over that of a
-perfect one, so edited, reordered or partly quoted items score by what they keep. No text is
-shuffled. A copy that keeps no ``N`` words of the item in a row gives no seed.
-
-Items of fewer than ``N`` words give no seed and match nothing; null and empty texts match nothing.
+block one pass over all texts looks for the seeds of the items: every ``N``-gram, and the pairs of
+neighbouring words that are rare in the benchmark block (at most ``RARE`` places), which copies keep
+that are edited every two words. Rarity is taken from the benchmark alone, so copies in the corpus
+cannot hide their own seeds. Each seed that is met in a text proposes a stretch of words (a
+diagonal). A stretch that holds too few of the item's words for the threshold is dropped, as no
+alignment can reach it; each other one is aligned with the item, match +2, other word or gap -1. The
+score is the best alignment's over that of a perfect one, so edited, reordered or partly quoted items
+score by what they keep. No text is shuffled. A copy that keeps neither ``N`` words in a row nor a
+rare pair gives no seed.
+
+Items of fewer than ``N`` words are no test passage inside running text; they match a line that
+consists of them. Items without words match nothing, as do null and empty texts.
 Repeated item_ids with different texts are aligned one by one, the best counts, and so for repeated
 doc_ids. Rows without an id are ignored.
 """
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 from opinara.llm import textvec as tv
 
 N = 3
+RARE = 8  # places in a benchmark block up to which a pair of words is a seed
 BLOCK_WORDS = 2_000_000  # 16 MB of word hashes and about 48 MB of seeds
 THRESHOLD = 0.4
 MATCH, MISS = 2, -1
@@ -44,16 +49,33 @@ class Items:
     grams: np.ndarray  # sorted hashes
     item: np.ndarray  # of each gram
     place: np.ndarray  # of each gram in its item
+    short: np.ndarray  # sorted hashes of the items of fewer than N words
+    short_item: np.ndarray
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str]) -> Items:
         w = tv.words(pa.array(texts, pa.string()), tv.MARKS)
         begins = np.searchsorted(w.row, np.arange(len(texts) + 1))
         at, h = tv.grams(w, N)
+        at2, h2 = tv.grams(w, 2)
+        _, which, places = np.unique(h2, return_inverse=True, return_counts=True)
+        rare = (places[which] <= RARE) & (np.diff(begins)[w.row[at2]] >= N)
+        at, h = np.concatenate([at, at2[rare]]), np.concatenate([h, h2[rare]])
         order = np.argsort(h, kind="stable")
         at = at[order]
         item = w.row[at]
-        return cls(np.array(ids, np.int64), w.hash, begins, h[order], item, at - begins[item])
+        short, short_item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k in range(1, N):
+            at_k, h_k = tv.grams(w, k)
+            alone = np.diff(begins)[w.row[at_k]] == k
+            short.append(h_k[alone])
+            short_item.append(w.row[at_k][alone])
+        short, short_item = np.concatenate(short), np.concatenate(short_item)
+        by_hash = np.argsort(short, kind="stable")
+        return cls(
+            np.array(ids, np.int64), w.hash, begins, h[order], item, at - begins[item],
+            short[by_hash], short_item[by_hash],
+        )
 
 
 def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +98,11 @@ def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def hits(w: tv.Words, items: Items, keys: np.ndarray, sieve: np.ndarray):
     """(row, item, first word of the item's place in the row) of every seed met, in parts of rows."""
-    at, h = tv.grams(w, N)
+    found = [tv.grams(w, k) for k in (2, N)]
+    at, h = (np.concatenate(x) for x in zip(*found, strict=True))
     hit, key = tv.find(keys, h, sieve)
+    order = np.argsort(at[hit], kind="stable")
+    hit, key = hit[order], key[order]
     low = np.searchsorted(items.grams, keys[key])
     n = np.searchsorted(items.grams, keys[key], "right") - low
     rows, total = w.row[at[hit]], np.concatenate([[0], np.cumsum(n)])
@@ -96,6 +121,27 @@ def hits(w: tv.Words, items: Items, keys: np.ndarray, sieve: np.ndarray):
         start = stop
 
 
+def short_lines(column: pa.Array, w: tv.Words, items: Items):
+    """(row, item, last word in the row) of the lines that consist of an item of fewer than N words."""
+    data, bounds = tv.buffers(column)
+    line = np.searchsorted(np.flatnonzero(data == 10), bounds[w.row] + w.start) + w.row
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    count = np.diff(first, append=len(line))
+    rows, which, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(1, N):
+        at, h = tv.grams(w, k)
+        alone = np.isin(at, first[count == k])
+        at, h = at[alone], h[alone]
+        low, high = (np.searchsorted(items.short, h, side) for side in ("left", "right"))
+        n = high - low
+        hit = np.repeat(np.arange(len(at)), n)
+        own = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + low[hit]
+        rows.append(w.row[at[hit]])
+        which.append(items.short_item[own])
+        last.append(at[hit] + k - 1 - np.searchsorted(w.row, w.row[at[hit]]))
+    return np.concatenate(rows), np.concatenate(which), np.concatenate(last)
+
+
 def reachable(held, place, items: Items, item, begin, end, threshold: float) -> np.ndarray:
     """Whether a stretch has enough of its item's words: a score is at most the share that match.
 
@@ -110,6 +156,13 @@ def reachable(held, place, items: Items, item, begin, end, threshold: float) ->
     return np.bincount(which, some, minlength=len(n)) / n >= threshold
 
 
+def found_rows(ids: pa.Array, row, item_id, score, seeds, last) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(row)), pa.array(item_id), pa.array(score), pa.array(seeds), pa.array(last)],
+        ["doc_id", "item_id", "score", "seeds", "last_word"],
+    )
+
+
 def _aligned(
     batches: Iterator[pa.RecordBatch], shared, threshold: float
 ) -> Iterator[pa.RecordBatch]:
@@ -122,7 +175,11 @@ def _aligned(
     for whole in batches:
         for part in tv.slices(whole, "text"):
             w = tv.words(part.column(1), tv.MARKS)
+            ids = part.column(0).cast(pa.int64())
             held = None
+            if len(items.short) and len(w):
+                r, i, last = short_lines(part.column(1), w, items)
+                yield found_rows(ids, r, items.ids[i], np.ones(len(r)), np.ones(len(r), np.int64), last)
             for row, item, diagonal in hits(w, items, keys, sieve):
                 if held is None:
                     at, word = tv.find(vocabulary, w.hash, known)
@@ -167,11 +224,7 @@ def _aligned(
                     )
                 if out:
                     r, i, s, seeds, last = (np.concatenate(x) for x in zip(*out, strict=True))
-                    ids = part.column(0).cast(pa.int64()).take(pa.array(r))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array(items.ids[i]), pa.array(s), pa.array(seeds), pa.array(last)],
-                        ["doc_id", "item_id", "score", "seeds", "last_word"],
-                    )
+                    yield found_rows(ids, r, items.ids[i], s, seeds, last)
 
 
 def blocks(benchmark: DataFrame, size: int = BLOCK_WORDS) -> Iterator[Items]:

@@ -480,6 +480,58 @@ def test_alignment_equals_a_plain_table():
         assert decontamination.align(a, b)[0][0] == h.max()
 
 
+def brute_force_score(item, text):
+    """Best plain Smith-Waterman score of all words of both, over that of a perfect match."""
+    above, best = [0] * (len(text) + 1), 0
+    for x in item:
+        row = [0]
+        for j, y in enumerate(text, 1):
+            hit = decontamination.MATCH if x == y else decontamination.MISS
+            row.append(max(0, above[j - 1] + hit, above[j] + decontamination.MISS, row[-1] + decontamination.MISS))
+        above, best = row, max(best, *row)
+    return best / (decontamination.MATCH * len(item))
+
+
+@pytest.mark.parametrize("vocabulary", [60, 400])
+def test_whole_query_against_alignment_of_every_pair(spark, vocabulary):
+    """Copies with a word put in or changed every two, three or five words, quotes and clean texts."""
+    rnd = random.Random(vocabulary)
+    text = lambda n: [f"w{int(vocabulary * rnd.random() ** 2)}" for _ in range(n)]
+    items = [text(rnd.choice([3, 10, 10, 25])) for _ in range(24)]
+    docs = [text(60) for _ in range(20)]
+    for i, item in enumerate(items):
+        every = (2, 3, 5)[i % 3]
+        put_in = [y for j, x in enumerate(item) for y in ([x, f"e{i}"] if j % every == every - 1 else [x])]
+        changed = [f"e{i}" if j % every == every - 1 else x for j, x in enumerate(item)]
+        docs += [text(40) + x + text(20) for x in (put_in, changed, item[: len(item) // 2 + 1])]
+    got = decontamination.contaminated(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"),
+    ).collect()
+    scores = {(d, i): brute_force_score(x, t) for d, t in enumerate(docs) for i, x in enumerate(items)}
+    want = {k for k, v in scores.items() if v >= decontamination.THRESHOLD}
+    found = {(r.doc_id, r.item_id): r.score for r in got}
+    assert found.keys() <= want and len(found) == len(got)
+    assert all(abs(v - scores[k]) < 1e-9 or v < scores[k] for k, v in found.items())
+    long = {(d, i) for d, i in want if len(items[i]) >= 10}
+    own = {(20 + 3 * i + k, i) for i in range(len(items)) for k in range(2)} & want
+    missed = own - found.keys()
+    assert len(long & found.keys()) >= 0.9 * len(long) and len(missed) <= 0.1 * len(own)
+
+
+def test_items_of_one_and_two_words_match_their_lines(spark):
+    items = [(1, "Paris"), (2, "forty two"), (3, "Paris"), (4, "!?")]
+    docs = [(1, "The capital of France:\nPARIS.\nMore."), (2, "Paris is large, forty two times."), (3, "Forty-two"),
+            (4, "Paris\nParis"), (5, None), (6, ""), (7, "\n\n"), (None, "Paris"), (8, "forty\ntwo"), (9, "x " * 300_000 + "\nforty two!\n")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'k' as item_id", "0 as score")
+    marks = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as doc_id")
+    got = decontamination.contaminated(docs, marks).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (1, 3), (3, 2), (4, 1), (4, 3), (9, 2)]
+    assert all(r.score == 1 for r in got)
+    assert {r.doc_id: r.last_word for r in got} == {1: 4, 3: 1, 4: 1, 9: 300_001}
+    assert decontamination.contaminated(docs.limit(0), marks).count() == 0
+
+
 def test_no_benchmark_no_hits(spark, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(docs, empty).count() == 0
