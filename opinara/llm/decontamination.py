@@ -5,12 +5,12 @@ most ``BLOCK_WORDS`` words, so what is broadcast has a bound whatever the benchm
 block one pass over all texts looks for the seeds of the items: every ``N``-gram, and the pairs of
 neighbouring words that are rare in the benchmark block (at most ``RARE`` places), which copies keep
 that are edited every two words. Rarity is taken from the benchmark alone, so copies in the corpus
-cannot hide their own seeds. Each seed that is met in a text proposes a stretch of words (a
-diagonal). A stretch that holds too few of the item's words for the threshold is dropped, as no
+cannot hide their own seeds. An ``N``-gram that is met in a text proposes a stretch of words (a
+diagonal), and so do two pairs on nearby diagonals, or one of an item of under ``LONG`` words. A stretch that holds too few of the item's words for the threshold is dropped, as no
 alignment can reach it; each other one is aligned with the item, match +2, other word or gap -1. The
 score is the best alignment's over that of a perfect one, so edited, reordered or partly quoted items
-score by what they keep. No text is shuffled. A copy that keeps neither ``N`` words in a row nor a
-rare pair gives no seed.
+score by what they keep. No text is shuffled. A copy that keeps neither ``N`` words in a row nor so
+many rare pairs is not met.
 
 Items of fewer than ``N`` words are no test passage inside running text; they match a line that
 consists of them. Items without words match nothing, as do null and empty texts.
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from opinara.llm import textvec as tv
 
 N = 3
+LONG = 8
 RARE = 8  # places in a benchmark block up to which a pair of words is a seed
 BLOCK_WORDS = 2_000_000  # 16 MB of word hashes and about 48 MB of seeds
 THRESHOLD = 0.4
@@ -49,6 +50,7 @@ class Items:
     grams: np.ndarray  # sorted hashes
     item: np.ndarray  # of each gram
     place: np.ndarray  # of each gram in its item
+    worth: np.ndarray  # of each gram: 2, or 1 of a pair in an item of LONG words or more
     short: np.ndarray  # sorted hashes of the items of fewer than N words
     short_item: np.ndarray
 
@@ -60,6 +62,8 @@ class Items:
         at2, h2 = tv.grams(w, 2)
         _, which, places = np.unique(h2, return_inverse=True, return_counts=True)
         rare = (places[which] <= RARE) & (np.diff(begins)[w.row[at2]] >= N)
+        worth = np.where(np.diff(begins)[w.row[at2]] < LONG, 2, 1)[rare]
+        worth = np.concatenate([np.full(len(at), 2), worth])
         at, h = np.concatenate([at, at2[rare]]), np.concatenate([h, h2[rare]])
         order = np.argsort(h, kind="stable")
         at = at[order]
@@ -73,7 +77,7 @@ class Items:
         short, short_item = np.concatenate(short), np.concatenate(short_item)
         by_hash = np.argsort(short, kind="stable")
         return cls(
-            np.array(ids, np.int64), w.hash, begins, h[order], item, at - begins[item],
+            np.array(ids, np.int64), w.hash, begins, h[order], item, at - begins[item], worth[order],
             short[by_hash], short_item[by_hash],
         )
 
@@ -97,7 +101,7 @@ def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def hits(w: tv.Words, items: Items, keys: np.ndarray, sieve: np.ndarray):
-    """(row, item, first word of the item's place in the row) of every seed met, in parts of rows."""
+    """(row, item, first word of the item's place in the row, worth) of every seed met, in parts of rows."""
     found = [tv.grams(w, k) for k in (2, N)]
     at, h = (np.concatenate(x) for x in zip(*found, strict=True))
     hit, key = tv.find(keys, h, sieve)
@@ -117,7 +121,7 @@ def hits(w: tv.Words, items: Items, keys: np.ndarray, sieve: np.ndarray):
         seed = np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m) + low[which]
         word = at[hit][which]
         begins = np.searchsorted(w.row, w.row[word])
-        yield w.row[word], items.item[seed], word - begins - items.place[seed]
+        yield w.row[word], items.item[seed], word - begins - items.place[seed], items.worth[seed]
         start = stop
 
 
@@ -180,17 +184,26 @@ def _aligned(
             if len(items.short) and len(w):
                 r, i, last = short_lines(part.column(1), w, items)
                 yield found_rows(ids, r, items.ids[i], np.ones(len(r)), np.ones(len(r), np.int64), last)
-            for row, item, diagonal in hits(w, items, keys, sieve):
-                if held is None:
-                    at, word = tv.find(vocabulary, w.hash, known)
-                    held = np.sort(word * (len(w) + 1) + at)
-                    place = number * (len(w) + 1)
+            for row, item, diagonal, worth in hits(w, items, keys, sieve):
                 # Seeds of one item on nearby diagonals share a window of one and a half item
                 # lengths on either side; diagonals are grouped by half an item length.
                 half = np.maximum(size[item] // 2, 4)
                 cell = np.floor_divide(diagonal, half)
-                cells, n = np.unique(np.stack([row, item, cell]), axis=1, return_counts=True)
-                row, item, cell = cells
+                order = np.lexsort((cell, item, row))
+                row, item, cell = row[order], item[order], cell[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(cell) != 0)
+                at = np.flatnonzero(new)
+                n = np.diff(at, append=len(row))
+                enough = np.add.reduceat(worth[order], at) >= 2 if len(at) else np.zeros(0, bool)
+                at, n = at[enough], n[enough]
+                row, item, cell = row[at], item[at], cell[at]
+                if not len(row):
+                    continue
+                if held is None:
+                    at, word = tv.find(vocabulary, w.hash, known)
+                    held = np.sort(word * (len(w) + 1) + at)
+                    place = number * (len(w) + 1)
                 first = np.searchsorted(w.row, row)
                 stop = np.searchsorted(w.row, row, "right")
                 half = np.maximum(size[item] // 2, 4)
