@@ -27,6 +27,7 @@ from opinara.schemas import ALL, AT_MONTH, DIMENSIONS, WEEKLY_REPORTS
 from opinara.session import shared_dir, staged
 from opinara.streaming.enrichment import run_enrichment
 from opinara.streaming.ingest import run_page_stream
+from opinara.streaming.sentiment import run_weekly_sentiment, weekly_sentiment
 
 from . import binding as b
 
@@ -542,6 +543,24 @@ for _name in (
     QUERIES[f"{_name}_by_theme"] = _trend(_name, **_THEME)
 
 
+@query
+def stream_weekly_sentiment(spark, sf):
+    """Weekly sentiment counted by event time from a stream whose files hold reviews in any order."""
+    run = shared_dir(spark, "weekly-sentiment")
+    rows = b.enriched(spark, sf).select("review_id", "at", "sentiment")
+    rows = rows.repartition(F.col("review_id")).select("at", "sentiment")
+    landed = staged(rows, "weekly-sentiment-rows")
+    files = landed.inputFiles()
+    stream = (
+        spark.readStream.schema(landed.schema)
+        .option("maxFilesPerTrigger", max(1, len(files) // 2))
+        .parquet(files[0].rsplit("/", 1)[0])
+    )
+    # All of the data lie within the delay, so no row is late.
+    run_weekly_sentiment(stream, f"{run}/counts", f"{run}/checkpoint", delay="60 days")
+    return weekly_sentiment(spark, f"{run}/counts")
+
+
 # --- weekly report --------------------------------------------------------------------------
 
 
