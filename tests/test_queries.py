@@ -1,7 +1,8 @@
 """Registered queries: results against DuckDB, and the shape of their plans."""
 
+import hashlib
 import math
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import duckdb
 import pytest
@@ -120,6 +121,28 @@ def test_texts_are_scored_whole(spark):
     assert score_texts(df, binding.SCORER).first()["toxicity"] is True
 
 
+@pytest.mark.parametrize("name, by_id", [("anti_new_reviews", "LeftAnti")])
+def test_digests_and_no_texts_are_shuffled_by_id(spark, tmp_path, name, by_id):
+    start = datetime(2024, 1, 1)
+    events = [(i, start + timedelta(days=i), i % 3, "view", 1.5 * i, f'{{"k": {i % 9}}}') for i in range(30)]
+    columns = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    texts = [(i, f"text {i}" if i else None, "en", "web", 6) for i in range(5)]
+    sf = str(tmp_path)
+    spark.createDataFrame(events, columns).write.parquet(f"{sf}/events.parquet")
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(texts, columns).write.parquet(f"{sf}/documents.parquet")
+    out = QUERIES[name](spark, sf)
+    # The digest stands below what works by id.
+    plan = physical(out)
+    assert plan.index(by_id) < plan.index("md5(")
+    got = {r["review_id"]: r["content_md5"] for r in out.collect()}
+    assert len(got) == out.count() and got
+    for i, md5 in got.items():
+        doc, k = int(i) % 5, int(i) % 9
+        text = {0: None, 1: "   "}.get(k, f"text {doc}" if doc else "")
+        assert md5 == (None if text is None else hashlib.md5(text.encode()).hexdigest())
+
+
 def test_ingest_shuffles_texts_once(spark):
     plan = physical(QUERIES["ingest"](spark, SF))
     for line in plan.splitlines():

@@ -131,8 +131,9 @@ def dedup_reviews(spark, sf):
 
 @query
 def anti_new_reviews(spark, sf):
-    rows = ingest.new_reviews(b.reviews(spark, sf), b.stored(spark, sf))
-    return _digest(rows, "review_id", "game", "language", "score", "at")
+    # Only digests are returned, so texts become digests where they are read and are not shuffled by id.
+    rows = _digest(b.reviews(spark, sf), "review_id", "game", "language", "score", "at")
+    return ingest.new_reviews(rows, b.stored(spark, sf))
 
 
 def _ingested(spark, sf, backfill=False):
