@@ -2,7 +2,8 @@
 
 No operator puts one game's or one language's reviews into a single task: cuts and caps are
 small staged tables joined back by broadcast, so texts are not shuffled by game, and duplicate
-copies collapse on the map side first. Texts are shuffled once, by review id.
+copies collapse on the map side first. Texts are shuffled at most once, by review id: while few ids
+are listed twice or stored, only their rows are (`first_new`).
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from ..session import staged
 
 TARGET = ("game", "language")
 
+# Ids, as hashes of eight bytes, that a run sends to all tasks at most.
+FEW_IDS = 1_000_000
+
 
 def decode_pages(pages: DataFrame, targets: DataFrame) -> DataFrame:
     """Landed page payload -> review columns plus ``run``, ``page`` and ``pos``.
@@ -140,6 +144,50 @@ def new_reviews(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.join(stored.select("review_id"), "review_id", "left_anti").select(*rows.columns)
 
 
+def _few(ids: DataFrame) -> bool:
+    return ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+
+
+def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows whose hashed review id is (``left_semi``) or is not (``left_anti``) one of a few."""
+    hashed = rows.withColumn("_id_hash", F.xxhash64("review_id"))
+    return hashed.join(F.broadcast(ids), "_id_hash", how).select(*rows.columns)
+
+
+def doubtful_ids(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """(_id_hash) hashes of the review ids that ``rows`` list more than once or that are stored; staged.
+
+    Only ids are read. A small run is looked up in the store where the store lies.
+    """
+    counted = rows.groupBy("review_id").agg(F.count("*").alias("n"))
+    counted = staged(counted.select("review_id", "n", F.xxhash64("review_id").alias("_id_hash")), "run-ids")
+    ids = stored.select("review_id")
+    if _few(counted):
+        known = _among(ids, counted.select("_id_hash"), "left_semi")
+    else:
+        known = counted.join(ids, "review_id", "left_semi")
+    again = counted.filter("n > 1").select("_id_hash")
+    known = known.select(F.xxhash64("review_id").alias("_id_hash"))
+    return staged(again.union(known).distinct(), "doubtful-ids")
+
+
+def first_new(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """The first row of each review id that is not stored: `dedup_reviews`, then `new_reviews`.
+
+    A review listed once and not stored passes where it is read; the others, and any whose hash
+    meets theirs, are shuffled and compared by the two operators. With many of those all rows are.
+    ``rows`` are read more than once.
+    """
+    doubtful = doubtful_ids(rows, stored)
+    if not _few(doubtful):
+        return new_reviews(dedup_reviews(rows), stored)
+    if doubtful.isEmpty():
+        return rows
+    compared = dedup_reviews(_among(rows, doubtful, "left_semi"))
+    compared = new_reviews(compared, _among(stored.select("review_id"), doubtful, "left_semi"))
+    return _among(rows, doubtful, "left_anti").union(compared)
+
+
 def select_new(
     pages: DataFrame,
     stored: DataFrame,

@@ -23,9 +23,9 @@ def run_page_stream(
     targets = staged(targets, "targets")
 
     def add(batch: DataFrame, _: int) -> None:
-        rows = ingest.dedup_reviews(ingest.decode_pages(batch, targets))
+        rows = ingest.decode_pages(batch, targets)
         stored = batch.sparkSession.table(table)
-        new = ingest.new_reviews(rows, stored).select(*REVIEW_ROW.names)
+        new = ingest.first_new(rows, stored).select(*REVIEW_ROW.names)
         tables.append(new.withColumn("_ingested_at", F.current_timestamp()), table)
 
     (

@@ -97,6 +97,24 @@ def test_new_reviews(spark):
     assert ids(ingest.new_reviews(listed(spark, ("a", 1), ("b", 2)), stored)) == ["b"]
 
 
+@pytest.mark.parametrize("few", [0, 2, 100])
+def test_first_new_equals_dedup_then_anti_join(spark, monkeypatch, few):
+    """Ids that are null, repeated, stored or all of it, whichever way the rows take."""
+    import random
+
+    monkeypatch.setattr(ingest, "FEW_IDS", few)
+    rng = random.Random(few)
+    pick = lambda: rng.choice([None, "c", *[f"r{i}" for i in range(12)]])
+    data = [
+        (pick(), "g", "en", "run", i // 10, i % 10, T0) for i in range(15)
+    ] + [(f"n{i}", "g", "en", "run", 9, i, T0) for i in range(3)]
+    columns = "review_id string, game string, language string, run string, page int, pos long, at timestamp"
+    data = spark.createDataFrame(data, columns)
+    stored = spark.createDataFrame([("c",), ("c",), (None,), ("r1",)], "review_id string")
+    want = ingest.new_reviews(ingest.dedup_reviews(data), stored)
+    assert rows(ingest.first_new(data, stored)) == rows(want)
+
+
 def test_targets_are_every_game_in_every_language(spark):
     games = spark.createDataFrame([("g", "p"), ("h", "q")], "game string, package_name string")
     out = ingest.ingest_targets(games, ["en", "pt"])

@@ -38,6 +38,24 @@ def test_ingest_then_enrich_scores_each_review_once(spark, schema, tmp_path):
         assert rows(batch) == rows(spark.table(enriched).select(*SCORED))
 
 
+def test_page_stream_shuffles_no_text_of_new_reviews(spark, schema, tmp_path, monkeypatch):
+    tables.create_tables(spark, schema)
+    raw, landing = tables.name(schema, "reviews_raw"), str(tmp_path / "landing")
+    targets = ingest.ingest_targets(jobs.monitored_games(spark, schema, GAMES), ["en", "pt"])
+    fresh = [("com.a", "en", 0, i, f"r{i}", 1) for i in range(3)]
+    payload(spark, *fresh).coalesce(1).write.option("ignoreNullFields", False).json(landing)
+    plans, append = [], tables.append
+
+    def watched(df, table):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return append(df, table)
+
+    monkeypatch.setattr(tables, "append", watched)
+    run_page_stream(spark, stream_pages(spark, landing), targets, raw, str(tmp_path / "checkpoint"))
+    assert spark.table(raw).count() == 3
+    assert plans and not any("Exchange hashpartitioning" in plan for plan in plans)
+
+
 def test_page_stream_reads_each_file_once(spark, schema, tmp_path):
     tables.create_tables(spark, schema)
     raw = tables.name(schema, "reviews_raw")
