@@ -203,7 +203,7 @@ def select_new(
     if not backfill:
         rows = source_cut(rows, marks, by)
     capped = page_cap(rows, marks, pages_allowed, backfill, first_load, by)
-    return new_reviews(dedup_reviews(capped), stored).select(*REVIEW_ROW.names)
+    return first_new(capped, stored).select(*REVIEW_ROW.names)
 
 
 def written_counts(rows: DataFrame) -> DataFrame:

@@ -97,6 +97,24 @@ def test_new_reviews(spark):
     assert ids(ingest.new_reviews(listed(spark, ("a", 1), ("b", 2)), stored)) == ["b"]
 
 
+def test_reviews_listed_once_and_not_stored_are_not_shuffled(spark):
+    games = spark.createDataFrame([("g", "com.a")], "game string, package_name string")
+    targets = ingest.ingest_targets(games, ["en"])
+    stored = spark.createDataFrame([("s1", "other", T0)], "review_id string, game string, at timestamp")
+
+    def plan(*items):
+        new = ingest.select_new(payload(spark, *items), stored, targets, 3)
+        return new, new._jdf.queryExecution().executedPlan().toString()
+
+    fresh = [("com.a", "en", 0, i, f"r{i}", 1) for i in range(3)]
+    new, whole = plan(*fresh)
+    assert ids(new) == ["r0", "r1", "r2"] and "Exchange hashpartitioning" not in whole
+    new, whole = plan(*fresh, ("com.a", "en", 1, 0, "r0", 1), ("com.a", "en", 1, 1, "s1", 1))
+    once, others = whole.split("Union")[1].split("Window", 1)
+    assert ids(new) == ["r0", "r1", "r2"] and "LeftSemi" in others
+    assert "LeftAnti" in once and "Exchange hashpartitioning" not in once
+
+
 @pytest.mark.parametrize("few", [0, 2, 100])
 def test_first_new_equals_dedup_then_anti_join(spark, monkeypatch, few):
     """Ids that are null, repeated, stored or all of it, whichever way the rows take."""
