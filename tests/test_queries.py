@@ -121,7 +121,7 @@ def test_texts_are_scored_whole(spark):
     assert score_texts(df, binding.SCORER).first()["toxicity"] is True
 
 
-@pytest.mark.parametrize("name, by_id", [("anti_new_reviews", "LeftAnti")])
+@pytest.mark.parametrize("name, by_id", [("anti_new_reviews", "LeftAnti"), ("dedup_reviews", "WindowGroupLimit")])
 def test_digests_and_no_texts_are_shuffled_by_id(spark, tmp_path, name, by_id):
     start = datetime(2024, 1, 1)
     events = [(i, start + timedelta(days=i), i % 3, "view", 1.5 * i, f'{{"k": {i % 9}}}') for i in range(30)]

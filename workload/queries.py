@@ -93,7 +93,7 @@ def parse_games_param(spark, sf):
 
 
 def _decoded(spark, sf):
-    targets = ingest.ingest_targets(b.games(spark, sf), b.LANGUAGES)
+    targets = staged(ingest.ingest_targets(b.games(spark, sf), b.LANGUAGES), "targets")
     return ingest.decode_pages(b.pages(spark, sf), targets)
 
 
@@ -125,8 +125,10 @@ def page_cap(spark, sf):
 
 @query
 def dedup_reviews(spark, sf):
-    rows = ingest.dedup_reviews(_decoded(spark, sf))
-    return _digest(rows, "review_id", "game", "language", "page", "pos", "at")
+    # Only digests are returned, so texts become digests where they are read and are not shuffled by id.
+    rows = _decoded(spark, sf).withColumn("content_md5", F.md5("content"))
+    rows = ingest.dedup_reviews(rows.drop("content"))
+    return _show(rows, "review_id", "game", "language", "page", "pos", "at", "content_md5")
 
 
 @query
