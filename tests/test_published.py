@@ -51,6 +51,21 @@ def test_runs_publish_rows_and_watermark_together(spark, store):
     assert states == {(f"r{i}", s) for i in (1, 2, 3) for s in ("started", "landed", "committed")}
 
 
+def test_counted_runs_shuffle_no_text_of_new_reviews(spark, store, monkeypatch):
+    plans, stage = [], Store.stage
+
+    def watched(self, df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(self, df, *more)
+
+    monkeypatch.setattr(Store, "stage", watched)
+    run(store, "r1", ("com.a", "en", 0, 0, "a1", 1), ("com.a", "pt", 0, 0, "p1", 1))
+    run(store, "r2", ("com.a", "en", 0, 0, "a2", 2))
+    counts = sorted(tuple(r) for r in published.run_counts(store).collect())
+    assert counts == [("r1", "O'Neil\\x", "en", 1), ("r1", "O'Neil\\x", "pt", 1), ("r2", "O'Neil\\x", "en", 1)]
+    assert len(plans) == 2 and not any("Exchange hashpartitioning" in plan for plan in plans)
+
+
 @pytest.mark.parametrize("moment", ["during the write", "before the commit"])
 def test_a_killed_run_loses_and_doubles_nothing(spark, store, monkeypatch, moment):
     run(store, "r1", ("com.a", "en", 0, 0, "a1", 1))
