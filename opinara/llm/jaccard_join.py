@@ -24,6 +24,9 @@ Records of a shared key are a bucket. Buckets are not expanded into pairs. Round
 compare hubs with the members that are still in another component and whose segments' tags allow a
 link; each round retires its hubs and
 draws many times as many, until no bucket holds members of two components that were not compared.
+Near copies share most of their buckets. The buckets of a record have an order, larger ones first, and each membership
+carries the ``EARLIER`` buckets before its own. Where those of hub and member overlap, the two meet in an
+earlier bucket and are left to it; the first bucket that two records share never leaves them out.
 Copies of one set are collapsed before all this, so a large group of copies is one record.
 
 Records are numbered by doc_id. Rows without an id and rows whose id stands for several sets are numbered
@@ -56,6 +59,7 @@ TAG_BITS = 4
 PER_LONG = 64 // TAG_BITS  # tags packed in a number, so that records of a bucket are cheap to deal out
 SLICES = 8  # parts of the key space that are shuffled one after another
 MORE_HUBS = 64  # times as many hubs of a bucket in each further round
+EARLIER = 8  # buckets of a record that each of its memberships knows
 
 
 def distinct_shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +356,7 @@ def shared_keys(keys: DataFrame, path: str) -> list[DataFrame]:
 
 
 def buckets(sets: DataFrame, keys: DataFrame, path: str) -> DataFrame:
-    """(bucket, id, band, tags, size) of records that share a key; staged.
+    """(bucket, id, band, earlier, tags, size) of records that share a key; staged.
 
     There is one bucket for equal member lists. Copies of a set in several tasks are counted with it,
     which changes no more than the order of keys by frequency, and go as soon as the members are
@@ -379,8 +383,9 @@ def buckets(sets: DataFrame, keys: DataFrame, path: str) -> DataFrame:
         F.bit_xor(F.xxhash64("id")).alias("x"),
         F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
     )
-    alike = alike.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    member = staged(members.join(alike, "key").withColumnRenamed("key", "bucket"), "jaccard-member")
+    alike = alike.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    member = members.join(alike, "key").withColumnRenamed("key", "bucket")
+    member = staged(with_earlier(member), "jaccard-member")
     discard(members)
     met = member.select("id", "band").distinct()
     out = staged(member.join(tags(sets, met), ["id", "band"]), "jaccard-buckets")
@@ -388,6 +393,12 @@ def buckets(sets: DataFrame, keys: DataFrame, path: str) -> DataFrame:
     return out
 
 
+def with_earlier(member: DataFrame) -> DataFrame:
+    """(bucket, id, band, earlier): the buckets of a record before each, by ``n``, the members of a bucket."""
+    before = Window.partitionBy("id").orderBy(F.desc("n"), "bucket").rowsBetween(-EARLIER, -1)
+    return member.select("bucket", "id", "band", F.collect_list("bucket").over(before).alias("earlier"))
+
+
 def tags(sets: DataFrame, met: DataFrame) -> DataFrame:
     """(id, band, tags, size) of the records and bands of ``met``. ``size`` is the record's set size."""
     x = sets.filter("own").select(
@@ -397,6 +408,11 @@ def tags(sets: DataFrame, met: DataFrame) -> DataFrame:
     return x.join(met, ["id", "band"])
 
 
+def meet_first() -> Column:
+    """False only where hub and member share a bucket earlier than theirs, as far as both know."""
+    return ~F.arrays_overlap("hub_earlier", "earlier")
+
+
 def may_link(percent: int) -> Column:
     """Whether sizes and tags of hub and member allow a link.
 
@@ -511,12 +527,13 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         _release(active.sparkSession)
         cell = F.pmod(F.xxhash64("id", F.lit(hubs_wanted)), F.lit(hubs_wanted))
         hubs = active.groupBy("bucket", cell.alias("cell")).agg(
-            F.min(F.struct("id", "comp", "tags", "size")).alias("hub")
+            F.min(F.struct("id", "comp", "earlier", "tags", "size")).alias("hub")
         )
         hubs = hubs.select(
             "bucket",
             F.col("hub.id").alias("hub"),
             F.col("hub.comp").alias("hub_comp"),
+            F.col("hub.earlier").alias("hub_earlier"),
             F.col("hub.tags").alias("hub_tags"),
             F.col("hub.size").alias("hub_size"),
         )
@@ -524,11 +541,11 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         # A pair is compared once, in the first round in which one is a hub of a common bucket.
         members = active.withColumnRenamed("bucket", "hub_bucket")
         fit = (F.col("bucket") == F.col("hub_bucket")) & (F.col("comp") != F.col("hub_comp"))
-        pairs = hubs.join(members, fit & may_link(percent))
+        pairs = hubs.join(members, fit & meet_first() & may_link(percent))
         pairs = pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
         pairs = pairs.distinct()
-        for earlier in compared:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        if compared:
+            pairs = pairs.join(reduce(DataFrame.union, compared), ["a", "b"], "left_anti")
         pairs = staged(pairs, "jaccard-pairs")
         compared.append(pairs)
         _release(active.sparkSession)

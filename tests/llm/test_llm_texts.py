@@ -183,6 +183,22 @@ def test_tags_never_differ_more_than_the_sets(spark):
     assert any(r.n > 0.8 * r.apart > 5 for r in rows)
 
 
+def test_near_copies_meet_in_few_of_their_buckets(spark):
+    """A group of near copies, some of them edited too much to link: no pair is lost, few meet again and again."""
+    rnd = random.Random(6)
+    base = " ".join(f"v{rnd.randrange(900)}" for _ in range(150))
+    rows = [(i, edited(rnd, base, rnd.choice((1, 2, 3, 8)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    member = jaccard_join.buckets(*jaccard_join.document_sets(docs, 5, 80))
+    hubs = member.select("bucket", F.col("id").alias("hub"), F.col("earlier").alias("hub_earlier"))
+    met = hubs.join(member, "bucket").filter("hub < id")
+    every = met.select("hub", "id").distinct().count()
+    first = met.filter(jaccard_join.meet_first()).select("hub", "id")
+    assert every > 2000 and met.count() > 10 * every
+    assert first.distinct().count() == every
+    assert first.count() < 4 * every
+
+
 def test_join_of_odd_and_empty_inputs(spark, odd):
     got = jaccard_join.jaccard_components(odd).collect()
     assert len(got) == odd.count()
