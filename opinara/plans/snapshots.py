@@ -143,7 +143,8 @@ class Store:
         asked = {"_rows": F.count("*"), **(metrics or {})}
         name = f"{RUN}={run_id or 'snapshot'}@{uuid.uuid4().hex}"
         observed = df.observe(seen, *[c.alias(k) for k, c in asked.items()])
-        observed.write.partitionBy(*partition_by).parquet(f"{self.root}/{table}/{name}")
+        packed = observed.write.option("compression", "zstd")  # most of what is written is text
+        packed.partitionBy(*partition_by).parquet(f"{self.root}/{table}/{name}")
         return name, {k: int(v or 0) for k, v in seen.get.items()}
 
     def read(

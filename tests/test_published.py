@@ -276,3 +276,10 @@ def test_run_counts_come_from_the_manifest(spark, store):
     assert rows(published.run_counts(store)) == [
         ("r1", "Beta", "en", 1), ("r1", "O'Neil\\x", "en", 2), ("r1", "O'Neil\\x", "pt", 1), ("r2", "Beta", "en", 1),
     ]
+
+
+def test_published_rows_are_packed_with_zstd(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    folder, seen = store.stage(spark.createDataFrame([(1, "a text")], "id long, content string"), "reviews")
+    files = [p.name for p in (tmp_path / "reviews" / folder).glob("*.parquet")]
+    assert seen == {"_rows": 1} and files and all(".zstd." in name for name in files)

@@ -148,3 +148,8 @@ def test_ingest_shuffles_texts_once(spark):
     for line in plan.splitlines():
         if "Exchange hashpartitioning" in line:
             assert "game" not in line or "package_name" in line
+
+
+def test_landed_pages_deal_texts_out_by_document_alone(spark):
+    plan = physical(binding.pages(spark, SF))
+    assert "text" in plan and "RoundRobinPartitioning" not in plan

@@ -186,7 +186,8 @@ def pages(
     since_midnight = F.timestamp_diff("MICROSECOND", F.date_trunc("day", "at"), F.col("at"))
     twice = F.when(F.col("thumbs_up_count") == 7, F.array(page, page + 1)).otherwise(F.array(page))
     nothing = F.lit(None).cast("string")
-    listed = reviews(spark, sf_dir)
+    # The join deals texts out by document, so they are not dealt over the cores before it.
+    listed = bind_reviews(spark, sf_dir, table(spark, sf_dir, "events"), documents(spark, sf_dir))
     if days_ago:
         listed = listed.filter(F.col("at") <= moment)
     named = [F.lit(run).alias("run")] if run else []
