@@ -27,6 +27,8 @@ draws many times as many, until no bucket holds members of two components that w
 Near copies share most of their buckets. The buckets of a record have an order, larger ones first, and each membership
 carries the ``EARLIER`` buckets before its own. Where those of hub and member overlap, the two meet in an
 earlier bucket and are left to it; the first bucket that two records share never leaves them out.
+Memberships are narrow: tags, staged once per record and band, join them where a round pairs its hubs and members and
+are never staged by bucket. Texts are read only of the records in pairs that the tags let through.
 Copies of one set are collapsed before all this, so a large group of copies is one record.
 
 Records are numbered by doc_id. Rows without an id and rows whose id stands for several sets are numbered
@@ -309,8 +311,11 @@ def document_sets(
     return numbered(sets), numbered(got.filter("slice >= 0").drop("bands", "tags")), path
 
 
-def record_texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(id, text) of the wanted records, staged. Rows numbered by their set are hashed again."""
+def record_texts(docs: DataFrame, odd: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(id, text) of the wanted records, staged. Rows numbered by their set are hashed again.
+
+    ``odd`` and ``wanted`` are staged. Texts are dealt out once at most, and not at all while both are small.
+    """
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -320,12 +325,17 @@ def record_texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, k: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(hashed), part.column(0)], ["id", "text"])
 
     rows = docs.select("doc_id", "text")
-    odd = sets.filter("odd").select("doc_id").distinct()
-    unnamed = rows.filter("doc_id IS NULL").union(rows.join(odd, "doc_id", "left_semi"))
-    unnamed = unnamed.select("text").mapInArrow(number, "id long, text string")
-    named = rows.dropna(subset=["doc_id"]).join(odd, "doc_id", "left_anti")
-    texts = named.select(F.col("doc_id").alias("id"), "text").union(unnamed).join(wanted, "id")
-    return staged(texts.dropDuplicates(["id"]), "jaccard-texts")
+    named = wanted.select(F.col("id").alias("doc_id"), F.lit(False).alias("odd"))
+    marks = named.join(odd, "doc_id", "left_anti").union(odd.select("doc_id", F.lit(True)))
+    marks = staged(marks, "jaccard-marks")
+    found = rows.join(marks, "doc_id")
+    unnamed = rows.filter("doc_id IS NULL").union(found.filter("odd").select("doc_id", "text"))
+    unnamed = unnamed.select("text").mapInArrow(number, "id long, text string").join(wanted, "id")
+    named = found.filter("NOT odd").select(F.col("doc_id").alias("id"), "text")
+    texts = named.dropDuplicates(["id"]).union(unnamed.dropDuplicates(["id"]))
+    texts = staged(texts, "jaccard-texts")
+    discard(marks)
+    return texts
 
 
 def _release(spark: SparkSession) -> None:
@@ -356,7 +366,7 @@ def shared_keys(keys: DataFrame, path: str) -> list[DataFrame]:
 
 
 def buckets(sets: DataFrame, keys: DataFrame, path: str) -> DataFrame:
-    """(bucket, id, band, earlier, tags, size) of records that share a key; staged.
+    """(bucket, id, band, earlier) of records that share a key; staged.
 
     There is one bucket for equal member lists. Copies of a set in several tasks are counted with it,
     which changes no more than the order of keys by frequency, and go as soon as the members are
@@ -387,10 +397,7 @@ def buckets(sets: DataFrame, keys: DataFrame, path: str) -> DataFrame:
     member = members.join(alike, "key").withColumnRenamed("key", "bucket")
     member = staged(with_earlier(member), "jaccard-member")
     discard(members)
-    met = member.select("id", "band").distinct()
-    out = staged(member.join(tags(sets, met), ["id", "band"]), "jaccard-buckets")
-    discard(member)
-    return out
+    return member
 
 
 def with_earlier(member: DataFrame) -> DataFrame:
@@ -456,12 +463,20 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
             )
 
 
-def linked_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that link. ``texts`` holds (id, text)."""
+def linked_pairs(
+    pairs: DataFrame, docs: DataFrame, odd: DataFrame, k: int, percent: int
+) -> DataFrame:
+    """The pairs (a, b) of the staged ``pairs`` that link; staged. Only their texts are read out of ``docs``."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = staged(wanted, "jaccard-wanted")
+    texts = record_texts(docs, odd, wanted, k)
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     full = full.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     full = full.select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(lambda it: _verify(it, k, percent), "a long, b long")
+    links = full.mapInArrow(lambda it: _verify(it, k, percent), "a long, b long")
+    links = staged(links, "jaccard-links")
+    discard(wanted, texts)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -497,26 +512,33 @@ def components(links: DataFrame) -> DataFrame:
         before = sums
 
 
-def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(id, comp) of the records that link with another, from the buckets and their tags.
+def hub_tags(tagged: DataFrame) -> DataFrame:
+    """``tagged`` with the names that a hub has in a pair."""
+    names = {"id": "hub", "tags": "hub_tags", "size": "hub_size"}
+    return tagged.withColumnsRenamed(names)
 
+
+def merged(
+    member: DataFrame, tagged: DataFrame, docs: DataFrame, odd: DataFrame, k: int, percent: int
+) -> DataFrame:
+    """(id, comp) of the records that link with another, from the buckets and the tags of ``tagged``.
+
+    Memberships stay narrow: they get their tags where hubs and members meet, and no table holds both.
     The staged ``member`` is deleted as soon as the first round has its own copy of what is left.
     """
     # To begin with, each record is compared with one other, the smallest that leads a bucket of it.
     # A group of near copies so becomes one component before its buckets are searched in pairs.
-    lead = member.groupBy("bucket").agg(F.min(F.struct("id", "tags", "size")).alias("hub"))
-    lead = lead.select(
-        F.col("bucket").alias("hub_bucket"),
-        F.col("hub.id").alias("hub"),
-        F.col("hub.tags").alias("hub_tags"),
-        F.col("hub.size").alias("hub_size"),
-    )
-    fit = (F.col("bucket") == F.col("hub_bucket")) & (F.col("hub") < F.col("id"))
-    pairs = member.join(lead, fit & may_link(percent)).groupBy("id").agg(F.min("hub").alias("a"))
-    links = linked_pairs(pairs.select("a", F.col("id").alias("b")), texts, k, percent)
-    links = staged(links, "jaccard-links")
+    lead = member.groupBy("bucket").agg(F.min("id").alias("hub"))
+    pairs = member.join(lead, "bucket").filter("hub < id").select("id", "hub", "band").distinct()
+    pairs = pairs.join(tagged, ["id", "band"]).join(hub_tags(tagged), ["hub", "band"])
+    pairs = pairs.filter(may_link(percent)).groupBy("id").agg(F.min("hub").alias("a"))
+    pairs = staged(pairs.select("a", F.col("id").alias("b")), "jaccard-pairs")
+    del lead
+    _release(member.sparkSession)
+    links = linked_pairs(pairs, docs, odd, k, percent)
+    discard(pairs)
     comp = components(links)
-    del lead, pairs
+    del pairs
     active = member.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     hubs_wanted, done, compared = 1, [member], []
     while True:
@@ -527,21 +549,21 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         _release(active.sparkSession)
         cell = F.pmod(F.xxhash64("id", F.lit(hubs_wanted)), F.lit(hubs_wanted))
         hubs = active.groupBy("bucket", cell.alias("cell")).agg(
-            F.min(F.struct("id", "comp", "earlier", "tags", "size")).alias("hub")
+            F.min(F.struct("id", "comp", "band", "earlier")).alias("hub")
         )
         hubs = hubs.select(
             "bucket",
             F.col("hub.id").alias("hub"),
             F.col("hub.comp").alias("hub_comp"),
+            F.col("hub.band").alias("band"),
             F.col("hub.earlier").alias("hub_earlier"),
-            F.col("hub.tags").alias("hub_tags"),
-            F.col("hub.size").alias("hub_size"),
         )
         hubs = staged(hubs, "jaccard-hubs")
         # A pair is compared once, in the first round in which one is a hub of a common bucket.
-        members = active.withColumnRenamed("bucket", "hub_bucket")
+        members = active.join(tagged, ["id", "band"]).withColumnRenamed("bucket", "hub_bucket")
         fit = (F.col("bucket") == F.col("hub_bucket")) & (F.col("comp") != F.col("hub_comp"))
-        pairs = hubs.join(members, fit & meet_first() & may_link(percent))
+        pairs = hubs.join(hub_tags(tagged), ["hub", "band"]).drop("band")
+        pairs = pairs.join(members, fit & meet_first() & may_link(percent))
         pairs = pairs.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
         pairs = pairs.distinct()
         if compared:
@@ -554,7 +576,7 @@ def merged(member: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 discard(active, hubs, *compared)
                 return comp
         else:
-            found = staged(linked_pairs(pairs, texts, k, percent), "jaccard-links")
+            found = linked_pairs(pairs, docs, odd, k, percent)
             if not found.isEmpty():
                 links = links.union(found)
                 comp = components(links)
@@ -574,10 +596,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     """(doc_id, n_shingles, component_id) of every row of ``docs``; see the module."""
     sets, keys, path = document_sets(docs, k, percent)
     member = buckets(sets, keys, path)
-    wanted = staged(member.select("id").distinct(), "jaccard-wanted")
-    texts = record_texts(docs, sets, wanted, k)
-    comp = merged(member, texts, k, percent)
-    discard(wanted, texts)
+    tagged = staged(tags(sets, member.select("id", "band").distinct()), "jaccard-tags")
+    several = staged(sets.filter("odd").select("doc_id").dropna().distinct(), "jaccard-several")
+    comp = merged(member, tagged, docs, several, k, percent)
+    discard(tagged, several)
     # Copies of a set: one node per set, then sets of one component share its smallest doc_id.
     same = ["f1", "f2", "n_shingles"]
     held = sets.filter("n_shingles > 0")

@@ -199,6 +199,30 @@ def test_near_copies_meet_in_few_of_their_buckets(spark):
     assert first.count() < 4 * every
 
 
+def test_tags_stay_out_of_buckets_and_few_texts_are_read(spark, monkeypatch):
+    """Texts that share a passage share keys, but only those in pairs that the tags allow are dealt out."""
+    rnd, rows, tables = random.Random(7), [], []
+    passage = " ".join(f"p{i}" for i in range(90))
+    for i in range(150):
+        rows.append(passage + "".join(f" u{i}w{j}" for j in range(90)))
+    rows += [edited(rnd, rows[i], 1) for i in (3, 50, 149)]
+    stage = jaccard_join.staged
+
+    def kept(df, purpose):
+        out = stage(df, purpose)
+        tables.append((purpose, set(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", kept)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs, 5, 80).collect()
+    want = {**{i: i for i in range(150)}, 150: 3, 151: 50, 152: 149}
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert max(n for purpose, _, n in tables if purpose == "jaccard-active") > 150
+    assert not any({"bucket", "tags"} <= names or {"bucket", "hub_tags"} <= names for _, names, _ in tables)
+    assert 6 <= max(n for purpose, _, n in tables if purpose == "jaccard-texts") < 30
+
+
 def test_join_of_odd_and_empty_inputs(spark, odd):
     got = jaccard_join.jaccard_components(odd).collect()
     assert len(got) == odd.count()
