@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 
 from opinara.llm import textvec as tv
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000  # encoded words that a worker keeps, some 40 MB; most words of a corpus are met once
+PART = 1 << 19  # bytes of text that are encoded together
 
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = (
@@ -280,7 +281,7 @@ def vocabulary(path: str) -> Vocabulary:
 def _rows(batches: Iterator[pa.RecordBatch], path: str, make) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(path)
     for whole in batches:
-        for part in tv.slices(whole, "text", 1 << 20):
+        for part in tv.slices(whole, "text", PART):
             texts = [t or "" for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).cast(pa.int64()), *make(vocab, vocab.packed(texts))], make.names
@@ -311,13 +312,13 @@ _digest.names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): token ids of each whole text, and the text they decode to."""
     return docs.select("doc_id", "text").mapInArrow(
-        lambda it: _rows(it, path, _whole), "doc_id long, ids array<int>, decoded string"
+        lambda it: tv.lean(_rows(it, path, _whole)), "doc_id long, ids array<int>, decoded string"
     )
 
 
 def encode_digest(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each whole text, without its ids."""
     return docs.select("doc_id", "text").mapInArrow(
-        lambda it: _rows(it, path, _digest),
+        lambda it: tv.lean(_rows(it, path, _digest)),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )

@@ -177,7 +177,7 @@ def _aligned(
     known = tv.sieve(vocabulary)
     size = np.diff(items.begins)
     for whole in batches:
-        for part in tv.slices(whole, "text"):
+        for part in tv.slices(whole, "text", 1 << 20):
             w = tv.words(part.column(1), tv.MARKS)
             ids = part.column(0).cast(pa.int64())
             held = None
@@ -264,7 +264,7 @@ def contaminated(
     for items in blocks(benchmark, size):
         shared = sc.broadcast(items)
         part = texts.mapInArrow(
-            lambda it, s=shared: _aligned(it, s, threshold),
+            lambda it, s=shared: tv.lean(_aligned(it, s, threshold)),
             "doc_id long, item_id long, score double, seeds long, last_word long",
         )
         found = part if found is None else found.union(part)

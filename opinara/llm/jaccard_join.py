@@ -291,7 +291,7 @@ def document_sets(
     Staged in one pass over the texts, in the folder that is returned with them. ``id`` numbers the record.
     """
     bands = Bands(percent, docs.count())
-    got = docs.select("doc_id", "text").mapInArrow(lambda it: _sets(it, k, bands), SET_SCHEMA)
+    got = docs.select("doc_id", "text").mapInArrow(lambda it: tv.lean(_sets(it, k, bands)), SET_SCHEMA)
     path = shared_dir(docs.sparkSession, "jaccard-sets")
     got.write.partitionBy("slice").parquet(path)
     got = docs.sparkSession.read.schema(SET_SCHEMA).parquet(path)
@@ -319,7 +319,7 @@ def record_texts(docs: DataFrame, odd: DataFrame, wanted: DataFrame, k: int) ->
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for part in tv.slices(whole, "text"):
+            for part in tv.slices(whole, "text", 1 << 20):
                 row, h = distinct_shingles(part.column(0), k)
                 hashed = tv.signed(fingerprints(row, h, part.num_rows)[2])
                 yield pa.RecordBatch.from_arrays([pa.array(hashed), part.column(0)], ["id", "text"])
@@ -330,7 +330,8 @@ def record_texts(docs: DataFrame, odd: DataFrame, wanted: DataFrame, k: int) ->
     marks = staged(marks, "jaccard-marks")
     found = rows.join(marks, "doc_id")
     unnamed = rows.filter("doc_id IS NULL").union(found.filter("odd").select("doc_id", "text"))
-    unnamed = unnamed.select("text").mapInArrow(number, "id long, text string").join(wanted, "id")
+    unnamed = unnamed.select("text").mapInArrow(lambda it: tv.lean(number(it)), "id long, text string")
+    unnamed = unnamed.join(wanted, "id")
     named = found.filter("NOT odd").select(F.col("doc_id").alias("id"), "text")
     texts = named.dropDuplicates(["id"]).union(unnamed.dropDuplicates(["id"]))
     texts = staged(texts, "jaccard-texts")
@@ -473,7 +474,7 @@ def linked_pairs(
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     full = full.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     full = full.select("a", "b", "text_a", "text_b")
-    links = full.mapInArrow(lambda it: _verify(it, k, percent), "a long, b long")
+    links = full.mapInArrow(lambda it: tv.lean(_verify(it, k, percent)), "a long, b long")
     links = staged(links, "jaccard-links")
     discard(wanted, texts)
     return links

@@ -32,6 +32,7 @@ SHAPES, WORDS = 768, 256
 TERMS = SHAPES + WORDS
 WORD_WEIGHT = 0.25
 BLOCK = 512
+PART = 1 << 20  # bytes of text that are counted together
 
 # Classes of bytes: small and non-ASCII letters, capitals, digits, sentence marks; others by byte.
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -71,6 +72,14 @@ def counts(column: pa.Array) -> np.ndarray:
     return out
 
 
+def block_counts(part: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """``part`` in blocks of ``BLOCK`` rows with their counts, 2 MB a block however short the texts are."""
+    at = part.schema.get_field_index("text")
+    for begin in range(0, part.num_rows, BLOCK):
+        block = part.slice(begin, BLOCK)
+        yield block, np.concatenate([counts(x.column(at)) for x in tv.slices(block, "text", PART)])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(x, axis=1, keepdims=True)
     return (x / np.where(size > 0, size, 1)).astype(np.float32)
@@ -113,16 +122,16 @@ class Model:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for part in tv.slices(whole, "text"):
-            x = counts(part.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(2).cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())],
-                ["label", "terms"],
-            )
+            for block, x in block_counts(part):
+                terms = pa.array([r.tobytes() for r in x], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [block.column(2).cast(pa.int32()), terms], ["label", "terms"]
+                )
 
 
 def fit(sample: DataFrame) -> Model:
     """Model of a bounded sample (doc_id, text, label). The counts come to the driver: 4 KB a row."""
-    rows = sample.mapInArrow(_counted, "label int, terms binary").collect()
+    rows = sample.mapInArrow(lambda it: tv.lean(_counted(it)), "label int, terms binary").collect()
     x = np.frombuffer(b"".join(r.terms for r in rows), np.float32).reshape(len(rows), TERMS)
     keep = x.any(1)
     return Model.fit(x[keep], np.array([r.label for r in rows], np.float32)[keep])
@@ -131,17 +140,18 @@ def fit(sample: DataFrame) -> Model:
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for part in tv.slices(whole, "text"):
-            scores = model.value.score(counts(part.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array(scores)], ["doc_id", "score"]
-            )
+            for block, x in block_counts(part):
+                yield pa.RecordBatch.from_arrays(
+                    [block.column(0).cast(pa.int64()), pa.array(model.value.score(x))],
+                    ["doc_id", "score"],
+                )
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """(doc_id, score, predicted) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select("doc_id", "text").mapInArrow(
-        lambda it: _scored(it, shared), "doc_id long, score double"
+        lambda it: tv.lean(_scored(it, shared)), "doc_id long, score double"
     )
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -149,14 +159,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 def _kept(batches: Iterator[pa.RecordBatch], model, threshold: float) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for part in tv.slices(whole, "text"):
-            text = part.column(part.schema.get_field_index("text"))
-            yield part.filter(pa.array(model.value.score(counts(text)) >= threshold))
+            for block, x in block_counts(part):
+                yield block.filter(pa.array(model.value.score(x) >= threshold))
 
 
 def kept(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The documents that reach the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda it: _kept(it, shared, threshold), docs.schema)
+    return docs.mapInArrow(lambda it: tv.lean(_kept(it, shared, threshold)), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2) -> DataFrame:

@@ -36,6 +36,7 @@ REACH = 15  # tokens on either side of a span that are trained on
 WINDOWS = 3000  # bound of the training windows
 MIN_CHARS = 12
 ROUNDS = 80
+PART = 1 << 18  # bytes of text that are scanned together; its tokens take some sixty times as much
 
 ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -406,7 +407,7 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 def _scan(batches: Iterator[pa.RecordBatch], field) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for part in tv.slices(whole, "text", 1 << 20):
+        for part in tv.slices(whole, "text", PART):
             found = spans(part.column(1), field.value)
             base = [[s for s in x if s[0] != "crf"] for x in found]
             counts = [
@@ -428,12 +429,12 @@ def _scan(batches: Iterator[pa.RecordBatch], field) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, field: Field) -> DataFrame:
     """Counts, digest of the pattern spans and all spans of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _scan(it, shared), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lambda it: tv.lean(_scan(it, shared)), SCHEMA)
 
 
 def _mask(batches: Iterator[pa.RecordBatch], field, mark: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for part in tv.slices(whole, "text", 1 << 20):
+        for part in tv.slices(whole, "text", PART):
             at = part.schema.get_field_index("text")
             column = part.column(at)
             texts = column.to_pylist()
@@ -452,5 +453,5 @@ def _mask(batches: Iterator[pa.RecordBatch], field, mark: str) -> Iterator[pa.Re
 def mask(docs: DataFrame, field: Field, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by ``mark``; all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    return docs.mapInArrow(lambda it: _mask(it, shared, mark), docs.schema)
+    return docs.mapInArrow(lambda it: tv.lean(_mask(it, shared, mark)), docs.schema)
 

@@ -7,6 +7,7 @@ is; what remains per word is a few integers. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 16
+TRIM = 16  # batches after which a worker gives free memory back
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -188,6 +190,26 @@ def slices(batch: pa.RecordBatch, text: str, size: int = 4 << 20) -> Iterator[pa
         at = to
 
 
+def release() -> None:
+    """Give free memory back to the system, which Arrow and glibc else keep for the worker's next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches. After every ``TRIM`` of them and at the end, free memory is given back."""
+    number = 0
+    for part in parts:
+        yield part
+        part = None
+        number += 1
+        if number % TRIM == 0:
+            release()
+    release()
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """Hashes as Spark's LONG."""
     return x.view(np.int64) if x.dtype == _U else x.astype(np.int64)

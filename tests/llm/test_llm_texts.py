@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
+import types
 
 import duckdb
 import numpy as np
@@ -46,6 +48,51 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def peak_mb(work):
+    """Most MB that numpy and Python hold while ``work`` runs, and its result."""
+    tracemalloc.start()
+    try:
+        out = work()
+        return tracemalloc.get_traced_memory()[1] / 1e6, out
+    finally:
+        tracemalloc.stop()
+
+
+def test_many_short_texts_are_counted_in_blocks():
+    texts = [f"Word{i % 7} {'x' * (i % 5)}\n2" if i % 11 else None for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(texts)], ["doc_id", "text"])
+    x = quality_knn.counts(pa.array(texts[:600]))
+    known = np.random.default_rng(1).random((600, quality_knn.TERMS), np.float32)
+    model = quality_knn.Model.fit(known, np.arange(600) % 2 == 0)
+    shared = types.SimpleNamespace(value=model)
+    mb, got = peak_mb(lambda: [b.to_pylist() for b in quality_knn._scored(iter([batch]), shared)])
+    rows = [row for part in got for row in part]
+    assert mb < 60, mb
+    assert [r["doc_id"] for r in rows] == list(range(10_000))
+    np.testing.assert_allclose([r["score"] for r in rows[:600]], model.score(x), atol=1e-6)
+    kept = pa.Table.from_batches(quality_knn._kept(iter([batch]), shared, 0.5))
+    assert kept["doc_id"].to_pylist() == [r["doc_id"] for r in rows if r["score"] >= 0.5]
+
+
+def test_secrets_of_a_batch_are_scanned_in_parts():
+    text = "a1 b Cd key=abc123def456 77 " * 75
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800)), pa.array([text] * 800)], ["doc_id", "text"])
+    shared = types.SimpleNamespace(value=secrets_crf.train([]))
+    mb, rows = peak_mb(lambda: sum(b.num_rows for b in secrets_crf._scan(iter([batch]), shared)))
+    assert rows == 800
+    assert mb < 50, mb
+
+
+def test_lean_gives_the_same_batches(monkeypatch):
+    released = []
+    monkeypatch.setattr(tv, "release", lambda: released.append(1))
+    parts = [pa.RecordBatch.from_arrays([pa.array([i])], ["a"]) for i in range(2 * tv.TRIM + 1)]
+    assert list(tv.lean(iter(parts))) == parts
+    assert len(released) == 3
+    assert list(tv.lean(iter([]))) == []
+    assert len(released) == 4
+
+
 def test_words_of_any_piece_size(monkeypatch):
     rnd = random.Random(3)
     for size in (5, 37, 1 << 16):
