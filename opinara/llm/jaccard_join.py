@@ -16,7 +16,14 @@ result.
   share one that both keep. Keys that a large group shares are so kept only where a record has no
   rarer ones, and keys that no other record holds drop out before a comparison.
 
-Keys are written in ``SLICES`` by segment, and one slice after another is searched for keys that two
+Before all this, two sieves take out the records that cannot link with any other. A shingle that no other set
+holds is in one set of a pair alone, so a set of size n with more than n(1 - t) of them has no partner. The universe is
+dealt out by hash, a part to a task, packed: few rows move, and numpy counts. The first sieve takes a share of the
+universe that is large enough to tell for most sets without a near copy; the second takes all of it, counted among the
+records left. Only what is left gets keys and tags, so texts of their own neither cost keys nor meet by chance in
+segments that both leave empty, which would grow with the square of the rows.
+
+Keys are written in up to ``SLICES`` by segment, and one slice after another is searched for keys that two
 records hold and then deleted, so the shuffles of one slice alone are on disk at a time. Other staged tables go
 as soon as the table made from them is staged.
 
@@ -62,6 +69,10 @@ PER_LONG = 64 // TAG_BITS  # tags packed in a number, so that records of a bucke
 SLICES = 8  # parts of the key space that are shuffled one after another
 MORE_HUBS = 64  # times as many hubs of a bucket in each further round
 EARLIER = 8  # buckets of a record that each of its memberships knows
+SLICED = 1 << 22  # shingles of all records for which one slice is enough
+SIEVED = 500  # rows from which the sieves are worth their passes: chance meetings grow with the square of the rows
+PACKED = 1 << 20  # shingles that a task packs at a time
+FEW_IDS = 1_000_000  # ids that are broadcast
 
 
 def distinct_shingles(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,12 +224,18 @@ def cell_tags(row: np.ndarray, shingle: np.ndarray, n: np.ndarray, bands: Bands)
     return idx, band, numbers, packed
 
 
-SET_SCHEMA = (
-    "slice int, doc_id long, n_shingles long, f1 long, f2 long, number long, own boolean, "
+SET_SCHEMA = "slice int, doc_id long, n_shingles long, f1 long, f2 long, number long, own boolean, part int, shingles binary, holders binary"
+PACKETS = "part int, a binary, b binary"
+KEY_SCHEMA = (
+    "slice int, id long, n_shingles long, text string, "
     "keys array<long>, slots array<long>, bands array<int>, tags array<array<long>>"
 )
 
 
+def column_names(schema: str) -> list[str]:
+    return schema.replace(",", "").split()[::2]  # no type has a blank
+
+
 def fingerprints(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two order-free hashes of each row's set, and one of both."""
     f1, f2 = np.zeros(rows, _U), np.zeros(rows, _U)
@@ -233,14 +250,83 @@ def _lists(at: np.ndarray, rows: int, *columns: np.ndarray) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(ends, pa.array(x)) for x in columns]
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[pa.RecordBatch]:
-    """A row per document with its set's size and fingerprints (slice -1), and rows of keys by slice.
+class Packets:
+    """Pairs of values by part, packed: a row holds all that a task has for a part, so that few rows are shuffled."""
+
+    def __init__(self, parts: int, *types):
+        self.parts, self.types, self.held, self.size = parts, types, [], 0
+
+    def add(self, part: np.ndarray, *values: np.ndarray) -> None:
+        self.held.append((part.astype(np.int32), *(x.astype(t, copy=False) for x, t in zip(values, self.types, strict=True))))
+        self.size += len(part)
+
+    def take(self) -> list[pa.Array]:
+        """The rows' columns; nothing is held afterwards."""
+        part, *values = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+        self.held, self.size = [], 0
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        begin = np.flatnonzero(np.diff(part, prepend=-1))
+        bounds = np.append(begin, len(part))
+        out = [pa.array(part[begin], pa.int32())]
+        for x in values:
+            ends = pa.py_buffer((bounds * x.itemsize).astype(np.int32))
+            out.append(pa.Array.from_buffers(pa.binary(), len(begin), [None, ends, pa.py_buffer(x[order])]))
+        return out
+
+
+def by_part(batches: Iterator[pa.RecordBatch], *types) -> Iterator[list[np.ndarray]]:
+    """The two values of each part, unpacked. Rows come sorted by part."""
+    now, held = None, []
+    for batch in batches:
+        for i, part in enumerate(batch.column(0).to_pylist()):
+            if part != now and held:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            now = part
+            # Copied, so that no batch is kept for a part of it.
+            held.append([np.frombuffer(batch.column(j + 1)[i].as_buffer(), t).copy() for j, t in enumerate(types)])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def universe_parts(size: int) -> int:
+    """Parts into which the shingles of ``size`` bytes of text are dealt."""
+    return 1 + min(size >> 21, 256 + (size >> 24))
+
 
-    Keys are made once per set and task, by the row marked as ``own``. ``number`` is the hash that
-    numbers the record if its id cannot.
+def universe_share(h: np.ndarray, share: float, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index, part and short hash of the shingles that lie in the first ``share`` of the universe.
+
+    Shingles with one part and one short hash count as one, which may only make them look shared.
+    """
+    u = tv.mix(h, 47)
+    at = np.flatnonzero((u >> _U(54)) < _U(int(np.ceil(share * 1024))))
+    u = u[at]
+    return at, ((u >> _U(32)) & _U(0x3FFFFF)) % _U(parts), u & _U(0xFFFFFFFF)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int, share: float, parts: int) -> Iterator[pa.RecordBatch]:
+    """A row per document with its set's size and fingerprints (slice -1), and packets of shingles (slice 0).
+
+    Shingles are packed once per set and task, by the row marked as ``own``, with the set's ``number``: the
+    hash that also numbers the record if its id cannot. With no parts nothing is packed.
     """
     seen: set[tuple[int, int]] = set()
-    names = SET_SCHEMA.replace(",", "").split()[::2]  # no type has a blank
+    packets = Packets(parts, np.uint32, _U)
+    names = column_names(SET_SCHEMA)
+    types = [pa.int32(), *[pa.int64()] * 5, pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
+
+    def rows_of(columns: dict[str, pa.Array], rows: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [columns[c] if c in columns else pa.nulls(rows, t) for c, t in zip(names, types, strict=True)], names
+        )
+
+    def packed() -> pa.RecordBatch:
+        part, shingles, holders = packets.take()
+        columns = {"part": part, "shingles": shingles, "holders": holders}
+        return rows_of({"slice": pa.array(np.zeros(len(part), np.int32)), **columns}, len(part))
+
     for whole in batches:
         for part in tv.slices(whole, "text", 1 << 20):
             rows = part.num_rows
@@ -252,16 +338,93 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[p
                 if n[i] and pair not in seen:
                     seen.add(pair)
                     own[i] = True
+            about = {"doc_id": part.column(0).cast(pa.int64()), "own": pa.array(own)}
+            hashes = {"f1": f1, "f2": f2, "number": number, "n_shingles": n}
+            about |= {c: pa.array(tv.signed(x)) for c, x in hashes.items()}
+            yield rows_of({"slice": pa.array(np.full(rows, -1, np.int32)), **about}, rows)
+            if not parts:
+                continue
             held = own[row]
-            at, keys, slots, place = signatures(row[held], h[held], np.where(own, n, 0), bands)
+            row, h = row[held], h[held]
+            at, of, short = universe_share(h, share, parts)
+            packets.add(of, short, number[row[at]])
+            if packets.size > PACKED:
+                yield packed()
+    if packets.size:
+        yield packed()
+
+
+def _packed(batches: Iterator[pa.RecordBatch], k: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Packets of all shingles of the records (id, text), with their ids."""
+    packets = Packets(parts, np.uint32, np.int64)
+    for whole in batches:
+        for part in tv.slices(whole, "text", 1 << 20):
+            row, h = distinct_shingles(part.column(1), k)
+            at, of, short = universe_share(h, 1, parts)
+            packets.add(of, short, part.column(0).to_numpy(zero_copy_only=False)[row[at]])
+            if packets.size > PACKED:
+                yield pa.RecordBatch.from_arrays(packets.take(), column_names(PACKETS))
+    if packets.size:
+        yield pa.RecordBatch.from_arrays(packets.take(), column_names(PACKETS))
+
+
+def _lone(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """For each part of the universe its holders and how many of its shingles each holds alone, in packets by holder."""
+    for short, holder in by_part(batches, np.uint32, np.int64):
+        order = np.argsort(short)
+        short, holder = short[order], holder[order]
+        begin = np.flatnonzero(np.append(True, short[1:] != short[:-1]))
+        least, most = np.minimum.reduceat(holder, begin), np.maximum.reduceat(holder, begin)
+        holder, count = np.unique(least[least == most], return_counts=True)
+        if len(holder):
+            packets = Packets(parts, np.int64, np.uint32)
+            packets.add(tv.mix(holder.view(_U), 53) % _U(parts), holder, count)
+            yield pa.RecordBatch.from_arrays(packets.take(), column_names(PACKETS))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for holder, count in by_part(batches, np.int64, np.uint32):
+        holder, at = np.unique(holder, return_inverse=True)
+        total = np.bincount(at, weights=count).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(holder), pa.array(total)], ["holder", "lone"])
+
+
+def lone_shingles(packets: DataFrame, parts: int) -> DataFrame:
+    """(holder, lone): how many shingles of the packets each holder shares with no other, if any.
+
+    A part of the universe goes to one task, whatever number of records hold its shingles.
+    """
+    packets = packets.repartition("part").sortWithinPartitions("part")
+    packets = packets.mapInArrow(lambda it: tv.lean(_lone(it, parts)), PACKETS)
+    packets = packets.repartition("part").sortWithinPartitions("part")
+    return packets.mapInArrow(lambda it: tv.lean(_sums(it)), "holder long, lone long")
+
+
+def may_have_partner(percent: int) -> Column:
+    """False only where a set has too many shingles of its own alone to link with any other.
+
+    Another set shares at most ``n_shingles - lone`` of them, and the two have ``n_shingles`` at least.
+    """
+    shared = F.col("n_shingles") - F.coalesce("lone", F.lit(0))
+    return 100 * shared >= percent * F.col("n_shingles")
+
+
+def _keys(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, slices: int) -> Iterator[pa.RecordBatch]:
+    """A row per record (id, text) with its bands and tags (slice -1), and rows of keys by slice."""
+    names = column_names(KEY_SCHEMA)
+    for whole in batches:
+        for part in tv.slices(whole, "text", 1 << 20):
+            rows = part.num_rows
+            row, h = distinct_shingles(part.column(1), k)
+            n = np.bincount(row, minlength=rows).astype(np.int64)
+            at, keys, slots, place = signatures(row, h, n, bands)
             # The segment decides the slice, so equal keys meet in one and each slice has its order.
-            piece = place % SLICES
+            piece = place % slices
             order = np.lexsort((np.arange(len(at)), at, piece))
             at, keys, slots, piece = at[order], tv.signed(keys)[order], slots[order], piece[order]
-            doc_id = part.column(0).cast(pa.int64())
-            about = [doc_id, *(pa.array(x) for x in (n, tv.signed(f1), tv.signed(f2), tv.signed(number), own))]
-            empty = pa.array([None] * rows, pa.list_(pa.int64()))
-            who, band, numbers, tag = cell_tags(row[held], h[held], np.where(own, n, 0), bands)
+            about = [part.column(0), pa.array(n)]
+            empty = pa.nulls(rows, pa.list_(pa.int64()))
+            who, band, numbers, tag = cell_tags(row, h, n, bands)
             ends = pa.array(np.concatenate([[0], np.cumsum(numbers)]), pa.int32())
             tags = pa.ListArray.from_arrays(ends, pa.array(tv.signed(tag)))
             of_row = pa.array(np.searchsorted(who, np.arange(rows + 1)), pa.int32())
@@ -270,51 +433,76 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, bands: Bands) -> Iterator[p
                 pa.ListArray.from_arrays(of_row, tags),
             ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(rows, -1, np.int32)), *about, empty, empty, *about_bands], names
+                [pa.array(np.full(rows, -1, np.int32)), *about, part.column(1).cast(pa.string()), empty, empty, *about_bands], names
             )
-            no_bands = [pa.array([None] * int(own.sum()), x.type) for x in about_bands]
-            some = pa.array(np.flatnonzero(own))
-            for i in range(SLICES):
+            nothing = [pa.nulls(rows, x.type) for x in about_bands]
+            for i in range(slices):
                 cut = slice(*np.searchsorted(piece, [i, i + 1]))
                 lists = _lists(at[cut], rows, keys[cut], slots[cut])
-                columns = [x.take(some) for x in (*about, *lists)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), i, np.int32)), *columns, *no_bands], names
+                    [pa.array(np.full(rows, i, np.int32)), *about, pa.nulls(rows, pa.string()), *lists, *nothing], names
                 )
 
 
 def document_sets(
     docs: DataFrame, k: int = 3, percent: int = 90
-) -> tuple[DataFrame, DataFrame, str]:
-    """All sets (id, doc_id, n_shingles, f1, f2, own) and their keys (slice, id, ..., keys, slots).
+) -> tuple[DataFrame, DataFrame, str, int]:
+    """All sets (id, doc_id, n_shingles, f1, f2, own); the records that may link, one a set, staged in a folder
+    (slice -1: id, n_shingles, text, bands, tags; other slices: id, keys, slots); the folder and its number of slices.
 
-    Staged in one pass over the texts, in the folder that is returned with them. ``id`` numbers the record.
+    ``id`` numbers the record. From ``SIEVED`` rows on, two sieves find the records that cannot link with any
+    other: the first over a share of the universe and all sets, the second over all of it and what is left.
     """
-    bands = Bands(percent, docs.count())
-    got = docs.select("doc_id", "text").mapInArrow(lambda it: tv.lean(_sets(it, k, bands)), SET_SCHEMA)
-    path = shared_dir(docs.sparkSession, "jaccard-sets")
+    spark = docs.sparkSession
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    share = min(1.0, (100 - percent) / 60)
+    parts = universe_parts(size or 0) if rows >= SIEVED else 0
+    got = docs.select("doc_id", "text")
+    got = got.mapInArrow(lambda it: tv.lean(_sets(it, k, share, parts)), SET_SCHEMA)
+    path = shared_dir(spark, "jaccard-sets")
     got.write.partitionBy("slice").parquet(path)
-    got = docs.sparkSession.read.schema(SET_SCHEMA).parquet(path)
-    sets = got.filter("slice = -1").drop("keys", "slots", "slice")
+    got = spark.read.schema(SET_SCHEMA).parquet(path)
+    sets = got.filter("slice = -1").drop("part", "shingles", "holders", "slice")
     same = ["f1", "f2", "n_shingles"]
     # Ids of several sets: each of their rows is numbered by its set.
     several = sets.groupBy("doc_id").agg(*[f(c) for f in (F.min, F.max) for c in same])
     differ = " OR ".join(f"`min({c})` <> `max({c})`" for c in same)
     several = staged(several.filter(differ).select("doc_id").dropna(), "jaccard-several")
-    marked = several.withColumn("odd", F.lit(True))
     by_set = F.col("odd").isNotNull() | F.col("doc_id").isNull()
-
-    def numbered(rows: DataFrame) -> DataFrame:
-        rows = rows.join(marked, "doc_id", "left")
-        return rows.withColumn("id", F.when(by_set, F.col("number")).otherwise(F.col("doc_id")))
-
-    return numbered(sets), numbered(got.filter("slice >= 0").drop("bands", "tags")), path
+    sets = sets.join(several.withColumn("odd", F.lit(True)), "doc_id", "left")
+    sets = sets.withColumn("id", F.when(by_set, F.col("number")).otherwise(F.col("doc_id")))
+    # One record a set.
+    left = sets.filter("own").groupBy(*same).agg(F.min("id").alias("id"), F.min("number").alias("holder"))
+    if parts:
+        packets = got.filter("slice = 0").select("part", F.col("shingles").alias("a"), F.col("holders").alias("b"))
+        left = left.join(lone_shingles(packets, parts), "holder", "left").filter(may_have_partner(percent))
+    left = staged(left.select("id", "n_shingles"), "jaccard-left")
+    delete_folder(spark, f"{path}/slice=0")
+    _release(spark)
+    texts = record_texts(docs, several, left, k)
+    if parts:
+        parts = universe_parts(8 * (left.agg(F.sum("n_shingles")).first()[0] or 0))
+        packets = texts.mapInArrow(lambda it: tv.lean(_packed(it, k, parts)), PACKETS)
+        lone = lone_shingles(packets, parts).withColumnRenamed("holder", "id")
+        done, left = left, left.join(lone, "id", "left").filter(may_have_partner(percent)).drop("lone")
+        left = staged(left, "jaccard-left")
+        discard(done)
+    count, shingles = left.agg(F.count("*"), F.sum("n_shingles")).first()
+    bands, slices = Bands(percent, count), min(SLICES, 1 + (shingles or 0) // SLICED)
+    keyed = texts.join(left.select("id"), "id").select("id", "text")
+    keyed = keyed.mapInArrow(lambda it: tv.lean(_keys(it, k, bands, slices)), KEY_SCHEMA)
+    path = shared_dir(spark, "jaccard-keys")
+    keyed.write.partitionBy("slice").parquet(path)
+    discard(texts, left)
+    _release(spark)
+    return sets, spark.read.schema(KEY_SCHEMA).parquet(path), path, slices
 
 
 def record_texts(docs: DataFrame, odd: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(id, text) of the wanted records, staged. Rows numbered by their set are hashed again.
 
-    ``odd`` and ``wanted`` are staged. Texts are dealt out once at most, and not at all while both are small.
+    ``odd`` and ``wanted`` are staged. Up to ``FEW_IDS`` wanted ids are broadcast, so that no text but theirs is
+    dealt out; with more of them all texts are, once.
     """
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,13 +516,13 @@ def record_texts(docs: DataFrame, odd: DataFrame, wanted: DataFrame, k: int) ->
     named = wanted.select(F.col("id").alias("doc_id"), F.lit(False).alias("odd"))
     marks = named.join(odd, "doc_id", "left_anti").union(odd.select("doc_id", F.lit(True)))
     marks = staged(marks, "jaccard-marks")
-    found = rows.join(marks, "doc_id")
+    found = rows.join(F.broadcast(marks) if marks.count() <= FEW_IDS else marks, "doc_id")
     unnamed = rows.filter("doc_id IS NULL").union(found.filter("odd").select("doc_id", "text"))
     unnamed = unnamed.select("text").mapInArrow(lambda it: tv.lean(number(it)), "id long, text string")
-    unnamed = unnamed.join(wanted, "id")
+    unnamed = unnamed.join(wanted.select("id"), "id")
     named = found.filter("NOT odd").select(F.col("doc_id").alias("id"), "text")
     texts = named.dropDuplicates(["id"]).union(unnamed.dropDuplicates(["id"]))
-    texts = staged(texts, "jaccard-texts")
+    texts = staged(texts, "jaccard-left-texts")
     discard(marks)
     return texts
 
@@ -345,14 +533,14 @@ def _release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def shared_keys(keys: DataFrame, path: str) -> list[DataFrame]:
+def shared_keys(keys: DataFrame, path: str, slices: int) -> list[DataFrame]:
     """(id, key, slot, held) of the keys that several rows hold, slice by slice, each staged.
 
     A slice of all keys is deleted from ``path`` once its shared ones are known. Keys are counted by
     partial aggregation, so a key that a third of all records hold sends one row per task.
     """
     out = []
-    for i in range(SLICES):
+    for i in range(slices):
         part = keys.filter(F.col("slice") == i)
         held = part.select(F.explode("keys").alias("key")).groupBy("key")
         held = held.agg(F.count("*").cast("int").alias("held")).filter("held > 1")
@@ -366,19 +554,12 @@ def shared_keys(keys: DataFrame, path: str) -> list[DataFrame]:
     return out
 
 
-def buckets(sets: DataFrame, keys: DataFrame, path: str) -> DataFrame:
+def buckets(sets: DataFrame, keys: DataFrame, path: str, slices: int) -> DataFrame:
     """(bucket, id, band, earlier) of records that share a key; staged.
 
-    There is one bucket for equal member lists. Copies of a set in several tasks are counted with it,
-    which changes no more than the order of keys by frequency, and go as soon as the members are
-    known: the wide rows of keys are never shuffled to drop them.
+    There is one bucket for equal member lists. Arguments are those that `document_sets` returns.
     """
-    keyed = sets.filter("own")
-    same = ["f1", "f2", "n_shingles"]
-    first = keyed.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("times"))
-    again = first.filter("times > 1").join(keyed.select(*same, "id"), same)
-    again = staged(again.filter("id <> first").select("id"), "jaccard-again")
-    shared = shared_keys(keys, path)
+    shared = shared_keys(keys, path, slices)
     members = reduce(DataFrame.union, shared)
     # Of the shared keys of a record and band all but the ``spare`` most frequent are kept.
     by = Window.partitionBy("id", "slot").orderBy(F.desc("held"), "key")
@@ -386,8 +567,8 @@ def buckets(sets: DataFrame, keys: DataFrame, path: str) -> DataFrame:
     spare = F.col("slot").bitwiseAND(F.lit((1 << 32) - 1))
     band = F.shiftright("slot", 32).cast("int").alias("band")
     members = members.filter(F.col("nth") > spare).select("key", "id", band).distinct()
-    members = staged(members.join(again, "id", "left_anti"), "jaccard-members")
-    discard(again, *shared)
+    members = staged(members, "jaccard-members")
+    discard(*shared)
     _release(sets.sparkSession)
     alike = members.groupBy("key").agg(
         F.count("*").alias("n"),
@@ -407,9 +588,9 @@ def with_earlier(member: DataFrame) -> DataFrame:
     return member.select("bucket", "id", "band", F.collect_list("bucket").over(before).alias("earlier"))
 
 
-def tags(sets: DataFrame, met: DataFrame) -> DataFrame:
+def tags(records: DataFrame, met: DataFrame) -> DataFrame:
     """(id, band, tags, size) of the records and bands of ``met``. ``size`` is the record's set size."""
-    x = sets.filter("own").select(
+    x = records.select(
         "id", F.explode(F.arrays_zip("bands", "tags")).alias("x"), F.col("n_shingles").alias("size")
     )
     x = x.select("id", F.col("x.bands").alias("band"), F.col("x.tags").alias("tags"), "size")
@@ -464,19 +645,16 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
             )
 
 
-def linked_pairs(
-    pairs: DataFrame, docs: DataFrame, odd: DataFrame, k: int, percent: int
-) -> DataFrame:
-    """The pairs (a, b) of the staged ``pairs`` that link; staged. Only their texts are read out of ``docs``."""
+def linked_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of the staged ``pairs`` that link; staged. Only their texts are dealt out of ``texts``."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = staged(wanted, "jaccard-wanted")
-    texts = record_texts(docs, odd, wanted, k)
+    texts = staged(texts.join(wanted, "id"), "jaccard-texts")
     full = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     full = full.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     full = full.select("a", "b", "text_a", "text_b")
     links = full.mapInArrow(lambda it: tv.lean(_verify(it, k, percent)), "a long, b long")
     links = staged(links, "jaccard-links")
-    discard(wanted, texts)
+    discard(texts)
     return links
 
 
@@ -520,9 +698,9 @@ def hub_tags(tagged: DataFrame) -> DataFrame:
 
 
 def merged(
-    member: DataFrame, tagged: DataFrame, docs: DataFrame, odd: DataFrame, k: int, percent: int
+    member: DataFrame, tagged: DataFrame, texts: DataFrame, k: int, percent: int
 ) -> DataFrame:
-    """(id, comp) of the records that link with another, from the buckets and the tags of ``tagged``.
+    """(id, comp) of the records that link with another, from the buckets, the tags of ``tagged`` and the ``texts``.
 
     Memberships stay narrow: they get their tags where hubs and members meet, and no table holds both.
     The staged ``member`` is deleted as soon as the first round has its own copy of what is left.
@@ -536,7 +714,7 @@ def merged(
     pairs = staged(pairs.select("a", F.col("id").alias("b")), "jaccard-pairs")
     del lead
     _release(member.sparkSession)
-    links = linked_pairs(pairs, docs, odd, k, percent)
+    links = linked_pairs(pairs, texts, k, percent)
     discard(pairs)
     comp = components(links)
     del pairs
@@ -577,7 +755,7 @@ def merged(
                 discard(active, hubs, *compared)
                 return comp
         else:
-            found = linked_pairs(pairs, docs, odd, k, percent)
+            found = linked_pairs(pairs, texts, k, percent)
             if not found.isEmpty():
                 links = links.union(found)
                 comp = components(links)
@@ -595,12 +773,13 @@ def merged(
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; see the module."""
-    sets, keys, path = document_sets(docs, k, percent)
-    member = buckets(sets, keys, path)
-    tagged = staged(tags(sets, member.select("id", "band").distinct()), "jaccard-tags")
-    several = staged(sets.filter("odd").select("doc_id").dropna().distinct(), "jaccard-several")
-    comp = merged(member, tagged, docs, several, k, percent)
-    discard(tagged, several)
+    sets, keys, path, slices = document_sets(docs, k, percent)
+    member = buckets(sets, keys, path, slices)
+    records = keys.filter("slice = -1")
+    tagged = staged(tags(records, member.select("id", "band").distinct()), "jaccard-tags")
+    comp = merged(member, tagged, records.select("id", "text"), k, percent)
+    discard(tagged)
+    delete_folder(docs.sparkSession, path)
     # Copies of a set: one node per set, then sets of one component share its smallest doc_id.
     same = ["f1", "f2", "n_shingles"]
     held = sets.filter("n_shingles > 0")

@@ -270,6 +270,70 @@ def test_tags_stay_out_of_buckets_and_few_texts_are_read(spark, monkeypatch):
     assert 6 <= max(n for purpose, _, n in tables if purpose == "jaccard-texts") < 30
 
 
+def test_texts_without_a_partner_get_no_keys(spark):
+    """Keys are made of near copies alone, in a table large enough to be sieved; texts of their own meet nowhere."""
+    rnd = random.Random(11)
+    rows = [" ".join(f"v{rnd.randrange(3000)}" for _ in range(rnd.randint(30, 120))) for _ in range(600)]
+    near = [0, 7, 311, 599]
+    rows += [edited(rnd, rows[i], 1) for i in near] + [rows[5], rows[6].upper()]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets, keys, *_ = jaccard_join.document_sets(docs, 5, 80)
+    assert sets.count() == len(rows)
+    want = {*near, *range(600, 604)}
+    assert {r.id for r in keys.filter("slice >= 0").select("id").distinct().collect()} == want
+
+
+def test_sieved_join_equals_brute_force(spark, monkeypatch):
+    """The sieves with sets at and beside the threshold, of one shingle and more, copies, nulls and repeated ids."""
+    monkeypatch.setattr(jaccard_join, "SIEVED", 0)
+    monkeypatch.setattr(jaccard_join, "PACKED", 50)
+    monkeypatch.setattr(jaccard_join, "SLICED", 5000)
+    k, percent, rnd, rows = 5, 80, random.Random(13), []
+    for size in (1, 2, 4, 8, 12, 30, 80, 200):
+        base = [f"v{rnd.randrange(400)}" for _ in range(size)]
+        rows += [" ".join(base), " ".join(base) + " end"]
+        for more in range(0, size // 2, max(1, size // 20)):  # some of them are just linked, others just not
+            rows.append(" ".join(base) + "".join(f" x{more}y{j}" for j in range(more)))
+        rows += [edited(rnd, " ".join(base), rnd.randint(0, max(1, size // 40))) for _ in range(6)]
+    rows += [rows[0], rows[9].upper(), "", None, " ", *[" ".join(f"s{i}t{j}" for j in range(40)) for i in range(30)]]
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame([*rows, rows[20], (None, rows[25][1])], "doc_id long, text string").repartition(3)
+    got = jaccard_join.jaccard_components(docs, k, percent).collect()
+    assert len(got) == len(rows) + 2
+    sets = [(i, shingles(t, k)) for i, t in rows]
+    link = {i: i for i, _ in sets}
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[a + 1 :]:
+            if x & y and 100 * len(x & y) >= percent * len(x | y) and link[i] != link[j]:
+                u, v = sorted((link[i], link[j]))
+                link = {n: u if c == v else c for n, c in link.items()}
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == link
+    assert len(set(link.values())) < len(link) - 20
+
+
+def test_lone_shingles_against_plain_counts(spark):
+    rng = np.random.default_rng(12)
+    held = [(int(h), np.unique(rng.integers(0, 900, 60)).astype(np.uint64)) for h in rng.integers(-(1 << 62), 1 << 62, 40)]
+    held += held[:3]  # another task's copy of a set, under the same number
+    for parts in (1, 7):
+        rows = []
+        for h, x in held:
+            packets = jaccard_join.Packets(parts, np.uint32, np.int64)
+            at, part, short = jaccard_join.universe_share(x, 0.5, parts)
+            packets.add(part, short, np.full(len(at), h))
+            rows += zip(*[c.to_pylist() for c in packets.take()], strict=True)
+        got = jaccard_join.lone_shingles(spark.createDataFrame(rows, jaccard_join.PACKETS).repartition(3), parts)
+        got = {r.holder: r.lone for r in got.collect()}
+        sets = {h: set(x[jaccard_join.universe_share(x, 0.5, parts)[0]].tolist()) for h, x in held}
+        want = {h: len(x.difference(*[y for i, y in sets.items() if i != h])) for h, x in sets.items()}
+        assert got == {h: n for h, n in want.items() if n} and len(got) > 20
+
+
+def test_sieves_keep_links_of_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SIEVED", 0)
+    test_null_and_repeated_ids_lose_no_link(spark, 4)
+
+
 def test_join_of_odd_and_empty_inputs(spark, odd):
     got = jaccard_join.jaccard_components(odd).collect()
     assert len(got) == odd.count()
